@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import bpe_digest
 from tidemark.llm.mixing import MIX_SQL, fair_mix
+from tidemark.llm.pii import pii_digest
 from tidemark.llm.quality import score_quality
 from tidemark.llm.urls import URL_SQL, url_verdicts
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
     "op9_bpe": op9_bpe,
