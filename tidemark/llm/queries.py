@@ -12,12 +12,17 @@ from tidemark.llm.mixing import MIX_SQL, fair_mix
 from tidemark.llm.pii import pii_digest
 from tidemark.llm.quality import score_quality
 from tidemark.llm.urls import URL_SQL, url_verdicts
+from tidemark.llm.vectors import TOP_K_SQL, exact_top_k, permutation_search
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,14 +48,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
+    "op7_permutation": op7_permutation,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": TOP_K_SQL,
     "op3_mixing": MIX_SQL,
     "op10_urls": URL_SQL,
 }
