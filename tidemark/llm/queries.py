@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import bpe_digest
 from tidemark.llm.mixing import MIX_SQL, fair_mix
+from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.pii import pii_digest
 from tidemark.llm.quality import score_quality
 from tidemark.llm.urls import URL_SQL, url_verdicts
@@ -39,6 +40,10 @@ def op7_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_search(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
     "op7_permutation": op7_permutation,
+    "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
 }
