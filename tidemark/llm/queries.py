@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import bpe_digest
+from tidemark.llm.langid import predict_language
 from tidemark.llm.mixing import MIX_SQL, fair_mix
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.pii import pii_digest
@@ -32,6 +33,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
     "op6_quality": op6_quality,
     "op7_permutation": op7_permutation,
     "op8_minhash": op8_minhash,
