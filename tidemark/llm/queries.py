@@ -11,6 +11,7 @@ from tidemark.llm.bpe import bpe_digest
 from tidemark.llm.langid import predict_language
 from tidemark.llm.mixing import MIX_SQL, fair_mix
 from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.passages import repeated_passages
 from tidemark.llm.pii import pii_digest
 from tidemark.llm.quality import score_quality
 from tidemark.llm.urls import URL_SQL, url_verdicts
@@ -37,6 +38,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(_table(spark, sf_dir, "documents"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
+    "op5_passages": op5_passages,
     "op6_quality": op6_quality,
     "op7_permutation": op7_permutation,
     "op8_minhash": op8_minhash,
