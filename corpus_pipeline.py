@@ -15,7 +15,7 @@ from tidemark.llm.mixing import mix_documents
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.pii import redacted
 from tidemark.llm.quality import fit_quality, quality_score
-from tidemark.llm.shared import store
+from tidemark.llm.shared import small_batches, store
 
 THRESHOLD = 0.3
 
@@ -23,7 +23,7 @@ THRESHOLD = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier accepts."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(quality_score(F.col("text"), model) >= THRESHOLD)
+    return small_batches(docs).where(quality_score(F.col("text"), model) >= THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put each span's kind in its place; n_chars follows the new text."""
-    new = docs.withColumn("text", redacted(F.col("text")))
+    new = small_batches(docs).withColumn("text", redacted(F.col("text")))
     return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.shared import small_batches
+
 #: Entries a task's table of words and of fragments may hold before it starts anew.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 #: The white space that the vocabulary's pattern `\s` means.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -215,7 +217,7 @@ def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def bpe_digest(docs: DataFrame, vocab: str) -> DataFrame:
@@ -237,4 +239,4 @@ def bpe_digest(docs: DataFrame, vocab: str) -> DataFrame:
             columns = [*zip(*rows, strict=True)] if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], RESULT.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, RESULT)

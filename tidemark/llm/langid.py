@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import text_pieces
+from tidemark.llm.shared import small_batches, text_pieces
 
 HIDDEN, WINDOW = 8, 64
 
 #: Stretches the network is trained on, at most: so many for each language, and in all.
 MAX_PER_LANGUAGE, MAX_STRETCHES = 900, 30_000
 
+#: Stretches from one text, at most.
+MAX_PER_TEXT = 32
+
 #: Characters of a training stretch.
 STRETCH = 64
 
@@ -82,10 +85,11 @@ class ByteNetwork:
         hot[np.arange(x.size), x.ravel()] = 1
         return {f"E{d}": hot.T @ da.reshape(-1, 3 * h), f"U{d}": du, f"b{d}": db}
 
-    def fit(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.02, seed: int = 5) -> None:
+    def fit(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray, least_steps: int = 160, batch: int = 128, rate: float = 0.02, seed: int = 5) -> None:
         """Minimise the cross-entropy at every position with Adam. x, valid: (stretch, step); y: language of each stretch."""
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+        epochs = max(6, -(-least_steps // max(1, -(-len(x) // batch))))
         step, total = 0, max(1, epochs * -(-len(x) // batch))
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -181,13 +185,16 @@ def fit_language(docs: DataFrame) -> ByteNetwork:
     each = max(1, min(MAX_PER_LANGUAGE, MAX_STRETCHES // max(len(languages), 1)))
     if not languages:
         return ByteNetwork([])
-    chance = F.lit(0.0)
-    for lang in languages:  # a few more than needed, by hash, so that only they are sorted
-        chance = F.when(F.col("lang") == lang, min(1.0, (each + 6 * each**0.5) / counts[lang])).otherwise(chance)
+    chance, several = F.lit(0.0), F.lit(1)
+    for lang in languages:  # a few more than needed, by hash, so that only they are sorted; from few texts several stretches each
+        n = min(MAX_PER_TEXT, -(-each // counts[lang]))
+        several = F.when(F.col("lang") == lang, n).otherwise(several)
+        chance = F.when(F.col("lang") == lang, min(1.0, (each + 6 * each**0.5) / (counts[lang] * n))).otherwise(chance)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    spot = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1)
+    spot = 1 + F.pmod(F.xxhash64("doc_id", "nth"), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1)
     cut = F.when(F.length("text") <= STRETCH, F.col("text")).otherwise(F.substring("text", spot.cast("int"), F.lit(STRETCH)))
-    found = rows.where(drawn < chance).select("lang", F.xxhash64("doc_id").alias("order"), cut.alias("cut")).toPandas().sort_values(["lang", "order", "cut"])
+    chosen = rows.where(drawn < chance).select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(1), several)).alias("nth"))
+    found = chosen.select("lang", F.xxhash64("doc_id", "nth").alias("order"), cut.alias("cut")).toPandas().sort_values(["lang", "order", "cut"])
     found = found.groupby("lang").head(each)
     raw = [t.encode()[:WINDOW] for t in found["cut"]]
     x = np.zeros((len(raw), WINDOW), np.uint8)
@@ -221,6 +228,6 @@ def predict_language(docs: DataFrame) -> DataFrame:
     learned from nor held out; other columns are not read.
     """
     network = fit_language(docs)
-    told = docs.select("doc_id", F.coalesce(~learning_row(F.col("doc_id")) & F.col("doc_id").isNotNull(), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), language_of(F.col("text"), network).alias("said"))
+    told = small_batches(docs).select("doc_id", F.coalesce(~learning_row(F.col("doc_id")) & F.col("doc_id").isNotNull(), F.lit(False)).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), language_of(F.col("text"), network).alias("said"))
     named = F.col("letters") & F.col("said.lang").isNotNull()
     return told.select("doc_id", "held_out", F.when(named, F.col("said.lang")).otherwise("und").alias("lang_pred"), F.when(named, F.col("said.score")).otherwise(0.0).alias("score"))

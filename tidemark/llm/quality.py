@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import text_pieces, word_bounds, word_hashes
+from tidemark.llm.shared import small_batches, text_pieces, word_bounds, word_hashes
 
 #: Labelled rows the model is learned from, at most.
 MAX_LABELLED = 12_000
@@ -212,5 +212,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     several labels counts as good if one of them says so. Rows without an id are never learned from nor held out.
     Without any label every score is 0.5; if all labels agree, their smoothed share. Other columns are not read.
     """
-    scored = docs.select("doc_id", F.coalesce(~learning_row(F.col("doc_id")) & F.col("doc_id").isNotNull(), F.lit(False)).alias("held_out"), quality_score(F.col("text"), fit_quality(docs, labels)).alias("score"))
+    scored = small_batches(docs).select("doc_id", F.coalesce(~learning_row(F.col("doc_id")) & F.col("doc_id").isNotNull(), F.lit(False)).alias("held_out"), quality_score(F.col("text"), fit_quality(docs, labels)).alias("score"))
     return scored.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes worked on at once inside a task; a single longer document is still taken whole.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 18
+
+#: Bytes of a batch of rows on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let the session hand texts to Python in batches of a few MB: the default of 64 MB is held several times over in each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
