@@ -39,6 +39,17 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of `docs` whose id is among `ids`, without shuffling the texts of the others.
+
+    Spark builds a Bloom filter of bounded size from the ids and applies it to the scan before the semi join; it does so
+    by itself only for scans beyond a limit and for a side with a comparison, hence the setting and a comparison that
+    holds for every id.
+    """
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
+    return docs.join(ids.where(ids[id_col] >= -(2**63)), id_col, "left_semi")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
