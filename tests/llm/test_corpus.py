@@ -346,11 +346,11 @@ def library():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["'", "s", "re", "'ll", "<|endoftext|>", "<|start", "Σ", "É", " ", "\n", "\x1c", "\x85", "A", "9", "#!", "İ", "ß", "中", "a" * 90]), max_size=12).map("".join)))
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["'", "s", "re", "'ll", "<|endoftext|>", "<|start", "Σ", "É", " ", "\n", "\x1c", "\x85", "A", "9", "#!", "İ", "ß", "中", "\ua7dc", "\U00010d50", "a" * 90]), max_size=12).map("".join)))
 def test_bpe_is_the_library(library, text):
     import unicodedata
 
-    if any(unicodedata.category(c) in ("Cn", "Cs") for c in text):  # unassigned in this Python's tables
+    if any(unicodedata.category(c) == "Cs" for c in text):  # lone surrogates are no text
         return
     own, ids = bpe.encoder(VOCAB), library.encode(text, add_special_tokens=False).ids
     assert own.encode(text) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False) == own.both(text)[1]

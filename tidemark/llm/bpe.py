@@ -21,23 +21,39 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tidemark.llm.shared import small_batches
+from tidemark.llm.shared import give_back, small_batches
 
 #: Entries a task's table of words and of fragments may hold before it starts anew.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 1 << 16
 
 #: The white space that the vocabulary's pattern `\s` means.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def _planes() -> Iterator[str]:
+    """All code points, 65,536 in a string: the library keeps several bytes for each of a string's."""
+    for low in range(0, sys.maxunicode + 1, 1 << 16):
+        yield "".join([chr(c) for c in range(low, low + (1 << 16)) if not 0xD800 <= c <= 0xDFFF])
+
+
 def _ranges(kind: str) -> str:
     """A character class's body with every code point of the property `kind`, by the Unicode tables of the tokenizers library."""
-    from tokenizers import Regex, pre_tokenizers
+    split = pre_tokenizers.Split(Regex(f"\\p{{{kind}}}+"), "removed", invert=True)
+    runs = [run for plane in _planes() for run, _ in split.pre_tokenize_str(plane)]
+    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run in runs)
+
 
-    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF)
-    runs = pre_tokenizers.Split(Regex(f"\\p{{{kind}}}+"), "removed", invert=True).pre_tokenize_str(every)
-    return "".join(f"\\U{ord(run[0]):08x}-\\U{ord(run[-1]):08x}" for run, _ in runs)
+def _unknown() -> str:
+    """A character class's body with the code points that Python's Unicode tables do not know and the library's may."""
+    edges: list[int] = []
+    for c in range(sys.maxunicode + 1):
+        if (unicodedata.category(chr(c)) == "Cn") != len(edges) % 2:
+            edges.append(c)
+    if len(edges) % 2:
+        edges.append(sys.maxunicode + 1)
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
 def byte_letters() -> list[str]:
@@ -93,6 +109,8 @@ class ForcedBoundaryBpe:
         letter, number = _ranges("L"), _ranges("N")
         self._white = re.compile(f"[{WHITE}]+")
         self._plain = re.compile("[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z0-9]+")  # the same for lower-case ASCII
+        self._unknown = re.compile(f"[{_unknown()}]")
+        self._normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self._odd_white = re.compile("[\x1c-\x1f]")  # white to str.split, not to the vocabulary
         # Letters first: no other alternative begins with one, so the order among the rest decides alone.
         self._parts = re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{WHITE}{letter}{number}]+")
@@ -162,7 +180,9 @@ class ForcedBoundaryBpe:
 
     def _stretches(self, text: str) -> list[str]:
         """Normalise a text without special tokens and part it at white space, which no pre-token crosses."""
-        if not text.isascii():
+        if not text.isascii() and self._unknown.search(text):
+            text = self._normalizer.normalize_str(text)
+        elif not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
         else:
@@ -229,6 +249,7 @@ def bpe_digest(docs: DataFrame, vocab: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         gc.disable()  # the tables hold no cycles, and walking them again and again costs a fifth of the time
         bpe = encoder(vocab)
         for batch in batches:

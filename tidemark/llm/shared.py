@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system: workers are reused, and what one stage held stays with the next."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
