@@ -25,7 +25,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tidemark.llm.shared import give_back, small_batches
 
-#: Entries a task's table of words and of fragments may hold before it starts anew.
+#: Entries a task's table of words and of fragments may hold before it starts anew; as many older ones are kept beside it.
 CACHE_ENTRIES = 1 << 16
 
 #: The white space that the vocabulary's pattern `\s` means.
@@ -68,12 +68,16 @@ class _Words(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
