@@ -273,6 +273,28 @@ def test_large_regions_are_cut_deeper_and_into_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == label
 
 
+def test_near_copies_among_many_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 8)
+    rng = np.random.default_rng(12)
+    template, texts = [f"w{i}" for i in range(200)], []
+
+    def changed(text, n):
+        new = list(text)
+        for at in rng.choice(66, n, replace=False):
+            new[3 * at + 1] = f"x{rng.integers(1 << 40)}"
+        return new
+
+    for i in range(260):
+        texts.append(changed(template, 4))
+        if i % 8 == 0:
+            texts.append(changed(texts[-1], 5))
+    texts = [" ".join(x) for x in texts]
+    _, label = components_by_force(texts, 3, 85)
+    assert sum(x != i for i, x in enumerate(label)) > 20
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, texts), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     df = docs(spark, ["a b c d", "a b c d", "x y z", "x y z"], ids=[7, 7, None, 3])
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in neardup.near_duplicates(df, 3, 85).collect())

@@ -9,10 +9,11 @@ about one case of 50,000, and only regions that stay too large are cut deeper.
 2. In every region, all members are compared with its most central one (the one whose regions are largest over all
    trees). That is linear in the region and resolves groups of copies, however large.
 3. Regions whose members are not yet all in one component compare the members of different components: in one task up to
-   `REGION` members, else one step deeper in their tree, where step 2 comes first again.
+   `REGION` members. Larger ones first go deeper in their tree, where steps 2 and 3 merge components.
+4. The large regions of the first depth that are still mixed are cut into blocks, and all pairs of blocks that hold
+   different components are compared, so nothing is left out for its size.
 Every link is confirmed on the documents' full sets; links inside a component that is already known add nothing and are
-not confirmed again. Texts travel only for pairs, and at the largest depth regions are cut into blocks and all pairs of
-blocks are compared, so nothing is left out for its size.
+not confirmed again. Texts travel only for pairs.
 """
 
 from __future__ import annotations
@@ -24,16 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.shared import give_back, mix64, only, shingles, small_batches, store, text_pieces, word_hashes
 
 TREES, LEVELS = 16, 8
 
-#: Members of a region that one task compares with each other, and of a block where regions are cut no deeper.
+#: Members of a region that one task compares with each other, and of two blocks of a larger region.
 REGION = 512
 
-#: The largest depth: a region that deep is compared block by block.
+#: The largest depth to which large regions are cut to merge components.
 DEEPEST = 32
 
 #: Hashes of a bottom sketch: whole sets up to this size, estimates beyond.
@@ -280,6 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = full.select("doc_id", "signature")
     forest = Forest(docs, reps, k, percent)
     regions = forest.regions(full.select("doc_id", "keys").join(chosen, "doc_id", "left_semi"))
+    whole = None  # the large regions of the first depth
     while True:
         # Small regions are compared in whole below; the first round spares them most of that.
         central = regions if forest.known is None else regions.where(F.col("members") > REGION)
@@ -290,12 +293,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         large = rows.where(F.col("members") > REGION)
         if not large.limit(1).count():
             break
+        whole = large if whole is None else whole
         if depth >= DEEPEST:
-            forest.link(forest.compare(_blocks(forest.mixed(large.drop("component"))), floor))
             break
         depth = min(3 * depth, DEEPEST)
         deeper = reps.join(store(large.select("doc_id").distinct()), "doc_id", "left_semi")
         regions = forest.regions(deeper.select("doc_id", prefix_keys(F.col("signature"), depth).alias("keys")))
+    if whole is not None:  # members that parted on the way down meet here
+        forest.link(forest.compare(_blocks(forest.mixed(whole.drop("component"))), floor))
     tops = shared.select("print", F.col("rep").alias("top"))
     if forest.known is not None:
         known = forest.known.withColumnsRenamed({"node": "top", "component": "of_top"})
@@ -306,13 +311,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Members dealt to blocks of a region, and each block to every pair of blocks that it is in; `side` tells the two apart."""
-    n = F.ceil(F.col("members") / (REGION // 2)).cast("int")
-    dealt = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    """Members dealt to blocks of a region, and each block to every pair of blocks that it is in; `side` tells the two apart.
+
+    A component larger than a block has blocks of its own, which are not paired with each other; the rest share theirs.
+    """
+    half = REGION // 2
+    count = lambda c: F.ceil(F.col(c) / half).cast("long")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("part"))
+    parts = parts.withColumn("pool", F.when(F.col("part") > half, F.col("component"))).groupBy("key", "pool").agg(F.sum("part").alias("part"))
+    by_pool = Window.partitionBy("key").orderBy(F.col("pool").asc_nulls_first())
+    parts = parts.withColumn("mine", count("part")).withColumn("upto", F.sum("mine").over(by_pool)).withColumn("n", F.sum("mine").over(Window.partitionBy("key")))
+    parts = store(parts.select("key", "pool", "mine", "n", (F.col("upto") - F.col("mine")).alias("low")))
+    single = rows.join(parts.where("pool is not null").withColumnRenamed("pool", "component"), ["key", "component"])
+    shared = rows.join(parts.where("pool is null").drop("pool"), "key")
+    shared = shared.join(parts.where("pool is not null").select("key", F.col("pool").alias("component")), ["key", "component"], "left_anti")
+    others = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    dealt = single.withColumn("other", F.explode(F.filter(others, lambda x: (x < F.col("low")) | (x >= F.col("low") + F.col("mine")))))
+    dealt = dealt.unionByName(shared.withColumn("other", F.explode(others)))
+    dealt = dealt.withColumn("own", F.col("low") + F.pmod(F.xxhash64("doc_id"), F.col("mine")))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int"))
-    return dealt.select("key", "doc_id", "component", F.lit(REGION).alias("members"), (low * F.col("n") + high).cast("int").alias("block"), side.alias("side"))
+    return dealt.select("key", "doc_id", "component", F.lit(REGION).alias("members"), (low * F.col("n") + high).alias("block"), side.alias("side"))
 
 
 def expected_misses(similarity: float, threshold: float) -> float:
