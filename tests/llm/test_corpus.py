@@ -133,6 +133,17 @@ def test_field_adds_what_patterns_miss_and_leaves_prose_alone(field):
         assert found(clean) == []
 
 
+def test_bracketed_signs_need_no_digit(spark, field):
+    texts = ["mail joe (at) site (dot) com ok", "mail joe [AT] site [Dot] org ok", "joe( at )site( dot )net", "a ( b ) [c] {d}", "it was (at", "joe at site {dot} com ok", "(", None]
+    want = [pii.all_spans(t or "", field)[1] for t in texts]
+    assert [len(x) for x in want[:2]] == [1, 1]
+    df = docs(spark, texts).coalesce(1)
+    got = {r.doc_id: r.spans for r in pii.pii_digest(df, field).collect()}
+    assert [got[i] for i in range(len(texts))] == [pii._listed(x) for x in want]
+    new = {r.doc_id: r.new for r in df.select("doc_id", pii.redacted(df["text"], field).alias("new")).collect()}
+    assert new[0] == "mail [EMAIL] ok" and new[1] == "mail [EMAIL] ok" and new[3] == texts[3] and new[7] is None
+
+
 def test_pii_digest_of_odd_rows(spark, field):
     texts = [*ODD, "é x@y.zz and 1.2.3.4"]
     got = {r.doc_id: r for r in pii.pii_digest(docs(spark, texts), field).collect()}

@@ -6,7 +6,8 @@ candidate spans by features of the span (digits, check digit, shape, neighbours)
 of a zone, with a bound on a span's tokens, chooses boundaries and kinds together. Its weights are fitted in numpy by
 gradient ascent on the likelihood of generated sentences, from a fixed seed.
 
-A text without a digit or an @ holds nothing for either; that is seen from the bytes of a whole batch at once.
+A text without a digit, an @, or a bracket that "at" or "dot" follows holds nothing for either; that is seen from the
+bytes of a whole batch at once.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CANDIDATE = np.zeros(256, bool)
 _CANDIDATE[[*b"0123456789@"]] = True
+_BRACKET = np.zeros(256, bool)
+_BRACKET[[*b"([{"]] = True
 
 
 def luhn(digits: str) -> bool:
@@ -333,11 +336,20 @@ def _listed(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
+def _signed(data: np.ndarray) -> np.ndarray:
+    """Places of brackets that "at" or "dot" follows, after a blank or at once, in any case: where `zones` may see a sign."""
+    places = np.flatnonzero(_BRACKET[data])
+    data = np.concatenate([data, np.zeros(4, np.uint8)])
+    word = places + 1 + (data[places + 1] == 0x20)
+    first, second, third = (data[np.minimum(word + i, len(data) - 1)] | 0x20 for i in range(3))
+    return places[(first == 0x61) & (second == 0x74) | (first == 0x64) & (second == 0x6F) & (third == 0x74)]
+
+
 def _flagged(column: pa.Array) -> np.ndarray:
-    """Which texts hold a digit, an @ or a bracketed at-sign."""
+    """Which texts hold a digit, an @ or a bracketed at-sign or dot."""
     out = []
     for _, _, data, offsets in text_pieces(column):
-        places = np.flatnonzero(_CANDIDATE[data])
+        places = np.sort(np.concatenate([np.flatnonzero(_CANDIDATE[data]), _signed(data)]))
         out.append(np.diff(np.searchsorted(places, offsets)) > 0)
     return np.concatenate(out) if out else np.zeros(0, bool)
 
