@@ -91,6 +91,21 @@ def test_lineage(spark):
     assert {(r.node, r.rule) for r in lineage.violations(records).collect()} == {(4, "order"), (4, "missing"), (5, "order")}
 
 
+def test_lineage_has_no_limit_of_rows_or_generations(spark):
+    limits = {"spark.sql.cteRecursionLevelLimit": "5", "spark.sql.cteRecursionRowLimit": "200"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        n = 20  # two parents each: the number of paths doubles every second generation
+        edge = spark.createDataFrame([(c, p) for c in range(2, n + 1) for p in (c - 1, c - 2) if p >= 1], "child long, parent long")
+        assert sorted((r.node, r.ancestor) for r in lineage.ancestors(edge).collect()) == [(c, p) for c in range(1, n + 1) for p in range(1, c)]
+        roots = spark.createDataFrame([(1,)], "node long")
+        assert {r.node: r.depth for r in lineage.depths(edge, roots).collect()} == {c: c - 1 for c in range(1, n + 1)}
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+
+
 def test_digests(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "o int, l string")
     assert checks.order_digest(df, "o", F.col("l")).first().digest == hashlib.sha256(b"a\nb\n").hexdigest()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,33 +15,54 @@ def edges(records: DataFrame, node: str = "id", parents: str = "parents") -> Dat
     return records.select(F.col(node).alias("child"), F.explode(F.array_distinct(parents)).alias("parent"))
 
 
+def _store(df: DataFrame) -> DataFrame:
+    """Write `df` to the session's checkpoint folder and read it back."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ancestors(edge: DataFrame) -> DataFrame:
-    """(node, ancestor) for every ancestor, the node itself excluded: a recursive union over the parent edges."""
-    return edge.sparkSession.sql(
-        """
-        WITH RECURSIVE up(node, ancestor) AS (
-          SELECT child, parent FROM {edge}
-          UNION ALL
-          SELECT up.node, e.parent FROM up JOIN {edge} e ON e.child = up.ancestor)
-        SELECT DISTINCT node, ancestor FROM up
-        """,
-        edge=edge,
-    )
+    """(node, ancestor) for every ancestor, the node itself excluded.
+
+    Each round goes one generation up from the pairs that the last one found and keeps those not yet known, so that a
+    pair is followed once however many paths lead to it.
+    """
+    edge = _store(edge)
+    new = _store(edge.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
+    found = [new]
+    while new.limit(1).count():
+        up = new.join(edge, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
+        if len(found) > 16:  # keeps the plan short
+            found = [_store(reduce(DataFrame.union, found))]
+        new = _store(up.join(reduce(DataFrame.union, found), ["node", "ancestor"], "left_anti"))
+        found.append(new)
+    return reduce(DataFrame.union, found).where("node != ancestor")
 
 
 def depths(edge: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, depth): the longest path up from each node; `roots` has the nodes without parents."""
-    return edge.sparkSession.sql(
-        """
-        WITH RECURSIVE down(node, depth) AS (
-          SELECT node, 0 FROM {roots}
-          UNION ALL
-          SELECT e.child, down.depth + 1 FROM down JOIN {edge} e ON e.parent = down.node)
-        SELECT node, max(depth) AS depth FROM down GROUP BY node
-        """,
-        edge=edge,
-        roots=roots,
-    )
+    """(node, depth): the longest path up from each node; `roots` has the nodes without parents.
+
+    Each round goes one generation down and keeps a node once; the last round that reaches a node is its depth. Rows on a
+    cycle below a root have no longest path and raise a ValueError.
+    """
+    edge = _store(edge.select("child", "parent").distinct())
+    level = _store(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    found, generation = [level], 0
+    nodes = edge.select("child").distinct().count()
+    while level.limit(1).count():
+        generation += 1
+        if generation > nodes + 1:
+            raise ValueError("the lineage has a cycle")
+        down = level.join(edge, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
+        if len(found) > 16:
+            found = [_store(reduce(DataFrame.union, found).groupBy("node").agg(F.max("depth").alias("depth")))]
+        level = _store(down.withColumn("depth", F.lit(generation)))
+        found.append(level)
+    return reduce(DataFrame.union, found).groupBy("node").agg(F.max("depth").alias("depth"))
 
 
 def rollup(records: DataFrame, role: str, parents: str = "parents") -> DataFrame:
