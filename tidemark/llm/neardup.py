@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import give_back, mix64, only, shingles, small_batches, store, text_pieces, word_hashes
+from tidemark.llm.shared import give_back, lean, mix64, only, shingles, small_batches, store, text_pieces, word_hashes
 
 TREES, LEVELS = 16, 8
 
@@ -104,6 +104,7 @@ def sketches(docs: DataFrame, k: int, depth: int) -> DataFrame:
     """doc_id, n_shingles, and, null for empty sets: a fingerprint of the whole set, its signature, its regions' keys at the first depth."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
@@ -129,6 +130,7 @@ def bottoms(docs: DataFrame, k: int) -> DataFrame:
     """doc_id and the least BOTTOM hashes of its set, 32 bits each, in rising order; fewer hashes are the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
@@ -155,9 +157,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     two = one.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, 100):
+                part = batch.slice(low, 100)
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 first: dict[int, int] = {}
                 for i, x in enumerate(a):
@@ -176,16 +179,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 class Forest:
     """State of one run: representatives with signatures, and the component that each is known to be in."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, percent: int):
-        self.docs, self.reps, self.k, self.percent = docs, reps, k, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, n: int, k: int, percent: int):
+        self.docs, self.reps, self.n, self.k, self.percent = docs, reps, n, k, percent
         self.known: DataFrame | None = None  # node, component
         self.signed: DataFrame | None = None  # doc_id, signature, bottom of the documents in regions that stay mixed
 
     def regions(self, keys: DataFrame) -> DataFrame:
         """(doc_id, key, members) for every region of two members or more, from (doc_id, keys)."""
-        rows = store(keys.select("doc_id", F.explode("keys").alias("key")))
+        n = self.n * TREES
+        rows = store(keys.select("doc_id", F.explode("keys").alias("key")), n)
         sizes = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        return store(rows.join(store(sizes), "key"))
+        return store(rows.join(store(sizes, n), "key"), n)
 
     def with_component(self, rows: DataFrame) -> DataFrame:
         if self.known is None:
@@ -193,33 +197,35 @@ class Forest:
         known = self.known.withColumnRenamed("node", "doc_id")
         return rows.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
-    def link(self, pairs: DataFrame) -> None:
-        """Confirm pairs and join the components of those that hold."""
-        pairs = store(pairs.select("a", "b").distinct())
-        if not pairs.limit(1).count():
+    def link(self, pairs: DataFrame, bound: int | None = None) -> None:
+        """Confirm pairs (`bound` of them at most, if it is known) and join the components of those that hold."""
+        pairs = store(pairs.select("a", "b").distinct(), bound)
+        n = pairs.count()
+        if not n:
             return
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        links = store(confirm(pairs, only(self.docs, store(wanted)), self.k, self.percent))
+        links = store(confirm(pairs, only(self.docs, store(wanted, 2 * n)), self.k, self.percent))
+        n = links.count()
         if self.known is not None:
-            if not links.limit(1).count():
+            if not n:
                 return
             for end in ("a", "b"):
                 links = self.with_component(links.withColumnRenamed(end, "doc_id")).drop("doc_id").withColumnRenamed("component", end)
-        merged = store(connected_components(links))
+        merged = store(connected_components(links, rows=n), 2 * n)
         if self.known is None:
             self.known = merged
             return
         moved = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
         old = self.known.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
         new = merged.join(self.known.select("node"), "node", "left_anti")  # representatives that were alone so far
-        self.known = store(old.union(new).distinct())
+        self.known = store(old.union(new).distinct(), self.n)
 
     def stars(self, regions: DataFrame) -> DataFrame:
         """Pairs of each region's most central member and the others not yet in its component."""
         weight = regions.groupBy("doc_id").agg(F.sum("members").alias("weight"))
-        weighed = regions.join(store(weight), "doc_id")
+        weighed = regions.join(store(weight, self.n), "doc_id")
         centre = weighed.groupBy("key").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("centre"))
-        pairs = regions.join(store(centre), "key").where("doc_id != centre")
+        pairs = regions.join(store(centre, self.n * TREES), "key").where("doc_id != centre")
         if self.known is None:
             return pairs.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
         pairs = self.with_component(pairs.select("centre", "doc_id").distinct()).withColumnsRenamed({"doc_id": "b", "component": "of_b"})
@@ -230,18 +236,19 @@ class Forest:
         """The regions whose members are in more than one component, with each member's component."""
         rows = self.with_component(regions)
         many = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("many")).where("many").select("key")
-        return store(rows.join(store(many), "key"))
+        return store(rows.join(store(many, self.n * TREES), "key"), self.n * TREES)
 
     def compare(self, rows: DataFrame, floor: float) -> DataFrame:
         """Pairs of different components that neither signatures nor bottom sketches rule out, within groups of at most two blocks."""
         if self.signed is None:  # deeper regions hold no other documents
-            wanted = store(rows.select("doc_id").distinct())
+            wanted = store(rows.select("doc_id").distinct(), self.n)
             bottom = bottoms(only(self.docs, wanted), self.k).groupBy("doc_id").agg(F.min("bottom").alias("bottom"))
             self.signed = store(only(self.reps, wanted).join(bottom, "doc_id"))
         signed = rows.where(F.col("members") <= REGION).join(self.signed, "doc_id")
         percent = self.percent
 
         def run(table: pa.Table) -> pa.Table:
+            lean()
             table = table.sort_by("doc_id")
             ids, group, side = (table.column(c).to_numpy() for c in ("doc_id", "component", "side"))
             minima = np.frombuffer(b"".join(x.as_py() for x in table.column("signature")), np.uint16).reshape(len(ids), -1)
@@ -266,27 +273,51 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, shingles k consecutive words (all of them, where there are
     fewer). Documents whose sets' similarity is at least percent / 100 are linked; component_id is the smallest doc_id
     that links reach and kept says whether that is the document's own. Null and empty texts have an empty set and stand
-    alone. Rows without an id get a null component and are kept; repeated rows of an id are one document, each answered.
-    Other columns are not read; no rows in, no rows out.
+    alone. Rows without an id get a null component and are kept. Rows that repeat an id are one document, which has the
+    links of each of its texts; each row is answered, with its own n_shingles. Other columns are not read; no rows in, no
+    rows out.
     """
-    floor = percent / 100 - SLACK
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = store(sketches(docs, k, first_depth(percent / 100)))
+    several = made.where("doc_id is not null").groupBy("doc_id").agg((F.min(F.xxhash64("print")) != F.max(F.xxhash64("print"))).alias("several"))
+    if several.where("several").limit(1).count():
+        return _by_row(docs, k, percent)
+    return _placed(docs, made, k, percent)
+
+
+def _by_row(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """`near_duplicates` where an id has different texts: every row is a document of its own, and then all rows of an id are joined."""
+    numbered = store(docs.withColumn("row", F.monotonically_increasing_id()))
+    rows = numbered.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+    found = _placed(rows, store(sketches(rows, k, first_depth(percent / 100))), k, percent)
+    found = store(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("group")).join(numbered.select("row", "doc_id"), "row"))
+    least = store(found.groupBy("group").agg(F.min("doc_id").alias("least")))
+    tops = connected_components(found.select("doc_id", "group").distinct().join(least, "group"), "doc_id", "least")
+    own = F.coalesce("component", "doc_id")
+    placed = found.join(store(tops).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    nameless = sketches(numbered.where("doc_id is null"), k, 1).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return placed.unionByName(nameless)
+
+
+def _placed(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
+    """`near_duplicates` where all rows of an id have the same set; `made` has their sketches."""
+    floor = percent / 100 - SLACK
     depth = first_depth(percent / 100)
-    made = store(sketches(docs, k, depth))
     full = made.where("doc_id is not null and n_shingles > 0")
-    if full.groupBy("doc_id").count().where("count > 1").limit(1).count():  # several rows of one id: one of them speaks for all
+    if full.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows of one id with the same set: one of them speaks for all
         full = store(full.groupBy("doc_id").agg(F.min_by(F.struct("print", "signature", "keys"), "print").alias("row")).select("doc_id", "row.*"))
     # Same set, same component: the smallest id stands for all. Signatures stay where they are until a region needs them.
-    shared = store(full.groupBy("print").agg(F.min("doc_id").alias("rep")))
+    n = full.count()
+    shared = store(full.groupBy("print").agg(F.min("doc_id").alias("rep")), n)
     chosen = shared.select(F.col("rep").alias("doc_id"))
     reps = full.select("doc_id", "signature")
-    forest = Forest(docs, reps, k, percent)
+    forest = Forest(docs, reps, n, k, percent)
     regions = forest.regions(full.select("doc_id", "keys").join(chosen, "doc_id", "left_semi"))
     whole = None  # the large regions of the first depth
     while True:
         # Small regions are compared in whole below; the first round spares them most of that.
         central = regions if forest.known is None else regions.where(F.col("members") > REGION)
-        forest.link(forest.stars(central))
+        forest.link(forest.stars(central), n * TREES)
         rows = forest.mixed(regions)
         every = rows.select("key", "doc_id", "component", "members", F.lit(0).alias("block"), F.lit(-1).alias("side"))
         forest.link(forest.compare(every, floor))
@@ -297,7 +328,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if depth >= DEEPEST:
             break
         depth = min(3 * depth, DEEPEST)
-        deeper = reps.join(store(large.select("doc_id").distinct()), "doc_id", "left_semi")
+        deeper = reps.join(store(large.select("doc_id").distinct(), n), "doc_id", "left_semi")
         regions = forest.regions(deeper.select("doc_id", prefix_keys(F.col("signature"), depth).alias("keys")))
     if whole is not None:  # members that parted on the way down meet here
         forest.link(forest.compare(_blocks(forest.mixed(whole.drop("component"))), floor))
@@ -305,7 +336,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if forest.known is not None:
         known = forest.known.withColumnsRenamed({"node": "top", "component": "of_top"})
         tops = tops.join(known, "top", "left").select("print", F.coalesce("of_top", "top").alias("top"))
-    placed = made.select("doc_id", "n_shingles", "print").join(store(tops), "print", "left")
+    placed = made.select("doc_id", "n_shingles", "print").join(store(tops, n), "print", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id"))
     return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 

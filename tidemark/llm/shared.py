@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 PIECE_BYTES = 1 << 18
 
 #: Bytes of a batch of rows on its way to a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the session names none."""
+    """The cluster's checkpoint folder. Only a local session may go without one: a folder of this machine is no use to executors elsewhere."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir()
 
 
@@ -32,16 +37,39 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Keep this Python worker small, from its first task on: one arena, large arrays straight from the system and back to it.
+
+    Workers are reused from stage to stage, and what an allocator keeps for later in one of them is lost to the others.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    if tune := getattr(ctypes.CDLL(None), "mallopt", None):
+        # Fixed values of glibc: M_ARENA_MAX, M_MMAP_THRESHOLD, M_TRIM_THRESHOLD.
+        for name, value in ((-8, 1), (-3, 4 << 20), (-1, 8 << 20)):
+            tune(name, value)
+
+
 def give_back() -> None:
-    """Return memory that this Python worker has freed to the system: workers are reused, and what one stage held stays with the next."""
+    """Return memory that this Python worker has freed to the system."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors."""
+#: Rows of a few numbers that one task should have at least, and tasks that a small table is still dealt to.
+TASK_ROWS, LEAST_TASKS = 250_000, 12
+
+
+def store(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    With `rows`, a bound on the rows of a table without texts, a small one is written by few tasks: many rounds over
+    small tables would else spend their time on starting tasks. For large ones this changes nothing.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS)))
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
