@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import small_batches, text_pieces
+from tidemark.llm.shared import give_back, lean, small_batches, text_pieces
 
 #: The kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -32,6 +32,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Tokens a candidate span may hold.
 MAX_TOKENS = 16
 
+#: Characters that a zone reaches beyond its outermost digits and signs, before it goes on to the end of the word.
+NEAR = 24
+
 #: A span is added if its posterior probability reaches this.
 CERTAIN = 0.9
 
@@ -77,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the fixed patterns: leftmost, not overlapping within a kind; failing matches are dropped without a retry."""
     found = list(_emails(text)) if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
             found.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -124,29 +127,50 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
     ], float)
 
 
+_SPOT = re.compile(r"[0-9@]+|[\[({] ?(?:at|dot) ?[\])}]", re.IGNORECASE)
+_BLANK = re.compile(r"\s")
+
+
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that can hold an entity: tokens with digits, @ or at-signs, and what links them to their neighbours."""
-    spots = [m.span() for m in re.finditer(r"[0-9@]+|[\[({] ?(?:at|dot) ?[\])}]", text, re.IGNORECASE)]
-    low = high = -1
-    for a, b in spots:
-        if high >= 0 and a - high <= 24 and "\n" not in text[high:a]:
-            high = b
-            continue
-        if high >= 0:
-            yield _widened(text, low), high + 24
-        low, high = a, b
+    """Stretches that can hold an entity: tokens with digits, @ or at-signs, and what links them to their neighbours.
+
+    A zone reaches `NEAR` characters to both sides and on to the end of the word or of the line there, so no word of an
+    entity is cut; zones that touch are one.
+    """
+    low, high = 0, -1
+    for m in _SPOT.finditer(text):
+        start = _back(text, m.start(), max(high, 0)) if m.start() > high else high
+        if start > high:  # else the zone so far reaches over this place
+            if high >= 0:
+                yield low, high
+            low = start
+        if m.end() + NEAR > high:
+            high = _forward(text, m.end(), max(m.end(), high))
     if high >= 0:
-        yield _widened(text, low), high + 24
+        yield low, high
 
 
-def _widened(text: str, start: int) -> int:
-    """A place some characters before `start`, moved on to where a word begins."""
-    low = max(0, start - 24)
-    while 0 < low < start and text[low].isalnum() and text[low - 1].isalnum():
-        low += 1
+def _back(text: str, spot: int, floor: int) -> int:
+    """The start of the word that holds the place NEAR characters before the spot, at most as far back as its line's start or `floor`."""
+    low = max(spot - NEAR, floor, text.rfind("\n", max(spot - NEAR, floor), spot) + 1)
+    if low == spot - NEAR and not text[low].isspace():
+        while low > floor and not text[low - 1].isspace():
+            low -= 1
     return low
 
 
+def _forward(text: str, spot: int, floor: int) -> int:
+    """The end of the word that holds the place NEAR characters after the spot, at most as far as its line's end."""
+    high = min(spot + NEAR, len(text))
+    line = text.find("\n", spot, high)
+    if line >= 0:
+        return max(line, floor)
+    if high < len(text) and not text[high - 1].isspace():
+        end = _BLANK.search(text, high)
+        high = end.start() if end else len(text)
+    return max(high, floor)
+
+
 def _tokens(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, min(end, len(text)))]
 
@@ -373,6 +397,7 @@ def pii_digest(docs: DataFrame, field: SpanField | None = None) -> DataFrame:
     weights = (field or fit_field()).weights.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             rows = []
             for _, base, spans in _found(batch.column(1), weights):
@@ -380,16 +405,22 @@ def pii_digest(docs: DataFrame, field: SpanField | None = None) -> DataFrame:
                 rows.append((*(kinds.count(k) for k in range(len(KINDS))), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)))
             columns = [*zip(*rows, strict=True)] or [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], RESULT.names)
+        give_back()
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, RESULT)
 
 
 def redacted(text: Column, field: SpanField | None = None) -> Column:
-    """The text with every span replaced by its kind in brackets, such as [EMAIL]; of spans that overlap, the whole stretch by the first's kind."""
+    """The text with every span replaced by its kind in brackets, such as [EMAIL]; of spans that overlap, the whole stretch by the first's kind.
+
+    Null stays null, an empty text stays empty; whole texts are read, however long. The same text gives the same result in
+    every row.
+    """
     weights = (field or fit_field()).weights.tobytes()
 
     @F.arrow_udf(T.StringType())
     def run(column: pa.Array) -> pa.Array:
+        lean()
         out = []
         for (text, _, spans), old in zip(_found(column, weights), column, strict=True):
             parts, done = [], 0
