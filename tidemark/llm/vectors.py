@@ -9,7 +9,7 @@ ranking whose groups have k rows a block.
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a candidate block and of a query block, about.
-CANDIDATES, QUERIES = 2048, 1024
+from tidemark.llm.shared import lean
+
+#: Rows of a candidate block and of a query block, about. Candidates are shuffled once for each query block.
+CANDIDATES, QUERIES = 2048, 4096
 
 
 def whole(vector: Column) -> Column:
@@ -42,7 +44,8 @@ def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def search_blocks(rows: DataFrame, every: int, k: int, answer: Callable, best: str, score_type: str) -> DataFrame:
     """Answer the rows whose id is divisible by `every` against all rows; `answer` takes two Arrow tables of a pair of blocks.
 
-    Rows without an id take no part. Of queries with one id, the least vector counts; as candidates they all count.
+    Rows without an id take no part. Of queries with one id, the least vector counts; as candidates they all count, and
+    are dealt apart, so that an id which many rows have fills no block.
     """
     rows = rows.where("vec_id is not null")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
@@ -50,13 +53,15 @@ def search_blocks(rows: DataFrame, every: int, k: int, answer: Callable, best: s
     n_candidates, n_queries = max(1, ceil(counts["n"] / CANDIDATES)), max(1, ceil(counts["q"] / QUERIES))
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        placed = df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int"))
+        salt = F.monotonically_increasing_id() if own == "c" else F.lit(0)
+        placed = df.withColumn(own, F.pmod(F.xxhash64("vec_id", salt), F.lit(n_own)).cast("int"))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
 
     left = dealt(rows, "c", n_candidates, "q", n_queries).groupBy("c", "q")
     right = dealt(asked, "q", n_queries, "c", n_candidates).groupBy("c", "q")
 
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        lean()
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64() if score_type == "long" else pa.float64())})
         return answer(candidates, queries) if candidates.num_rows and queries.num_rows else empty
 
@@ -103,7 +108,12 @@ def exact_top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int =
     """
 
     def integers(x: np.ndarray) -> np.ndarray:
-        return np.floor(x * scale)
+        with np.errstate(over="ignore"):
+            y = np.floor(x * scale)
+        if np.isfinite(y).all():
+            return y
+        # Beyond the range of doubles: such components are whole numbers, and Python's integers have no end.
+        return np.frompyfunc(lambda v: floor(v * scale) if abs(v) < 2**53 else int(v) * scale, 1, 1)(x)
 
     def answer(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         ids, c, _ = _arrays(candidates)
@@ -111,7 +121,8 @@ def exact_top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int =
         c, q = integers(c), integers(q)
         dims = min(c.shape[1], q.shape[1])
         c, q = c[:, :dims], q[:, :dims]
-        top = np.abs(c).max(initial=0) * np.abs(q).max(initial=0) * max(dims, 1)
+        most = [0 if x.dtype == object else float(np.abs(x).max(initial=0)) for x in (c, q)]
+        top = float("inf") if object in (c.dtype, q.dtype) else most[0] * most[1] * max(dims, 1)
         kind = np.int32 if top < 2**31 else np.int64 if top < 2**62 else object  # objects: Python's unbounded integers
         if kind is object:
             c, q = np.frompyfunc(int, 1, 1)(c), np.frompyfunc(int, 1, 1)(q)
@@ -160,60 +171,47 @@ def orders(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.argsort(distance, axis=1, kind="stable")
 
 
-def spread_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Up to n different vectors of the sample, each the farthest from those before it: copies take no two places."""
-    chosen, gap = [], np.full(len(sample), np.inf)
-    for _ in range(min(n, len(sample))):
-        at = int(gap.argmax())
-        if gap[at] <= 0:
-            break
-        chosen.append(at)
-        gap = np.minimum(gap, ((sample - sample[at]) ** 2).sum(1))
-    return sample[chosen]
+def ranks(order: np.ndarray) -> np.ndarray:
+    """For each vector, the place of every pivot in its order."""
+    out = np.empty(order.shape, np.int16)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None], axis=1)
+    return out
 
 
-def post(order: np.ndarray, prefix: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Inverted files: for each pivot, the vectors that have it among their first `prefix` pivots, and at which place."""
-    n, n_pivots = order.shape
-    prefix = min(prefix, n_pivots)
-    pivot, owner, place = order[:, :prefix].ravel(), np.repeat(np.arange(n), prefix), np.tile(np.arange(prefix), n)
+def post(order: np.ndarray, prefix: int) -> list[np.ndarray]:
+    """Inverted files: for each pivot, the vectors that have it among their `prefix` nearest."""
+    pivot, owner = order[:, :prefix].ravel(), np.repeat(np.arange(len(order)), min(prefix, order.shape[1]))
     by = np.argsort(pivot, kind="stable")
-    ends = np.searchsorted(pivot[by], np.arange(n_pivots + 1))
-    return [(owner[by[a:b]], place[by[a:b]].astype(np.int32)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def footrule(files: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray, prefix: int, n: int) -> np.ndarray:
-    """Footrule distance of one query's order to n posted vectors; a pivot missing from a list counts as at its end."""
-    asked = order[:prefix]
-    total = np.full(n, int(sum(abs(prefix - p) for p in range(len(asked)))), np.int32)
-    for place, pivot in enumerate(asked):
-        owners, places = files[pivot]
-        change = np.abs(places - place) - abs(prefix - place)
-        if len(owners) == n:
-            total += change
-        else:
-            total[owners] += change
-    return total
+    ends = np.searchsorted(pivot[by], np.arange(order.shape[1] + 1))
+    return [owner[by[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
+def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Footrule distance of one order's ranks to those of others: how far the pivots stand from their places, in all."""
+    return np.abs(a - b).sum(1, dtype=np.int32)
 
-def permutation_search(embeddings: DataFrame, k: int = 10, every: int = 100, n_pivots: int = 128, prefix: int = 128, share: float = 0.15, least: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+
+def permutation_search(embeddings: DataFrame, k: int = 10, every: int = 100, n_pivots: int = 256, prefix: int = 16, share: float = 0.1, least: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's k nearest vectors found: query_id, rank, vec_id, score (Euclidean distance, double precision).
 
-    Pivots are `n_pivots` vectors that lie far apart among a sample of four times as many rows, taken by a hash of the
-    id: the index's only fitted part, of bounded size. Every row is represented by its pivots in order of nearness and posted
-    in their inverted files, block by block. A query adds up footrule distances from the files of its own pivots, and the
-    `share` of each block that ranks best (`least` rows at least) is measured exactly. Queries are rows whose id is
-    divisible by `every`; candidates all rows with another id; ties go to the smaller vec_id. Vectors null, zero, empty,
-    or with a null or non-finite component, and rows without an id, take no part; of two lengths the shorter is read as
-    padded with zeros. Repeated rows are candidates each, one query together. An empty table gives no rows; other columns
-    are not read.
+    Pivots are `n_pivots` rows, taken by a hash of the id, copies left out: the index's only fitted part, of bounded size.
+    Every row is represented by its pivots in order of nearness and posted in the inverted files of its `prefix` nearest,
+    block by block. A query visits the files of its own `prefix` nearest pivots and no others, ranks what it finds there by
+    the footrule distance of the whole orders, and measures the nearest `share` of it (`least` rows at least). Where a
+    block's files hold fewer than k + `least` rows for a query, the rest of the block is visited too, so that each query
+    has k answers where there are so many rows.
+
+    Queries are rows whose id is divisible by `every`; candidates all rows with another id; ties go to the smaller vec_id.
+    Vectors null, zero, empty, or with a null or non-finite component, and rows without an id, take no part; of two lengths
+    the shorter is read as padded with zeros. Components so large that squares overflow give an infinite score. Repeated
+    rows are candidates each, one query together. An empty table gives no rows; other columns are not read.
     """
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(whole(F.col("vector")) & F.exists("vector", lambda x: x != 0))
-    sample = rows.where("vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * n_pivots).collect()
+    sample = rows.where("vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * n_pivots).collect()
     width = max((len(r["vector"]) for r in sample), default=0)
-    pivots = np.array([r["vector"] + [0.0] * (width - len(r["vector"])) for r in sample]).reshape(len(sample), width)
-    pivots = spread_pivots(pivots, n_pivots)
+    different = dict.fromkeys(tuple(r["vector"] + [0.0] * (width - len(r["vector"]))) for r in sample)
+    pivots = np.array([*different][:n_pivots]).reshape(-1, width)
 
     def fitted(x: np.ndarray, to: int) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, to - x.shape[1])))
@@ -223,17 +221,25 @@ def permutation_search(embeddings: DataFrame, k: int = 10, every: int = 100, n_p
         asked, q, _ = _arrays(queries)
         dims = max(c.shape[1], q.shape[1], width)
         c, q, p = fitted(c, dims), fitted(q, dims), fitted(pivots, dims)
-        files = post(orders(c, p), prefix)
-        n, most = len(ids), max(least, ceil(share * len(ids)), k + 1)
-        out = []
-        for i, vector, order in zip(asked, q, orders(q, p), strict=True):
-            rank = footrule(files, order, min(prefix, len(p)), n).astype(np.int64) * n + np.arange(n)  # ties to smaller ids
-            rank[slice(*np.searchsorted(ids, [i, i + 1]))] = np.iinfo(np.int64).max
-            near = np.argpartition(rank, most)[:most] if most < n else np.arange(n)
-            near = np.sort(near[ids[near] != i])
-            distance = np.sqrt(((c[near] - vector) ** 2).sum(1))
-            places = top_k(-distance, ids[near], k)
-            out.append((np.full(len(places), i), ids[near][places], distance[places]))
+        with np.errstate(over="ignore", invalid="ignore"):
+            order, asking = orders(c, p), orders(q, p)
+            files, places, own_places = post(order, prefix), ranks(order), ranks(asking)
+            out = []
+            for i, vector, wanted, own in zip(asked, q, asking, own_places, strict=True):
+                visited = np.zeros(len(ids), bool)
+                for pivot in wanted[:prefix]:
+                    visited[files[pivot]] = True
+                if visited.sum() < k + least:
+                    visited[:] = True
+                visited[slice(*np.searchsorted(ids, [i, i + 1]))] = False
+                near = np.flatnonzero(visited)  # ids rise, so ties go to smaller ids
+                most = max(least, k, ceil(share * len(near)))
+                if most < len(near):
+                    rank = footrule(places[near], own).astype(np.int64) * len(near) + np.arange(len(near))
+                    near = np.sort(near[np.argpartition(rank, most)[:most]])
+                distance = np.sqrt(((c[near] - vector) ** 2).sum(1))
+                best = top_k(-distance, ids[near], k)
+                out.append((np.full(len(best), i), ids[near][best], distance[best]))
         a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": a, "vec_id": b, "score": s})
 
