@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tidemark.llm.shared import give_back, small_batches
+from tidemark.llm.shared import give_back, lean, small_batches
 
-#: Entries a task's table of words and of fragments may hold before it starts anew; as many older ones are kept beside it.
-CACHE_ENTRIES = 1 << 16
+#: Bytes that a task's table of words and of fragments may hold before it starts anew; as many older ones are kept beside it.
+WORD_BYTES, FRAGMENT_BYTES = 12 << 20, 4 << 20
+
+#: What an entry takes besides its letters, about: two objects and their place in the table.
+ENTRY_BYTES = 200
 
 #: The white space that the vocabulary's pattern `\s` means.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -63,20 +66,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-class _Words(dict):
-    """word -> (ids joined by spaces, tokens joined by spaces), made when first asked for."""
+class _Table(dict):
+    """What `make` gives for a key, made when first asked for. Beyond `limit` bytes the table becomes the older one and starts anew."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.limit, self.room, self.older = make, limit, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        size = ENTRY_BYTES + len(key[0] if isinstance(key, tuple) else key) + (len(value) if isinstance(value, str) else 8 * len(value))
+        if size > self.limit >> 6:  # a long stretch without white space is seldom met twice
+            return value
+        if size > self.room:
+            self.older, self.room = self.copy(), self.limit
+            self.clear()
+        self.room -= size
         self[key] = value
         return value
 
@@ -96,8 +103,8 @@ class ForcedBoundaryBpe:
             spec = json.load(f)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.tokens = {i: t for t, i in self.vocab.items()}
+        vocab: dict[str, int] = model["vocab"]
+        self.tokens = {i: t for t, i in vocab.items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.ranks = _Ranks(((a, b), r) for r, (a, b) in enumerate(merges))
         self.joined = [a + b for a, b in merges]
@@ -106,7 +113,7 @@ class ForcedBoundaryBpe:
         self.letters = byte_letters()
         self._one = set(self.letters)
         self.inner: set[tuple[str, str]] = set()
-        for token in self.vocab:
+        for token in vocab:
             body = token.removesuffix(self.end)
             self.inner.update(zip(body, body[1:]))
         self._split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -118,8 +125,9 @@ class ForcedBoundaryBpe:
         self._odd_white = re.compile("[\x1c-\x1f]")  # white to str.split, not to the vocabulary
         # Letters first: no other alternative begins with one, so the order among the rest decides alone.
         self._parts = re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{WHITE}{letter}{number}]+")
-        self.fragments = _Words(lambda key: self._merge(*key))
-        self.words = _Words(self._word)
+        self.number = {t: str(i) for t, i in vocab.items()} | {t: str(i) for t, i in self.special.items()}
+        self.fragments = _Table(lambda key: self._merge(*key), FRAGMENT_BYTES)
+        self.words = _Table(self._word, WORD_BYTES)
 
     def cuts(self, word: str) -> list[str]:
         """The word (in byte letters) cut wherever two neighbours stand side by side in no token."""
@@ -170,8 +178,8 @@ class ForcedBoundaryBpe:
                     heapq.heappush(heap, (self.ranks[p], a, p))
         return tuple(p for p, alive in zip(parts, live, strict=True) if alive)
 
-    def _word(self, word: str) -> tuple[str, str]:
-        """A stretch without white space: its pre-tokens, their fragments, and the fragments' tokens."""
+    def _word(self, word: str) -> str:
+        """The tokens of a stretch without white space, joined by spaces: of its pre-tokens' fragments."""
         parts: list[str] = []
         for run in (self._plain if word.isascii() else self._parts).findall(word):
             if not (run.isascii() and run.isprintable()):
@@ -180,7 +188,7 @@ class ForcedBoundaryBpe:
             for piece in pieces[:-1]:
                 parts += self.fragments[piece, False]
             parts += self.fragments[pieces[-1], True]
-        return " ".join([str(self.vocab[t]) for t in parts]), " ".join(parts)
+        return " ".join(parts)
 
     def _stretches(self, text: str) -> list[str]:
         """Normalise a text without special tokens and part it at white space, which no pre-token crosses."""
@@ -196,17 +204,15 @@ class ForcedBoundaryBpe:
     def both(self, text: str) -> tuple[str, str]:
         """The ids and the tokens of a text, each joined by single spaces."""
         stretches = self._split_special.split(text) if self._split_special and any(s in text for s in self.special) else [text]
-        ids: list[str] = []
         tokens: list[str] = []
         for k, stretch in enumerate(stretches):
             if k % 2:
-                ids.append(str(self.special[stretch]))
                 tokens.append(stretch)
-            elif found := self._stretches(stretch):
-                a, b = zip(*map(self.words.__getitem__, found), strict=True)
-                ids += a
-                tokens += b
-        return " ".join(ids), " ".join(tokens)
+            else:
+                tokens += map(self.words.__getitem__, self._stretches(stretch))
+        decoded = " ".join(tokens)
+        # No token holds a space.
+        return " ".join(map(self.number.__getitem__, decoded.split(" "))) if decoded else "", decoded
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.both(text)[0].split()]
@@ -216,10 +222,14 @@ class ForcedBoundaryBpe:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> ForcedBoundaryBpe:
-    """One encoder for each vocabulary file and Python worker."""
-    return ForcedBoundaryBpe(path)
+    """The encoder of a Python worker, for the vocabulary file it was last asked for."""
+    made = ForcedBoundaryBpe(path)
+    gc.collect()
+    gc.freeze()  # the vocabulary stays: the collector need not walk it again and again
+    give_back()
+    return made
 
 
 RESULT = T.StructType([
@@ -232,6 +242,7 @@ def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: st
     """Ids and decoded text of every row: `id_col`, ids array<int>, decoded string. Null texts count as empty: no ids, empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         bpe = encoder(vocab)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
@@ -253,8 +264,7 @@ def bpe_digest(docs: DataFrame, vocab: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
-        gc.disable()  # the tables hold no cycles, and walking them again and again costs a fifth of the time
+        lean()
         bpe = encoder(vocab)
         for batch in batches:
             rows = []
@@ -263,5 +273,6 @@ def bpe_digest(docs: DataFrame, vocab: str) -> DataFrame:
                 rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             columns = [*zip(*rows, strict=True)] if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], RESULT.names)
+        give_back()
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, RESULT)
