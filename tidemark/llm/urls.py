@@ -52,28 +52,49 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
+#: Tags end at the next bracket of either kind, so that one which never closes is not searched to the text's end.
+_LINK, _META = r"(?is)<link\b[^<>]*>", r"(?is)<meta\b[^<>]*>"
+_CANONICAL, _REFRESH = r"""(?is)\brel\s*=\s*["']?canonical\b""", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""
+_HREF, _URL = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+
+
 def _targets(html: Column) -> Column:
-    """The targets of a page's canonical link and refresh redirect; nulls where it has none."""
-    link = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    href = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(html, r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>)""", 1)
-    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
-    return F.array(*(F.when(x != "", x) for x in (href, refresh)))
+    """The targets of all canonical links and refresh redirects of a page."""
+
+    def found(tag: str, mark: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
+        return F.transform(tags, lambda t: F.replace(F.regexp_extract(t, target, 1), F.lit("&amp;"), F.lit("&")))
+
+    return F.concat(found(_LINK, _CANONICAL, _HREF), found(_META, _REFRESH, _URL))
+
+
+def _whole(target: Column, host: Column, path: Column) -> Column:
+    """A link's target as a whole URL, as seen from a page; null for an anchor, an empty one, or another scheme such as mailto."""
+    here = F.concat(F.lit("http://"), host)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(F.instr(target, "://") > 0, target)
+        .when((target == "") | F.startswith(target, F.lit("#")) | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(here, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(here, path, target))
+        .otherwise(F.concat(here, folder, F.regexp_replace(target, r"^(\./)+", "")))
+    )
 
 
 def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict.
 
     A page's own rule decides it. Without one it takes its aliases' word: allow if a rule allows one of them, else block
-    if a rule blocks one of them, else allow. Targets may be whole URLs, `//host/...` or `/...`; others make no edge.
+    if a rule blocks one of them, else allow. Targets are whole URLs, `//host/...`, or relative to the page's folder (`..`
+    is not resolved); `&amp;` is read as `&`. Anchors and other schemes make no edge.
     Targets that are no pages here are judged as aliases too. Null URLs, or URLs without `://`, have empty host and path,
     fit no rule and have no alias; null html makes no edge. Repeated rows are each answered; other columns are not read.
     Rows whose own address has no edge never meet the components' shuffle.
     """
     own = url_address(F.col("url"))
-    edges = pages.select(own.alias("a"), url_host(F.col("url")).alias("host"), F.explode(_targets(F.col("html"))).alias("to")).where("a is not null and to is not null")
-    whole = F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to")).when(F.startswith("to", F.lit("/")), F.concat(F.lit("http://"), "host", "to")).otherwise(F.col("to"))
-    edges = store(edges.select("a", url_address(whole).alias("b")).where("b is not null").distinct())
+    edges = pages.select(own.alias("a"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), F.explode(_targets(F.col("html"))).alias("to")).where("a is not null")
+    edges = store(edges.select("a", url_address(_whole(F.col("to"), F.col("host"), F.col("path"))).alias("b")).where("b is not null").distinct())
     aliases = connected_components(edges)
     # An address holds its host up to the first `/` or `?`, and its path up to `?`.
     _, said = match_rule(F.regexp_extract("node", "(?s)^([^/?]*)", 1), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1), rules)
@@ -103,13 +124,17 @@ WITH RECURSIVE parts AS (
   FROM pages),
 named AS (SELECT *, CASE WHEN contains(url, '://') THEN host || tail END AS address FROM parts),
 targets AS (
-  SELECT address, host, unnest([
-    regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+  SELECT address, host, path, replace(unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^<>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^<>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))), '&amp;', '&') AS target
   FROM named WHERE address IS NOT NULL),
 whole AS (
-  SELECT address, CASE WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target ELSE target END AS target
-  FROM targets WHERE target <> ''),
+  SELECT address, CASE WHEN contains(target, '://') THEN target
+      WHEN target = '' OR starts_with(target, '#') OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target
+      WHEN starts_with(target, '?') THEN 'http://' || host || path || target
+      ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || regexp_replace(target, '^(\./)+', '') END AS target
+  FROM targets),
 edges AS (
   SELECT DISTINCT address AS a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') || regexp_extract(target, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b
   FROM whole WHERE contains(target, '://')),
