@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import small_batches, text_pieces
+from tidemark.llm.shared import lean, small_batches, text_pieces
 
 HIDDEN, WINDOW = 8, 64
 
@@ -194,7 +194,8 @@ def fit_language(docs: DataFrame) -> ByteNetwork:
     spot = 1 + F.pmod(F.xxhash64("doc_id", "nth"), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1)
     cut = F.when(F.length("text") <= STRETCH, F.col("text")).otherwise(F.substring("text", spot.cast("int"), F.lit(STRETCH)))
     chosen = rows.where(drawn < chance).select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(1), several)).alias("nth"))
-    found = chosen.select("lang", F.xxhash64("doc_id", "nth").alias("order"), cut.alias("cut")).toPandas().sort_values(["lang", "order", "cut"])
+    cuts = chosen.select("lang", F.xxhash64("doc_id", "nth").alias("order"), cut.alias("cut"))
+    found = cuts.groupBy("lang", "order").agg(F.min("cut").alias("cut")).toPandas().sort_values(["lang", "order", "cut"])  # an id counts once, however many rows have it
     found = found.groupby("lang").head(each)
     raw = [t.encode()[:WINDOW] for t in found["cut"]]
     x = np.zeros((len(raw), WINDOW), np.uint8)
@@ -207,10 +208,15 @@ def fit_language(docs: DataFrame) -> ByteNetwork:
 
 
 def language_of(text: Column, network: ByteNetwork) -> Column:
-    """struct(lang, score) of a text column; scores are the pooled probability of the language named."""
+    """struct(lang, score) of a text column; scores are the pooled probability of the language named.
+
+    Null and empty texts get the first language and score 0; without a language to name, lang is null. Whole texts are read,
+    in windows, so a very long one takes no more memory at once than others.
+    """
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def run(column: pa.Array) -> pa.Array:
+        lean()
         p = network.pooled(column)
         best = p.argmax(1) if p.shape[1] else np.zeros(len(p), int)
         names = [network.languages[i] for i in best] if p.shape[1] else [None] * len(p)

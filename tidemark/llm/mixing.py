@@ -149,17 +149,18 @@ FROM ordered GROUP BY doc_id, source, key
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with their own columns.
+    """The documents themselves, each as often as the mix takes it, with their own columns, whatever those are called.
 
     Within a source the mix takes the first documents of the shuffled order once more often than the rest. So one row a
     source (how often, and the last document that is taken so often) tells every document's copies, and the texts need
-    no shuffle. Documents without words are not taken.
+    no shuffle. Null and empty texts, and texts without words, are not taken. A null source is a source of its own.
+    Repeated rows are documents of their own and are taken alike. No rows in, no rows out.
     """
     mixed = fair_mix(docs, weights, max_epochs, seed)
-    place = lambda: F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"), F.col("doc_id").alias("id"))
-    counted = mixed.where("size > 0").select("source", (F.col("taken") / F.col("size")).cast("int").alias("copies"), place().alias("place"))
-    per_source = store(counted.groupBy("source", "copies").agg(F.max("place").alias("last")).groupBy(F.col("source").alias("mix_source")).agg(F.max_by("last", "copies").alias("mix_last"), F.max("copies").alias("mix_copies")))
-    told = docs.join(per_source, F.col("source").eqNullSafe(F.col("mix_source")))
-    copies = F.when(place() <= F.struct(F.col("mix_last.key").alias("key"), F.col("mix_last.id").alias("id")), F.col("mix_copies")).otherwise(F.col("mix_copies") - 1)
-    told = told.where(F.col("text").rlike(WORD)).withColumn("mix_copies", copies).where("mix_copies > 0")
-    return told.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select(*docs.columns)
+    place = lambda id: F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id.cast("string"), F.lit("")))).alias("key"), id.alias("id"))
+    counted = mixed.where("size > 0").select("source", (F.col("taken") / F.col("size")).cast("int").alias("copies"), place(F.col("doc_id")).alias("place"))
+    per_source = store(counted.groupBy("source", "copies").agg(F.max("place").alias("last")).groupBy(F.col("source").alias("of")).agg(F.max_by("last", "copies").alias("last"), F.max("copies").alias("copies")))
+    told = docs.select(F.struct("*").alias("row")).join(per_source, F.col("row.source").eqNullSafe(F.col("of")))
+    copies = F.when(place(F.col("row.doc_id")) <= F.struct(F.col("last.key").alias("key"), F.col("last.id").alias("id")), F.col("copies")).otherwise(F.col("copies") - 1)
+    told = told.where(F.col("row.text").rlike(WORD)).withColumn("copies", copies).where("copies > 0")
+    return told.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

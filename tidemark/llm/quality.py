@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import small_batches, text_pieces, word_bounds, word_hashes
+from tidemark.llm.shared import lean, small_batches, text_pieces, word_bounds, word_hashes
 
 #: Labelled rows the model is learned from, at most.
 MAX_LABELLED = 12_000
@@ -179,6 +179,7 @@ def features_of(text: Column) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(column: pa.Array) -> pa.Array:
+        lean()
         x = text_features(column)
         return pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32), x.ravel())
 
@@ -189,17 +190,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     """Learn from labelled documents outside the held-out fifth; which of them, a hash of the id decides."""
     known = labels.where(learning_row(F.col("doc_id")) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(features_of(F.col("text")).alias("x"), "quality").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", features_of(F.col("text")).alias("x"), "quality")
+    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality")).toPandas()  # an id counts once, however many rows have it
     order = np.lexsort(np.stack(rows["x"].to_list()).T) if len(rows) else []  # rows come in any order; sums should not
     x = np.stack(rows["x"].to_list())[order] if len(rows) else np.zeros((0, len(FEATURES)))
     return AdditiveModel(x, rows["quality"].to_numpy(float)[order] if len(rows) else np.zeros(0))
 
 
 def quality_score(text: Column, model: AdditiveModel) -> Column:
-    """The model's score of a text column, from 0 to 1."""
+    """The model's score of a text column, from 0 to 1; null and empty texts are scored by features that are all 0."""
 
     @F.arrow_udf(T.DoubleType())
     def run(column: pa.Array) -> pa.Array:
+        lean()
         return pa.array(model.predict(text_features(column)))
 
     return run(text)
