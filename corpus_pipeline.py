@@ -21,13 +21,20 @@ THRESHOLD = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the classifier accepts."""
+    """Keep what the classifier accepts.
+
+    Null and empty texts are scored like others, by features that are all 0. Repeated rows are judged alike and all stay or
+    go. Without labels every score is 0.5 and every document stays.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return small_batches(docs).where(quality_score(F.col("text"), model) >= THRESHOLD)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: five-word shingles, similarity 0.8. Of rows with one id, one stays."""
+    """Keep one document of each group: five-word shingles, similarity 0.8. Of rows with one id, one stays.
+
+    Null and empty texts resemble nothing and stay, as do rows without an id.
+    """
     found = store(near_duplicates(docs, k=5, percent=80))
     gone = found.where("not kept").select("doc_id").distinct()
     repeated = store(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -37,18 +44,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put each span's kind in its place; n_chars follows the new text."""
+    """Put each span's kind in its place; n_chars follows the new text. Every row stays; null texts stay null, with null n_chars."""
     new = small_batches(docs).withColumn("text", redacted(F.col("text")))
     return new.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: null and empty texts, without words, never; repeated rows as documents of their own."""
     return mix_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each document."""
+    """Token count and digests of each document. Null texts count as empty; every row is answered."""
     return bpe_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -59,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. An empty table gives no rows; columns beyond those of `documents` go through to the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir))
