@@ -39,14 +39,15 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def lean() -> None:
-    """Keep this Python worker small, from its first task on: one arena, large arrays straight from the system and back to it.
+    """Keep this Python worker small, from its first task on: one arena, and no more than some 32 MB kept for later.
 
-    Workers are reused from stage to stage, and what an allocator keeps for later in one of them is lost to the others.
+    Workers are reused from stage to stage, and what an allocator keeps in one of them is lost to the others. Lower limits
+    cost more than they save: arrays of a few MB would go to the system and come back as new pages all the time.
     """
     pa.set_memory_pool(pa.system_memory_pool())
     if tune := getattr(ctypes.CDLL(None), "mallopt", None):
         # Fixed values of glibc: M_ARENA_MAX, M_MMAP_THRESHOLD, M_TRIM_THRESHOLD.
-        for name, value in ((-8, 1), (-3, 4 << 20), (-1, 8 << 20)):
+        for name, value in ((-8, 1), (-3, 16 << 20), (-1, 32 << 20)):
             tune(name, value)
 
 
