@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,24 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def order_digest(df: DataFrame, order: str, line: Column, *by: str) -> DataFrame:
-    """SHA-256 of each group's lines in order, every line ended by a newline. A group's lines meet in one task."""
+    """SHA-256 of each group's lines in order, every line ended by a newline.
+
+    A group's lines meet in one row, so groups need a bound, such as the lines of one order; `range_digest` has none.
+    """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
     text = F.concat(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n"), F.lit("\n"))
     return df.groupBy(*by).agg(F.sha2(text.cast("binary"), 256).alias("digest"))
 
 
+def range_digest(df: DataFrame, order: str, line: Column, rows: int = 4096) -> DataFrame:
+    """(digest, ranges): one root over a table of any size. Lines are hashed in order within ranges of `rows` order numbers, and
+    then the ranges' digests in order, likewise in two steps."""
+    number = F.floor(F.col(order) / rows)
+    ranges = order_digest(df.withColumn("range", number), order, line, "range").select("range", "digest")
+    blocks = order_digest(ranges.withColumn("block", F.floor(F.col("range") / rows)), "range", F.col("digest"), "block").select("block", F.col("digest").alias("d"))
+    return order_digest(blocks, "block", F.col("d")).crossJoin(F.broadcast(ranges.agg(F.count("*").alias("ranges"))))  # one row each
+
+
 def multiset_digest(df: DataFrame, item: Column, *by: str) -> DataFrame:
     """SHA-256 of each group's (item, count) pairs, sorted: independent of order."""
     counts = df.select(*by, item.cast("string").alias("item")).groupBy(*by, "item").agg(F.count("*").alias("n"))
@@ -60,3 +74,54 @@ def encoded(df: DataFrame, fitted: dict[str, list[str]]) -> DataFrame:
         slots += [(c.eqNullSafe(v)).cast("int").alias(f"{name}_{i}") for i, v in enumerate(values)]
         slots += [(c.isNotNull() & ~c.isin(values)).cast("int").alias(f"{name}_unknown"), c.isNull().cast("int").alias(f"{name}_missing")]
     return df.select("*", *slots)
+
+
+def fit_encoder(prefix: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """(column, median, values): what a prefix of the rows teaches the encoder; exact medians, values in order."""
+    long = [prefix.agg(F.lit(c).alias("column"), F.percentile(c, 0.5).alias("median"), F.lit(None).cast("array<string>").alias("values")) for c in numbers]
+    long += [prefix.agg(F.lit(c).alias("column"), F.lit(None).cast("double").alias("median"), F.array_sort(F.collect_set(F.col(c).cast("string"))).alias("values")) for c in categories]
+    return reduce(DataFrame.unionByName, long)
+
+
+def encode_with(df: DataFrame, fitted: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """Numbers with the prefix's median for missing ones and a flag; categories as their place among the prefix's values, -1
+    if unknown and -2 if missing. `fitted` has one row a column."""
+    rows = {r["column"]: r for r in fitted.collect()}
+    out = []
+    for c in numbers:
+        out += [F.coalesce(F.col(c).cast("double"), F.lit(rows[c]["median"])).alias(c), F.col(c).isNull().cast("int").alias(f"{c}_missing")]
+    for c in categories:
+        place = F.array_position(F.array(*map(F.lit, rows[c]["values"])), F.col(c).cast("string")) if rows[c]["values"] else F.lit(0)
+        out.append(F.when(F.col(c).isNull(), -2).otherwise(place.cast("int") - 1).alias(c))
+    return df.select(*[x for x in df.columns if x not in {*numbers, *categories}], *out)
+
+
+def incomplete_groups(df: DataFrame, keys: list[str], member: str, wanted: list) -> DataFrame:
+    """(keys, missing, extra): groups that do not have each wanted member exactly once."""
+    counts = df.groupBy(*keys).agg(F.array_sort(F.collect_set(member)).alias("have"), F.count("*").alias("n"))
+    every = F.array(*map(F.lit, wanted))
+    found = counts.select(*keys, F.size(F.array_except(every, "have")).alias("missing"), (F.col("n") - F.size(F.array_intersect(every, "have"))).cast("int").alias("extra"))
+    return found.where("missing > 0 or extra > 0")
+
+
+def expected_keys(units: DataFrame, members: list, name: str) -> DataFrame:
+    """Every unit with every member of a short fixed list: the key space that a design expects."""
+    return units.withColumn(name, F.explode(F.array(*map(F.lit, members))))
+
+
+def retention(a: DataFrame, b: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """|A and B| / |B| of each group's distinct items, with both sizes."""
+    left, right = a.select(*keys, item).distinct(), b.select(*keys, item).distinct().withColumn("b", F.lit(1))
+    both = right.join(left.withColumn("a", F.lit(1)), [*keys, item], "left")
+    return both.groupBy(*keys).agg(F.count("a").alias("kept"), F.count("*").alias("of"), F.round(F.count("a") / F.count("*"), 6).alias("retained"))
+
+
+def violations(df: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
+    """(key, rule) of every rule that a row breaks; a rule that is null for a row counts as broken."""
+    broken = F.filter(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items())), lambda r: r.isNotNull())
+    return df.select(*key, F.explode(broken).alias("rule"))
+
+
+def tolerance(value: Column, other: Column, absolute: float = 1e-12, relative: float = 1e-10) -> Column:
+    """Whether two numbers are as good as equal; nulls only equal each other."""
+    return F.coalesce(F.abs(value - other) <= absolute + relative * F.abs(other), value.isNull() & other.isNull())

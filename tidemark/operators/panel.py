@@ -106,3 +106,55 @@ def shadow_prices(df: DataFrame, loss: str, *resources: str) -> DataFrame:
 def contingency(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Counts of distinct (row, column, realisation) with zeros filled in."""
     return df.groupBy(row).pivot(column, values).count().na.fill(0)
+
+
+def effective_freedom(df: DataFrame, *values: str) -> DataFrame:
+    """(contrast, estimate, variance, freedom, groups, n): equal-scenario means, the variance of each, and Welch and
+    Satterthwaite's degrees of freedom, null without variance. A scenario whose values are all the same has variance 0."""
+    long = df.unpivot(list(KEYS), list(values), "contrast", "x")
+    spread = F.when(F.min("x") == F.max("x"), 0.0).otherwise(F.var_samp("x"))
+    cells = long.groupBy("contrast", "scenario").agg(F.avg("x").alias("m"), spread.alias("v"), F.count("x").alias("n"))
+    part = F.col("v") / F.col("n")
+    whole = cells.groupBy("contrast").agg(F.avg("m").alias("estimate"), F.sum(part).alias("s"), F.sum(part * part / (F.col("n") - 1)).alias("d"), F.count("*").alias("groups"), F.sum("n").alias("n"))
+    squared = F.col("groups") * F.col("groups")
+    return whole.select("contrast", F.round("estimate", 6).alias("estimate"), F.round(F.col("s") / squared, 10).alias("variance"), F.round(F.try_divide(F.col("s") * F.col("s"), F.col("d")), 6).alias("freedom"), "groups", "n")
+
+
+def increments(df: DataFrame, left, right, *values: str) -> DataFrame:
+    """Right arm minus left of each cell, a value null where either arm lacks it, and how many cells have it."""
+    one = lambda arm, v: F.max(F.when(F.col("arm") == arm, F.col(v)))
+    return df.where(F.col("arm").isin(left, right)).groupBy(*KEYS).agg(*((one(right, v) - one(left, v)).alias(v) for v in values))
+
+
+def closure(df: DataFrame, value: str, first, middle, last) -> DataFrame:
+    """Sums over all cells of the differences first - middle, middle - last and first - last of a value, and whether the two parts add up to the third."""
+    one = lambda arm: F.max(F.when(F.col("arm") == arm, F.col(value)))
+    cells = df.groupBy(*KEYS).agg(one(first).alias("a"), one(middle).alias("b"), one(last).alias("c")).where("a is not null and b is not null and c is not null")
+    sums = cells.agg(F.sum(F.col("a") - F.col("b")).alias("j1"), F.sum(F.col("b") - F.col("c")).alias("j2"), F.sum(F.col("a") - F.col("c")).alias("j_sum"), F.count("*").alias("cells"))
+    return sums.withColumn("closed", F.col("j1") + F.col("j2") == F.col("j_sum"))
+
+
+def eligibility(df: DataFrame, eligible: Column, *by: str) -> DataFrame:
+    """Share of eligible rows of each group and overall (in a row with null keys and `overall` true)."""
+    rows = df.select(*by, eligible.cast("int").alias("eligible"))
+    found = rows.groupingSets([[F.col(c) for c in by], []], *by).agg((F.grouping_id() > 0).alias("overall"), F.count("*").alias("n"), F.sum("eligible").alias("eligible"), F.round(F.avg("eligible"), 6).alias("rate"))
+    return found
+
+
+def nested_mean(df: DataFrame, value: str, *levels: tuple[str, ...]) -> DataFrame:
+    """Mean of means: by the first level's keys, then by each next one's; rows are no replicates of what they are nested in."""
+    out = df
+    for keys in levels:
+        out = out.groupBy(*keys).agg(F.avg(value).alias(value))
+    return out.withColumn(value, F.round(value, 6))
+
+
+def components(df: DataFrame, value: str, eligible: str, *by: str) -> DataFrame:
+    """A, Q and their parts a stream: the mean of the value with 0 where not eligible, and the share that is eligible."""
+    masked = F.when(F.col(eligible), F.col(value)).otherwise(0)
+    return df.groupBy(*by).agg(F.round(F.avg(masked), 6).alias("a"), F.round(F.avg(F.col(eligible).cast("int")), 6).alias("q"), F.round(F.avg(F.when(F.col(eligible), F.col(value))), 6).alias("conditional"))
+
+
+def ceiling(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """Largest and total value of each group, and twice the largest: a bound set from a calibration."""
+    return df.groupBy(*by).agg(F.max(value).alias("largest"), F.sum(value).alias("total"), (2 * F.max(value)).alias("bound"))

@@ -11,13 +11,14 @@ def fixed_effects(df: DataFrame, y: str, xs: list[str], group: str) -> DataFrame
     """Slopes of y on xs within groups: (term, slope). Columns without variance get no slope.
 
     Sums of products are taken by group in one aggregation; what reaches the driver is one matrix of len(xs) + 1 columns,
-    summed over groups after centring.
+    summed over groups after centring. Rows need all values; a null in one of them leaves the row out of its sums.
     """
     names = [*xs, y]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     value = lambda c: F.col(c).cast("double")
-    sums = df.groupBy(group).agg(F.count("*").alias("n"), *(F.sum(value(c)).alias(f"s_{c}") for c in names), *(F.sum(value(a) * value(b)).alias(f"p_{a}_{b}") for a, b in pairs))
-    row = sums.agg(*(F.sum(F.col(f"p_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n")).alias(f"c_{a}_{b}") for a, b in pairs)).first()
+    # Covariances are centred as they are summed, so large means cost no digits.
+    sums = df.groupBy(group).agg(*((F.covar_pop(value(a), value(b)) * F.count("*")).alias(f"c_{a}_{b}") for a, b in pairs))
+    row = sums.agg(*(F.sum(f"c_{a}_{b}").alias(f"c_{a}_{b}") for a, b in pairs)).first()
     matrix = np.zeros((len(names), len(names)))
     for a, b in pairs:
         i, j = names.index(a), names.index(b)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,16 +14,34 @@ from pyspark.sql.window import Window
 from tidemark.functions.addressing import bounded_index
 
 
+#: Realisations by number that are ordered in one task.
+RANGE = 4096
+
+
 def draws(cells: DataFrame, replicates: int, name: str) -> DataFrame:
-    """(b, scenario, place, times): how often replicate b draws each place of a scenario. `cells` has scenario and n."""
-    each = cells.select("scenario", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    """(b, scenario, place, times): a row for each draw of each replicate, as many as the scenario has members; `times` is 1.
+
+    `cells` has scenario and n. Replicates are dealt to all tasks before their draws are made, and the draws are summed up
+    where they are joined, so they need no shuffle of their own.
+    """
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = cells.select("scenario", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).repartition(parts, "b")
     each = each.select("b", "scenario", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     address = F.concat_ws("|", F.lit(name), F.col("b").cast("string"), F.col("scenario"), F.col("i").cast("string"))
-    return each.select("b", "scenario", bounded_index(address, F.col("n")).alias("place")).groupBy("b", "scenario", "place").agg(F.count("*").alias("times"))
+    return each.select("b", "scenario", bounded_index(address, F.col("n")).alias("place"), F.lit(1).cast("long").alias("times"))
 
 
 def placed(df: DataFrame) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("scenario").orderBy("realisation")).cast("long") - 1)
+    """Add each row's 0-based place among its scenario's realisations, which are numbered.
+
+    Only realisations of one range of numbers are ordered together; ranges' counts are summed up, so no scenario gathers
+    in one task.
+    """
+    dealt = df.withColumn("range", F.floor(F.col("realisation") / RANGE))
+    counts = dealt.groupBy("scenario", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("scenario").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("scenario", "range").orderBy("realisation"))
+    return dealt.withColumn("inside", inside).join(counts.select("scenario", "range", before.alias("before")), ["scenario", "range"]).withColumn("place", F.col("before") + F.col("inside") - 1).drop("range", "inside", "before")
 
 
 def _moments(df: DataFrame, x: Column, w: Column, *by: str) -> DataFrame:
@@ -30,6 +51,16 @@ def _moments(df: DataFrame, x: Column, w: Column, *by: str) -> DataFrame:
     return cells.select(*by, mean.alias("m"), (variance / F.col("n")).alias("v")).groupBy(*by).agg(F.avg("m").alias("theta"), (F.sqrt(F.sum("v")) / F.count("*")).alias("se"))
 
 
+def _moments_of(df: DataFrame, values: list[str], w: Column, *by: str) -> DataFrame:
+    """`_moments` of several integer-valued columns, as (contrast, theta, se): the rows are read once, whatever the number of columns."""
+    sums = [s for v in values for s in (F.sum(w * F.col(v)).alias(f"s_{v}"), F.sum(w * F.col(v) * F.col(v)).alias(f"ss_{v}"))]
+    cells = df.groupBy(*by, "scenario").agg(F.sum(w).alias("n"), *sums)
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("contrast"), F.col(f"s_{v}").alias("s"), F.col(f"ss_{v}").alias("ss")) for v in values)))
+    cells = cells.select(*by, "n", each.alias("c")).select(*by, "n", "c.*")
+    mean, variance = F.col("s") / F.col("n"), (F.col("n") * F.col("ss") - F.col("s") * F.col("s")) / (F.col("n") * (F.col("n") - 1))
+    return cells.select(*by, "contrast", mean.alias("m"), (variance / F.col("n")).alias("v")).groupBy("contrast", *by).agg(F.avg("m").alias("theta"), (F.sqrt(F.sum("v")) / F.count("*")).alias("se"))
+
+
 def replicates(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
     """(b, theta, se) of each replicate of an integer-valued panel column."""
     at = placed(df.select("scenario", "realisation", value))
@@ -44,7 +75,7 @@ def bootstrap_t(df: DataFrame, value: str, n: int, name: str, level: float = 0.9
     """
     whole = _moments(df, F.col(value), F.lit(1)).withColumnsRenamed({"theta": "estimate", "se": "se_0"})
     pivots = replicates(df, value, n, name).crossJoin(F.broadcast(whole)).select("estimate", "se_0", F.when(F.col("se") == 0, float("inf")).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se")).alias("t"))
-    out = pivots.groupBy("estimate", "se_0").agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(level * (n + 1))).alias("critical"), F.count_if(F.col("t") >= F.abs("estimate") / F.col("se_0")).alias("beyond"))
+    out = pivots.groupBy("estimate", "se_0").agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(round(level * (n + 1), 9))).alias("critical"), F.count_if(F.col("t") >= F.abs("estimate") / F.col("se_0")).alias("beyond"))
     reach = F.col("critical") * F.col("se_0")
     return out.select(F.round("estimate", 6).alias("estimate"), F.round("se_0", 6).alias("se"), F.round("critical", 6).alias("critical"), F.round(F.col("estimate") - reach, 6).alias("low"), F.round(F.col("estimate") + reach, 6).alias("high"), F.round((1 + F.col("beyond")) / (n + 1), 6).alias("p"))
 
@@ -63,9 +94,8 @@ def max_t(df: DataFrame, values: list[str], n: int, name: str, level: float = 0.
     """
     at = placed(df.select("scenario", "realisation", *values))
     tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    long = at.unpivot(["scenario", "realisation", "place"], values, "contrast", "x")
-    whole = _moments(long, F.col("x"), F.lit(1), "contrast").withColumnsRenamed({"theta": "estimate", "se": "se_0"})
-    resampled = _moments(long.join(tape, ["scenario", "place"]), F.col("x"), F.col("times"), "contrast", "b")
+    whole = _moments_of(at, values, F.lit(1)).withColumnsRenamed({"theta": "estimate", "se": "se_0"})
+    resampled = _moments_of(at.join(tape, ["scenario", "place"]), values, F.col("times"), "b")
     t = resampled.join(whole, "contrast").select("b", F.when(F.col("se") == 0, 0.0).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se")).alias("t"))
     critical = t.groupBy("b").agg(F.max("t").alias("t")).agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(level * (n - 1)) + 1).alias("critical"))
     reach = F.col("critical") * F.col("se_0")
@@ -79,3 +109,87 @@ def holm(tests: DataFrame, name: str, p: str, *family: str, alpha: float = 0.05)
     stepped = tests.withColumn("step", F.least((F.count("*").over(Window.partitionBy(*family)) - F.row_number().over(order) + 1) * F.col(p), F.lit(1.0)))
     adjusted = stepped.withColumn("adjusted", F.max("step").over(upto))
     return adjusted.select(*family, name, p, F.round("adjusted", 6).alias("adjusted"), (F.col("adjusted") <= alpha).alias("reject"))
+
+
+# ---- ratios, slopes, cluster intervals ----
+
+
+def _ratio_moments(df: DataFrame, a: str, q: str, w: Column, *by: str) -> DataFrame:
+    """theta = A / Q of equal-scenario means, its linearised standard error, and Q, from weighted integer sums."""
+    x, y = F.col(a), F.col(q)
+    cells = df.groupBy(*by, "scenario").agg(F.sum(w).alias("n"), *(F.sum(w * v).alias(name) for name, v in (("a", x), ("q", y), ("aa", x * x), ("qq", y * y), ("aq", x * y))))
+    spread = lambda u, v, uv: (F.col("n") * F.col(uv) - F.col(u) * F.col(v)) / (F.col("n") * (F.col("n") - 1)) / F.col("n")
+    whole = cells.groupBy(*by).agg(F.avg(F.col("a") / F.col("n")).alias("ma"), F.avg(F.col("q") / F.col("n")).alias("mq"), F.sum(spread("a", "a", "aa")).alias("va"), F.sum(spread("q", "q", "qq")).alias("vq"), F.sum(spread("a", "q", "aq")).alias("c"), F.count("*").alias("g"))
+    theta = F.when(F.col("mq") > 0, F.col("ma") / F.col("mq"))
+    variance = F.greatest(F.col("va") - 2 * theta * F.col("c") + theta * theta * F.col("vq"), F.lit(0.0))
+    return whole.select(*by, "mq", theta.alias("theta"), (F.sqrt(variance) / (F.col("g") * F.col("mq"))).alias("se"))
+
+
+def ratio_replicates(df: DataFrame, a: str, q: str, n: int, name: str) -> DataFrame:
+    """(b, mq, theta, se) of each replicate of a ratio of two integer-valued panel columns; theta is null where the denominator is not above 0."""
+    at = placed(df.select("scenario", "realisation", a, q))
+    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
+    return _ratio_moments(at.join(tape, ["scenario", "place"]), a, q, F.col("times"), "b")
+
+
+def bootstrap_t_ratio(df: DataFrame, a: str, q: str, n: int, name: str, level: float = 0.95) -> DataFrame:
+    """`bootstrap_t` of a ratio: a replicate without a denominator or without variance counts as a pivot of +infinity."""
+    whole = _ratio_moments(df, a, q, F.lit(1)).select(F.col("theta").alias("estimate"), F.col("se").alias("se_0"), F.col("mq").alias("denominator"))
+    pivot = F.when(F.col("theta").isNull() | (F.col("se") == 0), float("inf")).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se"))
+    pivots = ratio_replicates(df, a, q, n, name).crossJoin(F.broadcast(whole)).select("estimate", "se_0", "denominator", F.coalesce(pivot, F.lit(float("inf"))).alias("t"))  # one row
+    out = pivots.groupBy("estimate", "se_0", "denominator").agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(round(level * (n + 1), 9))).alias("critical"), F.count_if(F.col("t") >= F.abs("estimate") / F.col("se_0")).alias("beyond"))
+    reach = F.col("critical") * F.col("se_0")
+    return out.select(F.round("estimate", 6).alias("estimate"), F.round("denominator", 6).alias("denominator"), F.round("se_0", 6).alias("se"), F.round("critical", 6).alias("critical"), F.round(F.col("estimate") - reach, 6).alias("low"), F.round(F.col("estimate") + reach, 6).alias("high"), F.round((1 + F.col("beyond")) / (n + 1), 6).alias("p"))
+
+
+def percentile_ratio(df: DataFrame, a: str, q: str, n: int, name: str, level: float = 0.95) -> DataFrame:
+    """Order statistics of the replicates' ratios, by the ranks of `percentile_interval`; null if fewer are finite than the upper rank."""
+    low, high = floor((1 - level) / 2 * (n + 1) + 1e-9), ceil((1 + level) / 2 * (n + 1) - 1e-9)
+    ordered = F.array_sort(F.collect_list("theta"))  # nulls are not collected
+    end = lambda rank: F.round(F.when(F.count("theta") >= high, F.try_element_at(ordered, F.lit(rank))), 6)
+    return ratio_replicates(df, a, q, n, name).agg(end(low).alias("low"), end(high).alias("high"), F.count("theta").alias("finite"))
+
+
+def cluster_interval(df: DataFrame, values: list[str], n: int, name: str, tail: float) -> DataFrame:
+    """(contrast, low, high): interpolated quantiles `tail` and 1 - `tail` of resampled equal-scenario means; all columns share the draws."""
+    at = placed(df.select("scenario", "realisation", *values))
+    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
+    found = _moments_of(at.join(tape, ["scenario", "place"]), values, F.col("times"), "b")
+    return found.groupBy("contrast").agg(F.round(F.percentile("theta", tail), 6).alias("low"), F.round(F.percentile("theta", 1 - tail), 6).alias("high"))
+
+
+def slope_interval(df: DataFrame, y: str, xs: list[str], n: int, name: str, level: float = 0.95) -> DataFrame:
+    """(term, low, high, finite): percentile intervals of slopes within scenarios, whole realisations resampled.
+
+    Each realisation is reduced to its sums of products once; a replicate weighs them by how often it drew each. What is
+    solved is one small matrix a replicate, in the tasks that hold the replicates. A column that has no variance in a
+    replicate has no slope there; an interval needs one in all.
+    """
+    names = [*xs, y]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    value = lambda i: F.col(names[i]).cast("double")
+    parts = df.groupBy("scenario", "realisation").agg(F.count("*").alias("rows"), *(F.sum(value(i)).alias(f"s{i}") for i in range(len(names))), *(F.sum(value(i) * value(j)).alias(f"p{i}_{j}") for i, j in pairs))
+    at = placed(parts)
+    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
+    cells = at.join(tape, ["scenario", "place"]).groupBy("b", "scenario").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("rows", *(f"s{i}" for i in range(len(names))), *(f"p{i}_{j}" for i, j in pairs))))
+    centred = cells.groupBy("b").agg(*(F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("rows")).alias(f"c{i}_{j}") for i, j in pairs))
+    k = len(xs)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {(i, j): batch.column(f"c{i}_{j}").to_numpy(zero_copy_only=False) for i, j in pairs}
+            full = np.empty((batch.num_rows, k + 1, k + 1))
+            for (i, j), v in c.items():
+                full[:, i, j] = full[:, j, i] = v
+            slopes = np.full((batch.num_rows, k), np.nan)
+            for row, m in enumerate(full):
+                active = np.flatnonzero(np.diag(m)[:k] > 1e-12)
+                if len(active):
+                    slopes[row, active] = np.linalg.lstsq(m[np.ix_(active, active)], m[active, k], rcond=None)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(k, dtype=np.int32), len(slopes))), pa.array(slopes.ravel(), from_pandas=True)], ["term", "slope"])
+
+    found = centred.mapInArrow(solve, "term int, slope double")
+    low, high = floor((1 - level) / 2 * (n + 1) + 1e-9), ceil((1 + level) / 2 * (n + 1) - 1e-9)
+    ordered = F.array_sort(F.collect_list("slope"))
+    end = lambda rank: F.round(F.when(F.count("slope") == n, F.try_element_at(ordered, F.lit(rank))), 6)
+    return found.groupBy("term").agg(end(low).alias("low"), end(high).alias("high"), F.count("slope").alias("finite")).withColumn("term", F.element_at(F.array(*map(F.lit, xs)), F.col("term") + 1))

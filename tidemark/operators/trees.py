@@ -17,6 +17,12 @@ def value_counts(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by, "feature", "value").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
 
 
+def midpoint(a: Column, b: Column) -> Column:
+    """Half-way from a to a larger b, without overflow; b itself where halves round to a, so that a row of value a stays left of it."""
+    m = a / 2 + b / 2
+    return F.when((m > a) & (m <= b), m).otherwise(b)
+
+
 def best_split(counts: DataFrame, *by: str, min_leaf: int = 1) -> DataFrame:
     """The Gini split of each node: feature, threshold (midpoint of neighbours), impurity; the first feature and place win ties."""
     order = Window.partitionBy(*by, "feature").orderBy("value")
@@ -25,27 +31,32 @@ def best_split(counts: DataFrame, *by: str, min_leaf: int = 1) -> DataFrame:
     nr, ones_r = F.col("nt") - F.col("nl"), F.col("ot") - F.col("ol")
     # n times Gini: 2 * ones * zeros / n, on both sides.
     impurity = 2 * F.col("ol") * (F.col("nl") - F.col("ol")) / F.col("nl") + 2 * ones_r * (nr - ones_r) / nr
-    cuts = swept.where(F.col("after").isNotNull() & (F.col("nl") >= min_leaf) & (nr >= min_leaf)).withColumn("impurity", F.round(impurity / F.col("nt"), 9)).withColumn("threshold", F.col("value") / 2 + F.col("after") / 2)
+    cuts = swept.where(F.col("after").isNotNull() & (F.col("nl") >= min_leaf) & (nr >= min_leaf)).withColumn("impurity", F.round(impurity / F.col("nt"), 9)).withColumn("threshold", midpoint(F.col("value"), F.col("after")))
     best = F.min_by(F.struct("feature", "threshold", "impurity", F.col("nl").alias("left_rows")), F.struct("impurity", "feature", "value")).alias("best")
     return (cuts.groupBy(*by).agg(best) if by else cuts.agg(best)).select(*by, "best.*").where("feature is not null")
 
 
 def candidate_thresholds(rows: DataFrame, count: int) -> DataFrame:
-    """Up to `count` midpoints of each feature's distinct values, at evenly spaced places."""
+    """(feature, slot, cut): up to `count` midpoints of neighbouring distinct values, at evenly spaced places; a lone value is its own cut.
+
+    Of V values, slot k of S = min(count, V - 1) is after the value at place floor(k (V - 1) / (S + 1)). Equal cuts count once.
+    """
     order = Window.partitionBy("feature").orderBy("value")
     values = rows.select("feature", "value").distinct()
-    mids = values.select("feature", (F.col("value") / 2 + F.lead("value").over(order) / 2).alias("cut"), (F.row_number().over(order) - 1).alias("place"), (F.count("*").over(Window.partitionBy("feature")) - 1).alias("n"))
-    wanted = F.floor(F.col("place") * count / F.col("n")) != F.floor((F.col("place") - 1) * count / F.col("n"))
-    return mids.where((F.col("place") < F.col("n")) & ((F.col("n") <= count) | (F.col("place") == 0) | wanted)).select("feature", F.col("place").cast("long").alias("place"), "cut")
-
-
-def binned_counts(rows: DataFrame, cuts: dict[int, list[float]]) -> DataFrame:
-    """Rows and ones of every threshold bin of each feature, and their running sums."""
-    bins = F.lit(None).cast("int")
-    for feature, places in cuts.items():
-        bins = F.when(F.col("feature") == feature, sum((F.col("value") >= c).cast("int") for c in places)).otherwise(bins)
+    placed = values.select("feature", "value", F.lead("value").over(order).alias("after"), (F.row_number().over(order) - 1).cast("long").alias("place"))
+    sizes = values.groupBy("feature").agg((F.count("*") - 1).alias("gaps"))
+    slots = F.least(F.lit(count), F.col("gaps"))
+    slot = F.explode(F.when(slots == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), slots.cast("int"))))
+    wanted = sizes.select("feature", "gaps", slots.alias("slots"), slot.alias("slot")).withColumn("place", F.floor(F.col("slot") * F.col("gaps") / (F.col("slots") + 1)).cast("long"))
+    cut = F.when(F.col("after").isNull(), F.col("value")).otherwise(midpoint(F.col("value"), F.col("after")))
+    return placed.join(wanted, ["feature", "place"]).groupBy("feature", cut.alias("cut")).agg(F.min("slot").alias("slot")).select("feature", "slot", "cut")
+
+
+def binned_counts(rows: DataFrame, cuts: list[float]) -> DataFrame:
+    """Rows and ones of every threshold bin of each feature, and their running sums; bin b holds values that reach b of the cuts."""
+    bins = sum((F.col("value") >= c).cast("int") for c in cuts)
     upto = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.withColumn("bin", bins).where("bin is not null").groupBy("feature", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
+    counted = rows.withColumn("bin", bins).groupBy("feature", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
     return counted.select("feature", "bin", "n", "ones", F.sum("n").over(upto).alias("n_upto"), F.sum("ones").over(upto).alias("ones_upto"))
 
 
@@ -74,3 +85,15 @@ def grow(rows: DataFrame, row_id: str, vector: str, label: Column, depth: int, m
     for level in levels[1:]:
         out = out.unionByName(level)
     return out
+
+
+def summary(splits: DataFrame, *by: str) -> DataFrame:
+    """Nodes, depth and a fingerprint of trees given by their split rows (node, feature, threshold); node 1 is the root.
+
+    The fingerprint is SHA-256 over the splits in order of node, a line for each; a tree's splits meet in one row.
+    """
+    line = F.concat_ws("|", F.col("node").cast("string"), F.col("feature").cast("string"), F.round(F.col("threshold") * 1e9).cast("long").cast("string"))
+    lines = F.array_sort(F.collect_list(F.struct("node", line.alias("line"))))
+    text = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    found = [F.count("*").alias("splits"), (2 * F.count("*") + 1).alias("nodes"), (F.floor(F.log2(F.max("node"))) + 1).cast("int").alias("depth"), F.sha2(text.cast("binary"), 256).alias("fingerprint")]
+    return splits.groupBy(*by).agg(*found) if by else splits.agg(*found)

@@ -13,8 +13,8 @@ from tidemark.operators import checks, frontier, lineage, ordered, panel, resamp
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Replicates of the registered bootstraps.
-REPLICATES = 99
+#: Replicates of the registered bootstraps, and the levels of a family of three tests and of one interval.
+REPLICATES, FAMILY_LEVEL, LEVEL = 9999, 1 - 0.05 / 3, 0.95
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -87,14 +87,15 @@ FEATURES_SQL = """long AS (
 
 #: A fixed tree for the registered prediction.
 TREE = {"feature": 0, "threshold": 0.0, "left": {"feature": 1, "threshold": 0.05, "left": {"action": 0}, "right": {"action": 1}}, "right": {"feature": 2, "threshold": -0.05, "left": {"action": 1}, "right": {"action": 0}}}
-CUTS = {f: [-0.2, -0.1, 0.0, 0.1, 0.2] for f in (0, 1, 2, 3)}
+CUTS = [-0.2, -0.1, 0.0, 0.1, 0.2]
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """A drift stream addressed by orders: row number from the order, a scenario from its priority."""
+    """Rows of drift streams addressed by orders: scenario, realisation and row number follow from the order's number."""
     names = sc.scenarios()
     pick = F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names) + 1).cast("int"))
-    return _t(spark, d, "orders").select("o_orderkey", pick.alias("scenario"), F.lit("0123456789abcdef").alias("key"), (F.col("o_orderkey") * 2).alias("t"))
+    rows = _t(spark, d, "orders").select("o_orderkey", pick.alias("scenario"), (F.col("o_orderkey") % 26_000 + 1).alias("t"))
+    return rows.withColumn("key", sc.stream_key(F.col("scenario"), F.col("o_orderkey") % 3))
 
 
 def _addr_bits(spark: SparkSession, d: str) -> DataFrame:
@@ -103,40 +104,43 @@ def _addr_bits(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").select("o_orderkey", addressing.key_from_address(address).alias("key"), bits.alias("bits"), F.round(addressing.open_uniform(bits), 12).alias("u"))
 
 
-def _bits_sql(role: str, index: str, draw: int | str) -> str:
-    return f"""(('0x' || substr(sha256('["DT-P9-DRAW-v1","0123456789abcdef","{role}",' || {index} || ',{draw}]'), 1, 16))::UBIGINT >> 11)"""
+def _bits_sql(role: str, index: str, draw: int | str, key: str = "'0123456789abcdef'") -> str:
+    return f"""(('0x' || substr(sha256('["DT-P9-DRAW-v1","' || {key} || '","{role}",' || {index} || ',{draw}]'), 1, 16))::UBIGINT >> 11)"""
 
 
-def _u_sql(role: str, index: str, draw: int | str) -> str:
-    return f"least(({_bits_sql(role, index, draw)}::DOUBLE + 0.5) / 9007199254740992.0, 1 - 1.1102230246251565e-16)"
+def _u_sql(role: str, index: str, draw: int | str, key: str = "'0123456789abcdef'") -> str:
+    return f"least(({_bits_sql(role, index, draw, key)}::DOUBLE + 0.5) / 9007199254740992.0, 1 - 1.1102230246251565e-16)"
 
 
 def _stream_labels(spark: SparkSession, d: str) -> DataFrame:
-    s = _stream(spark, d)
-    u = lambda role, draw: addressing.uniform_at(F.col("key"), F.lit(role), F.col("t"), F.lit(draw))
-    s = s.withColumn("concept", sc.concept_at(F.col("scenario"), F.col("t"), u("MIXTURE", 0)))
-    s = s.withColumn("x0", sc.feature(F.col("scenario"), F.col("key"), F.col("t"), 0)).withColumn("x1", sc.feature(F.col("scenario"), F.col("key"), F.col("t"), 1))
-    s = s.withColumn("clean", sc.clean_label(F.col("scenario"), F.col("x0"), F.col("x1"), F.col("concept")))
-    return s.select("o_orderkey", "scenario", "concept", F.round("x0", 9).alias("x0"), F.round("x1", 9).alias("x1"), "clean", sc.noisy(F.col("clean"), u("NOISE", 0)).alias("y"))
+    return sc.stream_rows(_stream(spark, d)).select("o_orderkey", "scenario", "key", "t", "concept", *(F.round(F.col("x")[j], 9).alias(f"x{j}") for j in range(8)), "clean", "y")
 
 
 def _stream_sql() -> str:
     names = ", ".join(f"'{n}'" for n in sc.scenarios())
-    feature = lambda j: f"CASE WHEN family = 'OBLIQUE' THEN sqrt(-2 * ln({_u_sql('FEATURE', 't', 2 * j)})) * cos(2 * pi() * {_u_sql('FEATURE', 't', 2 * j + 1)}) ELSE {_u_sql('FEATURE', 't', 2 * j)} END"
+    u = lambda role, draw: _u_sql(role, "t", draw, "key")
+    features = ", ".join(f"CASE family WHEN 'OBLIQUE' THEN sqrt(-2 * ln({u(f'features:{j}', 0)})) * cos(2 * pi() * {u(f'features:{j}', 1)}) ELSE {u(f'features:{j}', 0)} END AS f{j}" for j in range(8))
     return f"""
-WITH s AS (
-  SELECT o_orderkey, ([{names}])[(o_orderkey % 14 + 1)::INTEGER] AS scenario, o_orderkey * 2 AS t FROM orders),
-parts AS (SELECT *, split_part(scenario, '-', 1) AS family, split_part(scenario, '-', 2) AS drift, CASE split_part(scenario, '-', 3) WHEN 'MILD' THEN 0.1::DOUBLE WHEN 'SEVERE' THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS magnitude FROM s),
-f AS (
-  SELECT *, {feature(0)} AS x0, {feature(1)} AS x1,
-    CASE drift WHEN 'ABRUPT' THEN (t > 10000)::INTEGER WHEN 'GRADUAL' THEN ({_u_sql('MIXTURE', 't', 0)} < least(greatest((t - 10000) / 2000.0::DOUBLE, 0), 1))::INTEGER
-      WHEN 'RECURRENT' THEN (t > 10000 AND t <= 20000)::INTEGER ELSE 0 END AS concept
-  FROM parts),
+WITH s AS (SELECT o_orderkey, ([{names}])[(o_orderkey % 14 + 1)::INTEGER] AS scenario, o_orderkey % 26000 + 1 AS t, o_orderkey % 3 AS realisation FROM orders),
+parts AS (
+  SELECT *, split_part(scenario, '-', 1) AS family, split_part(scenario, '-', 2) AS regime, split_part(scenario, '-', 3) AS severity,
+         substr(sha256('DT-P9-v1|DEV|' || scenario || '|r=0' || realisation), 1, 16) AS key FROM s),
+f AS (SELECT *, {u('mixture', 0)} AS mixture, {u('label_noise', 0)} AS noise, {features} FROM parts),
 c AS (
-  SELECT *, CASE WHEN family = 'OBLIQUE' THEN (cos(2 * pi() * magnitude * concept) * x0 + sin(2 * pi() * magnitude * concept) * x1 >= 0)::INTEGER
-    ELSE ((2 * x0 + magnitude * concept) - floor(2 * x0 + magnitude * concept) < 0.5)::INTEGER END AS clean
-  FROM f)
-SELECT o_orderkey, scenario, concept, round(x0, 9) AS x0, round(x1, 9) AS x1, clean, CASE WHEN {_u_sql('NOISE', 't', 0)} < 0.1 THEN 1 - clean ELSE clean END AS y FROM c"""
+  SELECT *, CASE severity WHEN 'MILD' THEN 0.1::DOUBLE WHEN 'SEVERE' THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS m,
+    CASE WHEN regime = 'STATIONARY' OR t <= 10000 THEN 0
+      WHEN regime = 'RECURRENT' THEN CASE WHEN t <= 20000 THEN 1 ELSE 0 END
+      WHEN regime = 'ABRUPT' THEN CASE WHEN t <= 20000 THEN 1 ELSE 2 END
+      WHEN t <= 12000 THEN (mixture < (t - 10000)::DOUBLE / 2000)::INTEGER
+      WHEN t <= 20000 THEN 1
+      WHEN t <= 22000 THEN CASE WHEN mixture < (t - 20000)::DOUBLE / 2000 THEN 2 ELSE 1 END
+      ELSE 2 END AS concept
+  FROM f),
+z AS (SELECT *, CASE WHEN f0 < 0.5 THEN f1 - CASE WHEN concept > 0 THEN m ELSE 0 END ELSE f2 - CASE WHEN concept > 1 THEN m ELSE 0 END END AS z FROM c),
+l AS (
+  SELECT *, CASE family WHEN 'LOCAL_TREE' THEN (z - floor(z) < 0.5)::INTEGER
+    ELSE (cos(concept * pi() * m) * ((f0 + f1 + f2 + f3) / 2) + sin(concept * pi() * m) * ((f4 + f5 + f6 + f7) / 2) >= 0)::INTEGER END AS clean FROM z)
+SELECT o_orderkey, scenario, key, t, concept, {', '.join(f'round(f{j}, 9) AS x{j}' for j in range(8))}, clean, CASE WHEN noise < 0.1 THEN 1 - clean ELSE clean END AS y FROM l"""
 
 
 def _replicates_sql(columns: dict[str, str], source: str, name: str, rows: str) -> str:
@@ -220,7 +224,7 @@ QUERIES: dict[str, Query] = {
     "tree_predict_case": lambda s, d: _t(s, d, "embeddings").select("vec_id", trees.predict(TREE, "embedding").alias("pred")),
     "addr_uniform": _addr_bits,
     "stream_labels": _stream_labels,
-    "bootstrap_t_mean": lambda s, d: resample.bootstrap_t(_paired(s, d), "d", REPLICATES, "H1"),
+    "bootstrap_t_mean": lambda s, d: resample.bootstrap_t(_paired(s, d), "d", REPLICATES, "H1", FAMILY_LEVEL),
     "bootstrap_percentile_ci": lambda s, d: resample.percentile_interval(_paired(s, d), "d", REPLICATES, "H1"),
     "bootstrap_maxt": lambda s, d: resample.max_t(_contrasts(s, d), ["discount", "quantity", "tax"], REPLICATES, "MAXT").withColumn("direction", classify.direction(F.col("low"), F.col("high"))),
     "practical_class": lambda s, d: resample.percentile_interval(_paired(s, d), "d", REPLICATES, "H1").select("low", "high", classify.practical_class(F.col("low"), F.col("high"), 5.0).alias("class")),
@@ -233,7 +237,7 @@ QUERIES: dict[str, Query] = {
     "order_digest_root": lambda s, d: checks.order_digest(_t(s, d, "orders"), "o_orderkey", F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus"), "o_custkey"),
     "key_completeness": lambda s, d: checks.key_differences(_t(s, d, "customer").select(F.col("c_custkey").alias("key")), _t(s, d, "orders").select(F.col("o_custkey").alias("key")), ["key"]),
     "duplicate_keys": lambda s, d: checks.duplicate_keys(_t(s, d, "lineitem"), ["l_orderkey", "l_partkey"]),
-    "prefix_encoder": lambda s, d: checks.encoded(_t(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), {"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT", "2-HIGH"]}),
+    "one_hot": lambda s, d: checks.encoded(_t(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), {"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT", "2-HIGH"]}),
     "mechanism_ols": _mechanism,
 }
 
@@ -259,8 +263,27 @@ scored AS (SELECT *, coalesce(lag(y) OVER (PARTITION BY user_id ORDER BY seq), 0
 _FRONT = f"""{POINTS_SQL},
 front AS (SELECT * FROM points p WHERE NOT EXISTS (
   SELECT 1 FROM points o WHERE o.supplier <> p.supplier AND o.cost <= p.cost AND o.loss <= p.loss AND (o.cost < p.cost OR o.loss < p.loss)))"""
+
+
+def _greedy_sql(depth: int, min_leaf: int) -> str:
+    """The greedy tree level by level: rows at a node, the sweep of each of its features, the best cut, and the rows of the next level."""
+    sql, base = [], "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, (label < 5)::INTEGER AS y, 1::BIGINT AS node FROM embeddings"
+    for k in range(depth):
+        sql.append(f"""r{k} AS ({base}),
+l{k} AS (SELECT node, y, generate_subscripts(v, 1) - 1 AS feature, unnest(v) AS value FROM r{k} WHERE node IN (SELECT node FROM r{k} GROUP BY node HAVING sum(y) > 0 AND sum(y) < count(*))),
+v{k} AS (SELECT node, feature, value, count(*) AS n, sum(y)::BIGINT AS ones FROM l{k} GROUP BY ALL),
+w{k} AS (SELECT node, feature, value, sum(n) OVER o AS nl, sum(ones) OVER o AS ol, sum(n) OVER p AS nt, sum(ones) OVER p AS ot, lead(value) OVER o AS after FROM v{k} WINDOW o AS (PARTITION BY node, feature ORDER BY value), p AS (PARTITION BY node, feature)),
+i{k} AS (SELECT *, round((2 * ol * (nl - ol) / nl + 2 * (ot - ol) * ((nt - nl) - (ot - ol)) / (nt - nl)) / nt, 9) AS impurity FROM w{k} WHERE after IS NOT NULL AND nl >= {min_leaf} AND nt - nl >= {min_leaf}),
+s{k} AS (SELECT node, feature::INTEGER AS feature, CASE WHEN value / 2 + after / 2 > value AND value / 2 + after / 2 <= after THEN value / 2 + after / 2 ELSE after END AS threshold, impurity, nl::BIGINT AS left_rows
+  FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY impurity, feature, value) AS best FROM i{k}) WHERE best = 1)""")
+        base = f"SELECT vec_id, v, y, 2 * node + (NOT v[feature + 1] < threshold)::BIGINT AS node FROM r{k} JOIN s{k} USING (node)"
+    return "WITH " + ",\n".join(sql) + "\n" + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(depth))
+
+
 _H1 = _replicates_sql({"d": "d"}, PAIRED_SQL, "H1", "SELECT * FROM paired")
-_CI = "round(list_sort(list(theta))[2], 6) AS low, round(list_sort(list(theta))[98], 6) AS high"
+#: Order statistics of REPLICATES sorted values: 2.5 % from both ends, and the quantiles of the pivots.
+LOW, HIGH, CRITICAL, HIGHER = 250, 9750, 9834, 9500
+_CI = f"round(list_sort(list(theta))[{LOW}], 6) AS low, round(list_sort(list(theta))[{HIGH}], 6) AS high"
 
 ORACLE_SQL: dict[str, str] = {
     "panel_equal_scenario_mean": f"WITH {PANEL_SQL} SELECT arm, round(avg(m), 6) AS mean, count(*) AS n_scenarios, sum(n)::BIGINT AS n FROM (SELECT arm, scenario, avg(discount) AS m, count(discount) AS n FROM panel GROUP BY ALL) GROUP BY arm",
@@ -319,23 +342,33 @@ SELECT user_id, event_id, unnest(list_filter([CASE WHEN ts < before THEN 'back'
     "cart_best_split": f"""WITH {FEATURES_SQL}, v AS (SELECT feature, value, count(*) AS n, sum(y)::BIGINT AS ones FROM long GROUP BY ALL),
 s AS (SELECT feature, value, sum(n) OVER o AS nl, sum(ones) OVER o AS ol, sum(n) OVER (PARTITION BY feature) AS nt, sum(ones) OVER (PARTITION BY feature) AS ot, lead(value) OVER (PARTITION BY feature ORDER BY value) AS after FROM v WINDOW o AS (PARTITION BY feature ORDER BY value)),
 i AS (SELECT *, round((2 * ol * (nl - ol) / nl + 2 * (ot - ol) * ((nt - nl) - (ot - ol)) / (nt - nl)) / nt, 9) AS impurity FROM s WHERE after IS NOT NULL AND nl >= 5 AND nt - nl >= 5)
-SELECT feature::INTEGER AS feature, value / 2 + after / 2 AS threshold, impurity, nl::BIGINT AS left_rows FROM i ORDER BY impurity, feature, value LIMIT 1""",
-    "candidate_thresholds": f"""WITH {FEATURES_SQL}, d AS (SELECT DISTINCT feature, value FROM long),
-m AS (SELECT feature, value / 2 + lead(value) OVER o / 2 AS cut, row_number() OVER o - 1 AS place, count(*) OVER (PARTITION BY feature) - 1 AS n FROM d WINDOW o AS (PARTITION BY feature ORDER BY value))
-SELECT feature::INTEGER AS feature, place, cut FROM m WHERE place < n AND (n <= 32 OR place = 0 OR floor(place * 32 / n) <> floor((place - 1) * 32 / n))""",
-    "cart_threshold_bins": f"""WITH {FEATURES_SQL}, c AS (SELECT feature::INTEGER AS feature, ((value >= -0.2)::INTEGER + (value >= -0.1)::INTEGER + (value >= 0)::INTEGER + (value >= 0.1)::INTEGER + (value >= 0.2)::INTEGER) AS bin, count(*) AS n, sum(y)::BIGINT AS ones FROM long WHERE feature < 4 GROUP BY ALL)
+SELECT feature::INTEGER AS feature, CASE WHEN value / 2 + after / 2 > value AND value / 2 + after / 2 <= after THEN value / 2 + after / 2 ELSE after END AS threshold, impurity, nl::BIGINT AS left_rows FROM i ORDER BY impurity, feature, value LIMIT 1""",
+    "candidate_thresholds": f"""WITH {FEATURES_SQL}, v AS (SELECT feature, list_sort(list(DISTINCT value)) AS vs FROM long GROUP BY feature),
+k AS (SELECT feature, vs, len(vs) AS n, least(32, len(vs) - 1) AS slots, unnest(CASE WHEN len(vs) = 1 THEN [0] ELSE range(1, least(32, len(vs) - 1) + 1) END) AS slot FROM v),
+m AS (SELECT feature, slot, CASE WHEN n = 1 THEN vs[1] ELSE vs[(slot * (n - 1)) // (slots + 1) + 1] END AS a, CASE WHEN n > 1 THEN vs[(slot * (n - 1)) // (slots + 1) + 2] END AS b FROM k)
+SELECT feature::INTEGER AS feature, min(slot)::INTEGER AS slot, CASE WHEN b IS NULL THEN a WHEN a / 2 + b / 2 > a AND a / 2 + b / 2 <= b THEN a / 2 + b / 2 ELSE b END AS cut FROM m GROUP BY feature, cut""",
+    "cart_threshold_bins": f"""WITH {FEATURES_SQL}, c AS (SELECT feature::INTEGER AS feature, ((value >= -0.2)::INTEGER + (value >= -0.1)::INTEGER + (value >= 0)::INTEGER + (value >= 0.1)::INTEGER + (value >= 0.2)::INTEGER) AS bin, count(*) AS n, sum(y)::BIGINT AS ones FROM long GROUP BY ALL)
 SELECT *, sum(n) OVER o::BIGINT AS n_upto, sum(ones) OVER o::BIGINT AS ones_upto FROM c WINDOW o AS (PARTITION BY feature ORDER BY bin)""",
+    "cart_greedy_tree": _greedy_sql(3, 5),
+    "mechanism_ols": f"""WITH {PANEL_SQL},
+c AS (SELECT scenario, count(*) * covar_pop(quantity, quantity) AS qq, count(*) * covar_pop(tax, tax) AS tt, count(*) * covar_pop(n_rows, n_rows) AS nn, count(*) * covar_pop(quantity, tax) AS qt, count(*) * covar_pop(quantity, n_rows) AS qn,
+  count(*) * covar_pop(tax, n_rows) AS tn, count(*) * covar_pop(quantity, discount) AS qy, count(*) * covar_pop(tax, discount) AS ty, count(*) * covar_pop(n_rows, discount) AS ny FROM panel GROUP BY scenario),
+m AS (SELECT sum(qq) AS a, sum(qt) AS b, sum(qn) AS c, sum(tt) AS d, sum(tn) AS e, sum(nn) AS f, sum(qy) AS x, sum(ty) AS y, sum(ny) AS z FROM c),
+d AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM m)
+SELECT 'quantity' AS term, round((x * (d * f - e * e) - b * (y * f - e * z) + c * (y * e - d * z)) / det, 6) AS slope FROM d
+UNION ALL SELECT 'tax', round((a * (y * f - e * z) - x * (b * f - e * c) + c * (b * z - y * c)) / det, 6) FROM d
+UNION ALL SELECT 'n_rows', round((a * (d * z - y * e) - b * (b * z - y * c) + x * (b * e - d * c)) / det, 6) FROM d""",
     "tree_predict_case": "SELECT vec_id, CASE WHEN embedding[1] < 0.0 THEN CASE WHEN embedding[2]::DOUBLE < 0.05::DOUBLE THEN 0 ELSE 1 END ELSE CASE WHEN embedding[3]::DOUBLE < -0.05::DOUBLE THEN 1 ELSE 0 END END AS pred FROM embeddings",
     "addr_uniform": f"""SELECT o_orderkey, substr(sha256('["DT-P9-DRAW-v1","0123456789abcdef","FEATURE",' || o_orderkey || ',0]'), 1, 16) AS key, {_bits_sql('FEATURE', 'o_orderkey', 0)}::BIGINT AS bits, round({_u_sql('FEATURE', 'o_orderkey', 0)}, 12) AS u FROM orders""",
     "stream_labels": _stream_sql(),
     "bootstrap_t_mean": f"""WITH {_H1}, t AS (SELECT estimate, se_0, CASE WHEN se = 0 THEN 'inf'::DOUBLE ELSE abs(theta - estimate) / se END AS t FROM reps JOIN whole USING (contrast)),
-c AS (SELECT estimate, se_0, list_sort(list(t))[95] AS critical, count(*) FILTER (t >= abs(estimate) / se_0) AS beyond FROM t GROUP BY ALL)
+c AS (SELECT estimate, se_0, list_sort(list(t))[{CRITICAL}] AS critical, count(*) FILTER (t >= abs(estimate) / se_0) AS beyond FROM t GROUP BY ALL)
 SELECT round(estimate, 6) AS estimate, round(se_0, 6) AS se, round(critical, 6) AS critical, round(estimate - critical * se_0, 6) AS low, round(estimate + critical * se_0, 6) AS high, round((1 + beyond) / {REPLICATES + 1}, 6) AS p FROM c""",
     "bootstrap_percentile_ci": f"WITH {_H1} SELECT {_CI} FROM reps",
-    "practical_class": f"WITH {_H1}, c AS (SELECT {_CI} FROM reps) SELECT *, CASE WHEN low > 5 THEN 'BENEFICIAL' WHEN high < -5 THEN 'HARMFUL' WHEN low >= -5 AND high <= 5 THEN 'EQUIVALENT' ELSE 'UNRESOLVED' END AS class FROM c",
+    "practical_class": f"WITH {_H1}, c AS (SELECT {_CI} FROM reps) SELECT *, CASE WHEN low > 5 THEN 'BENEFICIAL' WHEN high < -5 THEN 'HARMFUL' WHEN low >= -5 AND high <= 5 THEN 'EQUIVALENT' ELSE 'INCONCLUSIVE' END AS class FROM c",
     "bootstrap_maxt": "WITH " + _replicates_sql({"discount": "discount", "quantity": "quantity", "tax": "tax"}, PANEL_SQL, "MAXT", """SELECT scenario, realisation, max(discount) FILTER (arm = 0) - max(discount) FILTER (arm = 1) AS discount, max(quantity) FILTER (arm = 0) - max(quantity) FILTER (arm = 1) AS quantity, max(tax) FILTER (arm = 0) - max(tax) FILTER (arm = 1) AS tax FROM panel GROUP BY ALL HAVING count(*) FILTER (arm = 0) > 0 AND count(*) FILTER (arm = 1) > 0""") + """,
 t AS (SELECT b, max(CASE WHEN se = 0 THEN 0 ELSE abs(theta - estimate) / se END) AS t FROM reps JOIN whole USING (contrast) GROUP BY b),
-c AS (SELECT list_sort(list(t))[95] AS critical FROM t),
+c AS (SELECT list_sort(list(t))[9500] AS critical FROM t),
 r AS (SELECT contrast, round(estimate, 6) AS estimate, round(critical, 6) AS critical, round(estimate - critical * se_0, 6) AS low, round(estimate + critical * se_0, 6) AS high FROM whole, c)
 SELECT *, CASE WHEN high < 0 THEN 'LEFT_LOWER' WHEN low > 0 THEN 'RIGHT_LOWER' ELSE 'UNRESOLVED' END AS direction FROM r""",
     "holm_stepdown": f"""WITH {PAIRED_SQL},
@@ -353,6 +386,17 @@ SELECT c_mktsegment, count(*) AS records, count(*) FILTER (n = 1) AS clones, cou
     "order_digest_root": "SELECT o_custkey, sha256(string_agg(o_orderkey || chr(9) || o_orderstatus, chr(10) ORDER BY o_orderkey) || chr(10)) AS digest FROM orders GROUP BY ALL",
     "key_completeness": "SELECT c_custkey AS key, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
     "duplicate_keys": "SELECT l_orderkey, l_partkey, count(*) AS times FROM lineitem GROUP BY ALL HAVING count(*) > 1",
-    "prefix_encoder": """SELECT o_orderkey, o_orderstatus, o_orderpriority, coalesce(o_orderstatus = 'F', false)::INTEGER AS o_orderstatus_0, coalesce(o_orderstatus = 'O', false)::INTEGER AS o_orderstatus_1, coalesce(o_orderstatus NOT IN ('F', 'O'), false)::INTEGER AS o_orderstatus_unknown, (o_orderstatus IS NULL)::INTEGER AS o_orderstatus_missing,
+    "one_hot": """SELECT o_orderkey, o_orderstatus, o_orderpriority, coalesce(o_orderstatus = 'F', false)::INTEGER AS o_orderstatus_0, coalesce(o_orderstatus = 'O', false)::INTEGER AS o_orderstatus_1, coalesce(o_orderstatus NOT IN ('F', 'O'), false)::INTEGER AS o_orderstatus_unknown, (o_orderstatus IS NULL)::INTEGER AS o_orderstatus_missing,
   coalesce(o_orderpriority = '1-URGENT', false)::INTEGER AS o_orderpriority_0, coalesce(o_orderpriority = '2-HIGH', false)::INTEGER AS o_orderpriority_1, coalesce(o_orderpriority NOT IN ('1-URGENT', '2-HIGH'), false)::INTEGER AS o_orderpriority_unknown, (o_orderpriority IS NULL)::INTEGER AS o_orderpriority_missing FROM orders""",
 }
+
+
+def _join_studies() -> None:
+    """The studies use this module's tables, so they come last."""
+    from tidemark.plans import studies
+
+    QUERIES.update(studies.QUERIES)
+    ORACLE_SQL.update(studies.ORACLE_SQL)
+
+
+_join_studies()
