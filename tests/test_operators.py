@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import addressing, classify
 from tidemark.functions import scenarios as sc
-from tidemark.operators import checks, frontier, lineage, ordered, panel, regression, resample, trees
+from tidemark.operators import checks, frontier, lineage, ordered, panel, regression, resample, selection, trees
 
 
 def test_uniform_is_the_digest(spark):
@@ -25,7 +25,7 @@ def test_fourteen_scenarios_start_with_stationary():
 def test_practical_class_includes_its_bounds(spark):
     rows = spark.createDataFrame([(-1.0, 1.0), (1.1, 2.0), (-3.0, -1.1), (0.0, 2.0)], "low double, high double")
     got = [r[0] for r in rows.select(classify.practical_class(F.col("low"), F.col("high"), 1.0)).collect()]
-    assert got == ["EQUIVALENT", "BENEFICIAL", "HARMFUL", "UNRESOLVED"]
+    assert got == ["EQUIVALENT", "BENEFICIAL", "HARMFUL", "INCONCLUSIVE"]
 
 
 def test_equal_scenario_mean_ignores_cell_sizes(spark):
@@ -126,3 +126,207 @@ def test_fixed_effects_recover_slopes(spark):
     rows = [(g, float(x), float(z), float(3 * x - 2 * z + 10 * g)) for g in (0, 1) for x, z in rng.integers(0, 9, (20, 2))]
     got = {r.term: r.slope for r in regression.fixed_effects(spark.createDataFrame(rows, "g int, x double, z double, y double"), "y", ["x", "z"], "g").collect()}
     assert got == {"x": 3.0, "z": -2.0}
+
+
+# ---- streams, by hand ----
+
+
+def test_stream_keys_and_concepts(spark):
+    key = spark.range(1).select(sc.stream_key(F.lit("LOCAL_TREE-STATIONARY-NONE"), F.lit(0))).first()[0]
+    assert key == "9463861a45169367"
+    cases = [
+        ("ABRUPT-MILD", 10_000, 0.0, 0), ("ABRUPT-MILD", 10_001, 0.0, 1), ("ABRUPT-MILD", 20_001, 0.0, 2), ("RECURRENT-SEVERE", 15_000, 0.0, 1), ("RECURRENT-SEVERE", 20_001, 0.0, 0),
+        ("STATIONARY-NONE", 26_000, 0.0, 0), ("GRADUAL-MILD", 10_001, 0.0, 1), ("GRADUAL-MILD", 10_001, 0.5, 0), ("GRADUAL-MILD", 12_000, 0.999, 1), ("GRADUAL-MILD", 15_000, 0.0, 1), ("GRADUAL-MILD", 15_000, 0.99, 1),
+        ("GRADUAL-MILD", 20_000, 0.99, 1), ("GRADUAL-MILD", 21_000, 0.4, 2), ("GRADUAL-MILD", 21_000, 0.6, 1), ("GRADUAL-MILD", 25_000, 0.0, 2), ("GRADUAL-MILD", 9_000, 0.0, 0),
+    ]
+    rows = spark.createDataFrame([(f"{f}-{s}", t, m, c) for f in sc.FAMILIES for s, t, m, c in cases], "scenario string, t int, mixture double, want int")
+    assert rows.where(sc.concept_at(F.col("scenario"), F.col("t"), F.col("mixture")) != F.col("want")).count() == 0
+
+
+def test_clean_labels(spark):
+    a, b = [0.2, 0.05, 0.2] + [0.0] * 5, [0.8, 0.2, 0.05] + [0.0] * 5
+    u, v = [1.0] * 4 + [0.0] * 4, [-1.0] * 4 + [3.0] * 4
+    cases = [
+        (a, "LOCAL_TREE-ABRUPT-MILD", 0, 1), (a, "LOCAL_TREE-ABRUPT-MILD", 1, 0), (b, "LOCAL_TREE-ABRUPT-MILD", 1, 1), (b, "LOCAL_TREE-ABRUPT-MILD", 2, 0), (u, "OBLIQUE-ABRUPT-SEVERE", 0, 1), (u, "OBLIQUE-ABRUPT-SEVERE", 2, 1),
+        ([-x for x in u], "OBLIQUE-ABRUPT-SEVERE", 1, 0), (v, "OBLIQUE-ABRUPT-SEVERE", 0, 0), (v, "OBLIQUE-ABRUPT-SEVERE", 1, 1), (v, "OBLIQUE-STATIONARY-NONE", 0, 0),
+    ]
+    rows = spark.createDataFrame(cases, "x array<double>, scenario string, concept int, want int")
+    got = rows.select("want", sc.clean_label(F.col("scenario"), [F.col("x")[j] for j in range(8)], F.col("concept")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_thresholds_of_constants_extremes_and_many_values(spark):
+    values = [(0, 1.0), (1, 1e308), (1, 1.1e308), *((2, float(x)) for x in range(101)), (3, 1.0), (3, float(np.nextafter(1.0, 2.0)))]
+    got = {}
+    for r in trees.candidate_thresholds(spark.createDataFrame(values, "feature int, value double"), 4).orderBy("slot").collect():
+        got.setdefault(r.feature, []).append(r.cut)
+    assert got[0] == [1.0] and got[1] == [1e308 / 2 + 1.1e308 / 2] and got[3] == [float(np.nextafter(1.0, 2.0))]
+    assert got[2] == [k * 100 // 5 + 0.5 for k in (1, 2, 3, 4)]
+
+
+# ---- fronts ----
+
+
+def test_fronts_match_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    for high in (6, 1000):
+        points = [(i, int(c), int(v)) for i, (c, v) in enumerate(rng.integers(0, high, (150, 2)))]
+        df = spark.createDataFrame(points, "k int, cost long, loss long")
+        want = {i for i, c, v in points if not any(a <= c and b <= v and (a < c or b < v) for _, a, b in points)}
+        assert {r.k for r in frontier.pareto(df, "k", ["cost", "loss"]).collect()} == want
+        prices = [0.0, *((v - b) / (a - c) for _, c, v in points for _, a, b in points if a > c and v > b)]
+        best = set()
+        for p in prices:
+            least = min(v + p * c for _, c, v in points)
+            best |= {(i, c, v) for i, c, v in points if v + p * c <= least + 1e-9}
+        cheapest = min(c for _, c, _ in points)
+        best |= {x for x in points if x[1] == cheapest and x[2] == min(v for _, c, v in points if c == cheapest)}
+        assert {r.k for r in frontier.supported(df, "k", "cost", "loss").collect()} == {i for i, *_ in best}
+        more = df.withColumn("third", F.col("k") % 7)
+        got = {r.k for r in frontier.pareto(more, "k", ["cost", "loss", "third"]).collect()}
+        assert got == {i for i, c, v in points if not any(a <= c and b <= v and j % 7 <= i % 7 and (a < c or b < v or j % 7 < i % 7) for j, a, b in points)}
+
+
+def test_break_even_and_dominance(spark):
+    df = spark.createDataFrame([(0.5, 0.1, 2.0, 1.0), (0.5, -0.1, 2.0, 1.0)], "s double, sl double, p double, pl double")
+    got = df.select(*frontier.break_even({"estimate": F.col("s"), "low": F.col("sl")}, {"estimate": F.col("p"), "low": F.col("pl")}, 1000)).collect()
+    assert tuple(got[0]) == ("STABLE", 0.04, 0.004, 0.25) and tuple(got[1]) == ("UNSTABLE_ACCURACY_INCREMENT", None, None, None)
+    sides = spark.createDataFrame([("LEFT_LOWER", "LEFT_LOWER"), ("RIGHT_LOWER", "RIGHT_LOWER"), ("LEFT_LOWER", "UNRESOLVED")], "x string, y string")
+    assert [r[0] for r in sides.select(classify.dominance([F.col("x"), F.col("y")], F.lit("l"), F.lit("r"))).collect()] == ["l", "r", None]
+
+
+# ---- resampling ----
+
+
+def _cells(seed, n=9):
+    rng = np.random.default_rng(seed)
+    return [(g, r, int(a), int(q)) for g in "xy" for r, (a, q) in enumerate(rng.integers(1, 30, (n, 2)))]
+
+
+def _tape(cells, b, name):
+    """The draws of one replicate, from the addresses."""
+    out = []
+    for g in "xy":
+        own = [c for c in cells if c[0] == g]
+        out.append([own[(int(hashlib.sha256(f"{name}|{b}|{g}|{i}".encode()).hexdigest()[:16], 16) >> 11) % len(own)] for i in range(len(own))])
+    return out
+
+
+def test_ratio_bootstrap_by_hand(spark):
+    cells = _cells(1)
+    df = spark.createDataFrame(cells, "scenario string, realisation int, a long, q long")
+
+    def moments(groups):
+        a, q = (np.array([[c[k] for c in g] for g in groups], float) for k in (2, 3))
+        theta = a.mean(1).mean() / q.mean(1).mean()
+        return theta, np.sqrt(np.var(a - theta * q, axis=1, ddof=1).sum() / (4 * a.shape[1])) / q.mean(1).mean()
+
+    theta, se = moments([[c for c in cells if c[0] == g] for g in "xy"])
+    reps = [moments(_tape(cells, b, "R")) for b in range(99)]
+    pivots = sorted(abs(t - theta) / s for t, s in reps)
+    row = resample.bootstrap_t_ratio(df, "a", "q", 99, "R").first()
+    assert np.allclose([row.estimate, row.se, row.critical], [theta, se, pivots[94]], atol=2e-6)
+    assert row.p == round((1 + sum(t >= theta / se for t in pivots)) / 100, 6)
+    ends = resample.percentile_ratio(df, "a", "q", 99, "R").first()
+    ordered = sorted(t for t, _ in reps)
+    assert np.allclose([ends.low, ends.high], [ordered[1], ordered[97]], atol=2e-6) and ends.finite == 99
+    got = resample.cluster_interval(df, ["a"], 99, "R", 0.05).first()
+    means = [np.mean([np.mean([c[2] for c in g]) for g in _tape(cells, b, "R")]) for b in range(99)]
+    assert np.allclose([got.low, got.high], np.quantile(means, [0.05, 0.95]), atol=2e-6)
+    zero = df.withColumn("q", F.lit(0).cast("long"))
+    assert resample.percentile_ratio(zero, "a", "q", 99, "R").first().low is None
+
+
+def test_slope_interval_by_hand(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, r, float(x), 0.0, float(2 * x + rng.normal() + 5 * (g == "x"))) for g in "xy" for r in range(8) for x in rng.integers(0, 9, 3)]
+    df = spark.createDataFrame(rows, "scenario string, realisation int, x double, flat double, y double")
+    slopes = []
+    for b in range(99):
+        sxx = sxy = 0.0
+        for g in _tape([(s, i, 0, 0) for s in "xy" for i in range(8)], b, "S"):
+            own = np.array([[x, y] for s, r, *_ in g for t, q, x, _, y in rows if (t, q) == (s, r)])
+            x, y = (own - own.mean(0)).T
+            sxx, sxy = sxx + x @ x, sxy + x @ y
+        slopes.append(sxy / sxx)
+    slopes.sort()
+    got = {r.term: r for r in resample.slope_interval(df, "y", ["x", "flat"], 99, "S").collect()}
+    assert np.allclose([got["x"].low, got["x"].high], [slopes[1], slopes[97]], atol=2e-6)
+    assert (got["flat"].low, got["flat"].finite) == (None, 0)
+
+
+def test_welch_freedom(spark):
+    cells = _cells(4)
+    df = spark.createDataFrame([(g, r, a, 3) for g, r, a, _ in cells], "scenario string, realisation int, a long, same int")
+    groups = np.array([[c[2] for c in cells if c[0] == g] for g in "xy"], float)
+    part = groups.var(axis=1, ddof=1) / groups.shape[1]
+    got = {r.contrast: r for r in panel.effective_freedom(df.withColumn("same", F.col("same").cast("long")), "a", "same").collect()}
+    assert np.allclose([got["a"].variance, got["a"].freedom], [part.sum() / 4, part.sum() ** 2 / ((part**2) / 8).sum()], atol=2e-6)
+    assert got["same"].variance == 0 and got["same"].freedom is None
+
+
+# ---- checks, order, selection ----
+
+
+def test_encoder_learns_from_a_prefix_only(spark):
+    df = spark.createDataFrame([(1, 1.0, "b"), (2, None, "a"), (3, 4.0, None), (4, 9.0, "z"), (5, None, "b")], "i int, x double, c string")
+    fitted = checks.fit_encoder(df.where("i <= 3"), ["x"], ["c"])
+    got = [(r.x, r.x_missing, r.c) for r in checks.encode_with(df, fitted, ["x"], ["c"]).orderBy("i").collect()]
+    assert got == [(1.0, 0, 1), (2.5, 1, 0), (4.0, 0, -2), (9.0, 0, -1), (2.5, 1, 1)]
+
+
+def test_gaps_chains_and_ranks(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 4, "x"), ("b", 2, "x")], "k string, o int, e string")
+    assert {tuple(r) for r in ordered.gaps(df, "k", "o").collect()} == {("a", 4, 3), ("b", 2, 1)}
+    chain = ""
+    for e in "xyx":
+        chain = hashlib.sha256((chain + e).encode()).hexdigest()
+    assert {r.k: (r.events, r.chain) for r in ordered.hash_chain(df, "k", "o", F.col("e")).collect()}["a"] == (3, chain)
+    assert {(r.k, r.o, r.nth) for r in ordered.duplicate_rank(df, ["e"], "k", "o").collect()} == {("a", 1, 1), ("a", 4, 2), ("b", 2, 3), ("a", 2, 1)}
+    assert tuple(ordered.ends(df, "k", "o", "e").where("k = 'a'").first()) == ("a", "x", "x")
+
+
+def test_range_digest_is_of_digests(spark):
+    df = spark.createDataFrame([(i, f"l{i}") for i in (0, 1, 2, 5, 7)], "o long, l string")
+    sha = lambda lines: hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()
+    want = sha([sha([sha(["l0", "l1"]), sha(["l2"])]), sha([sha(["l5"]), sha(["l7"])])])
+    assert tuple(checks.range_digest(df, "o", F.col("l"), 2).first()) == (want, 4)
+
+
+def test_selections(spark):
+    df = spark.createDataFrame([("g", 1, 0.5), ("g", 2, 0.9), ("g", 3, 0.9), ("h", 1, 0.1)], "g string, o int, f double")
+    assert {(r.g, r.o, r["rank"]) for r in selection.survivors(df, "g", "f", "o", 2).collect()} == {("g", 2, 1), ("g", 3, 2), ("h", 1, 1)}
+    key = "0123456789abcdef"
+    for r in selection.tournament(df, "g", "f", "o", 9, 3, key, "T").where("g = 'g'").collect():
+        drawn = []
+        for i in range(3):
+            j = int(hashlib.sha256(f'["DT-P9-DRAW-v1","{key}","T:g",{r.round},{i}]'.encode()).hexdigest()[:16], 16) >> 11
+            drawn.append(int((j + 0.5) / 2**53 * 3) + 1)
+        best = max({1: 0.5, 2: 0.9, 3: 0.9}[o] for o in drawn)
+        assert r.winner == next(o for o in drawn if {1: 0.5, 2: 0.9, 3: 0.9}[o] == best)
+    sites = spark.createDataFrame([("t", ""), ("u", "0"), ("u", "01"), ("u", "010"), ("u", "11"), ("t", "1")], "k string, p string")
+    assert {tuple(r) for r in selection.maximal_sites(sites, "k", "p").collect()} == {("t", ""), ("u", "0"), ("u", "11")}
+
+
+def test_contracts_groups_and_sets(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "b"), (3, "c")], "k int, m string")
+    assert {tuple(r) for r in checks.incomplete_groups(df, ["k"], "m", ["a", "b"]).collect()} == {(2, 1, 1), (3, 1, 1)}
+    assert {tuple(r) for r in checks.violations(df, ["k"], {"known": F.col("m").isin("a", "b"), "null": F.lit(None).cast("boolean") | (F.col("k") < 3)}).collect()} == {(3, "known"), (3, "null")}
+    assert checks.expected_keys(df.select("k").distinct(), ["x", "y"], "m").count() == 6
+    got = checks.retention(df.where("k = 1").withColumn("g", F.lit(0)), df.where("k = 3").withColumn("g", F.lit(0)), ["g"], "m").first()
+    assert (got.kept, got.of, got.retained) == (1, 2, 0.5)
+    near = spark.createDataFrame([(1.0, 1.0 + 1e-13), (1.0, 1.1), (None, None), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in near.select(checks.tolerance(F.col("a"), F.col("b"))).collect()] == [True, False, True, False]
+
+
+def test_trees_by_nodes(spark):
+    splits = spark.createDataFrame([(1, 0, 0.5), (3, 2, -1.25)], "node long, feature int, threshold double")
+    row = trees.summary(splits).first()
+    assert (row.splits, row.nodes, row.depth) == (2, 5, 2) and row.fingerprint == hashlib.sha256(b"1|0|500000000\n3|2|-1250000000").hexdigest()
+
+
+def test_large_means_cost_no_digits(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, 1e9 + float(x), 1e9 + 3 * float(x)) for g in (0, 1) for x in rng.normal(size=50)]
+    got = regression.fixed_effects(spark.createDataFrame(rows, "g int, x double, y double"), "y", ["x"], "g").first()
+    assert abs(got.slope - 3) < 1e-5
