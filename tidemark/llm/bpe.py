@@ -26,7 +26,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from tidemark.llm.shared import give_back, lean, small_batches
 
 #: Bytes that a task's table of words and of fragments may hold before it starts anew; as many older ones are kept beside it.
-WORD_BYTES, FRAGMENT_BYTES = 12 << 20, 4 << 20
+WORD_BYTES, FRAGMENT_BYTES = 6 << 20, 12 << 20
 
 #: What an entry takes besides its letters, about: two objects and their place in the table.
 ENTRY_BYTES = 200
@@ -122,7 +122,6 @@ class ForcedBoundaryBpe:
         self._plain = re.compile("[a-z]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r a-z0-9]+")  # the same for lower-case ASCII
         self._unknown = re.compile(f"[{_unknown()}]")
         self._normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-        self._odd_white = re.compile("[\x1c-\x1f]")  # white to str.split, not to the vocabulary
         # Letters first: no other alternative begins with one, so the order among the rest decides alone.
         self._parts = re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{WHITE}{letter}{number}]+")
         self.number = {t: str(i) for t, i in vocab.items()} | {t: str(i) for t, i in self.special.items()}
@@ -181,7 +180,8 @@ class ForcedBoundaryBpe:
     def _word(self, word: str) -> str:
         """The tokens of a stretch without white space, joined by spaces: of its pre-tokens' fragments."""
         parts: list[str] = []
-        for run in (self._plain if word.isascii() else self._parts).findall(word):
+        letters = word.isascii() and word.isalpha()
+        for run in [word] if letters else (self._plain if word.isascii() else self._parts).findall(word):
             if not (run.isascii() and run.isprintable()):
                 run = "".join([self.letters[b] for b in run.encode()])
             pieces = self.cuts(run)
@@ -192,14 +192,16 @@ class ForcedBoundaryBpe:
 
     def _stretches(self, text: str) -> list[str]:
         """Normalise a text without special tokens and part it at white space, which no pre-token crosses."""
-        if not text.isascii() and self._unknown.search(text):
+        if not text.isascii() and self._unknown.search("".join(set(text))):
             text = self._normalizer.normalize_str(text)
         elif not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
         else:
             text = text.lower()
-        return text.split() if self._odd_white.search(text) is None else [w for w in self._white.split(text) if w]
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white to str.split, not to the vocabulary
+            return [w for w in self._white.split(text) if w]
+        return text.split()
 
     def both(self, text: str) -> tuple[str, str]:
         """The ids and the tokens of a text, each joined by single spaces."""
