@@ -89,6 +89,7 @@ def only(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
+    # The shifts and multipliers of a public finaliser.
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
