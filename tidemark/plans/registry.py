@@ -104,6 +104,9 @@ def _addr_bits(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").select("o_orderkey", addressing.key_from_address(address).alias("key"), bits.alias("bits"), F.round(addressing.open_uniform(bits), 12).alias("u"))
 
 
+#: Fixed values below: the tag and form of a draw's address and of a stream's, as in `functions.addressing` and `functions.scenarios`.
+
+
 def _bits_sql(role: str, index: str, draw: int | str, key: str = "'0123456789abcdef'") -> str:
     return f"""(('0x' || substr(sha256('["DT-P9-DRAW-v1","' || {key} || '","{role}",' || {index} || ',{draw}]'), 1, 16))::UBIGINT >> 11)"""
 
