@@ -211,7 +211,7 @@ def permutation_search(embeddings: DataFrame, k: int = 10, every: int = 100, n_p
     sample = rows.where("vec_id is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * n_pivots).collect()
     width = max((len(r["vector"]) for r in sample), default=0)
     different = dict.fromkeys(tuple(r["vector"] + [0.0] * (width - len(r["vector"]))) for r in sample)
-    pivots = np.array([*different][:n_pivots]).reshape(-1, width)
+    pivots = np.array([*different][:n_pivots]).reshape(min(len(different), n_pivots), width)
 
     def fitted(x: np.ndarray, to: int) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, to - x.shape[1])))
