@@ -31,6 +31,16 @@ def draws(cells: DataFrame, replicates: int, name: str) -> DataFrame:
     return each.select("b", "scenario", bounded_index(address, F.col("n")).alias("place"), F.lit(1).cast("long").alias("times"))
 
 
+#: Members that are sent to all tasks rather than shuffled with the draws, at most.
+FEW_MEMBERS = 100_000
+
+
+def met(at: DataFrame, tape: DataFrame) -> DataFrame:
+    """The draws with the members that they drew. Where a count finds few members, they go to the draws, which then need no shuffle."""
+    few = at.limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
+    return tape.join(F.broadcast(at) if few else at, ["scenario", "place"])
+
+
 def placed(df: DataFrame) -> DataFrame:
     """Add each row's 0-based place among its scenario's realisations, which are numbered.
 
@@ -65,7 +75,7 @@ def replicates(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
     """(b, theta, se) of each replicate of an integer-valued panel column."""
     at = placed(df.select("scenario", "realisation", value))
     tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    return _moments(at.join(tape, ["scenario", "place"]), F.col(value), F.col("times"), "b")
+    return _moments(met(at, tape), F.col(value), F.col("times"), "b")
 
 
 def bootstrap_t(df: DataFrame, value: str, n: int, name: str, level: float = 0.95) -> DataFrame:
@@ -95,7 +105,7 @@ def max_t(df: DataFrame, values: list[str], n: int, name: str, level: float = 0.
     at = placed(df.select("scenario", "realisation", *values))
     tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
     whole = _moments_of(at, values, F.lit(1)).withColumnsRenamed({"theta": "estimate", "se": "se_0"})
-    resampled = _moments_of(at.join(tape, ["scenario", "place"]), values, F.col("times"), "b")
+    resampled = _moments_of(met(at, tape), values, F.col("times"), "b")
     t = resampled.join(whole, "contrast").select("b", F.when(F.col("se") == 0, 0.0).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se")).alias("t"))
     critical = t.groupBy("b").agg(F.max("t").alias("t")).agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(level * (n - 1)) + 1).alias("critical"))
     reach = F.col("critical") * F.col("se_0")
@@ -129,7 +139,7 @@ def ratio_replicates(df: DataFrame, a: str, q: str, n: int, name: str) -> DataFr
     """(b, mq, theta, se) of each replicate of a ratio of two integer-valued panel columns; theta is null where the denominator is not above 0."""
     at = placed(df.select("scenario", "realisation", a, q))
     tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    return _ratio_moments(at.join(tape, ["scenario", "place"]), a, q, F.col("times"), "b")
+    return _ratio_moments(met(at, tape), a, q, F.col("times"), "b")
 
 
 def bootstrap_t_ratio(df: DataFrame, a: str, q: str, n: int, name: str, level: float = 0.95) -> DataFrame:
@@ -154,7 +164,7 @@ def cluster_interval(df: DataFrame, values: list[str], n: int, name: str, tail:
     """(contrast, low, high): interpolated quantiles `tail` and 1 - `tail` of resampled equal-scenario means; all columns share the draws."""
     at = placed(df.select("scenario", "realisation", *values))
     tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    found = _moments_of(at.join(tape, ["scenario", "place"]), values, F.col("times"), "b")
+    found = _moments_of(met(at, tape), values, F.col("times"), "b")
     return found.groupBy("contrast").agg(F.round(F.percentile("theta", tail), 6).alias("low"), F.round(F.percentile("theta", 1 - tail), 6).alias("high"))
 
 
@@ -171,7 +181,7 @@ def slope_interval(df: DataFrame, y: str, xs: list[str], n: int, name: str, leve
     parts = df.groupBy("scenario", "realisation").agg(F.count("*").alias("rows"), *(F.sum(value(i)).alias(f"s{i}") for i in range(len(names))), *(F.sum(value(i) * value(j)).alias(f"p{i}_{j}") for i, j in pairs))
     at = placed(parts)
     tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    cells = at.join(tape, ["scenario", "place"]).groupBy("b", "scenario").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("rows", *(f"s{i}" for i in range(len(names))), *(f"p{i}_{j}" for i, j in pairs))))
+    cells = met(at, tape).groupBy("b", "scenario").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("rows", *(f"s{i}" for i in range(len(names))), *(f"p{i}_{j}" for i, j in pairs))))
     centred = cells.groupBy("b").agg(*(F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("rows")).alias(f"c{i}_{j}") for i, j in pairs))
     k = len(xs)
 
