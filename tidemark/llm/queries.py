@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import bpe_digest
+from tidemark.llm.importance import RESAMPLE_SQL, resample
 from tidemark.llm.langid import predict_language
+from tidemark.llm.lexical import RANKED_SQL, ranked_search
 from tidemark.llm.mixing import MIX_SQL, fair_mix
 from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.passages import repeated_passages
 from tidemark.llm.pii import pii_digest
 from tidemark.llm.quality import score_quality
@@ -62,6 +65,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_pii": op2_pii,
@@ -73,10 +88,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_urls": op10_urls,
+    "op11_importance": op11_importance,
+    "op12_packing": op12_packing,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": TOP_K_SQL,
     "op3_mixing": MIX_SQL,
     "op10_urls": URL_SQL,
+    "op11_importance": RESAMPLE_SQL,
+    "op13_lexical": RANKED_SQL,
 }
