@@ -2,47 +2,33 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.stored import store
+
 
 def edges(records: DataFrame, node: str = "id", parents: str = "parents") -> DataFrame:
     """(child, parent), each pair once."""
     return records.select(F.col(node).alias("child"), F.explode(F.array_distinct(parents)).alias("parent"))
 
 
-def _store(df: DataFrame) -> DataFrame:
-    """Write `df` to the session's checkpoint folder and read it back. Only a local session may go without such a folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ancestors(edge: DataFrame) -> DataFrame:
     """(node, ancestor) for every ancestor, the node itself excluded.
 
     Each round goes one generation up from the pairs that the last one found and keeps those not yet known, so that a
     pair is followed once however many paths lead to it.
     """
-    edge = _store(edge)
-    new = _store(edge.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
+    edge = store(edge)
+    new = store(edge.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
     found = [new]
     while new.limit(1).count():
         up = new.join(edge, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
         if len(found) > 16:  # keeps the plan short
-            found = [_store(reduce(DataFrame.union, found))]
-        new = _store(up.join(reduce(DataFrame.union, found), ["node", "ancestor"], "left_anti"))
+            found = [store(reduce(DataFrame.union, found))]
+        new = store(up.join(reduce(DataFrame.union, found), ["node", "ancestor"], "left_anti"))
         found.append(new)
     return reduce(DataFrame.union, found).where("node != ancestor")
 
@@ -53,8 +39,8 @@ def depths(edge: DataFrame, roots: DataFrame) -> DataFrame:
     Each round goes one generation down and keeps a node once; the last round that reaches a node is its depth. Rows on a
     cycle below a root have no longest path and raise a ValueError.
     """
-    edge = _store(edge.select("child", "parent").distinct())
-    level = _store(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    edge = store(edge.select("child", "parent").distinct())
+    level = store(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     found, generation = [level], 0
     nodes = edge.select("child").distinct().count()
     while level.limit(1).count():
@@ -63,8 +49,8 @@ def depths(edge: DataFrame, roots: DataFrame) -> DataFrame:
             raise ValueError("the lineage has a cycle")
         down = level.join(edge, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         if len(found) > 16:
-            found = [_store(reduce(DataFrame.union, found).groupBy("node").agg(F.max("depth").alias("depth")))]
-        level = _store(down.withColumn("depth", F.lit(generation)))
+            found = [store(reduce(DataFrame.union, found).groupBy("node").agg(F.max("depth").alias("depth")))]
+        level = store(down.withColumn("depth", F.lit(generation)))
         found.append(level)
     return reduce(DataFrame.union, found).groupBy("node").agg(F.max("depth").alias("depth"))
 

@@ -85,8 +85,6 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 FEATURES_SQL = """long AS (
   SELECT vec_id AS row_id, (label < 5)::INTEGER AS y, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings)"""
 
-#: A fixed tree for the registered prediction.
-TREE = {"feature": 0, "threshold": 0.0, "left": {"feature": 1, "threshold": 0.05, "left": {"action": 0}, "right": {"action": 1}}, "right": {"feature": 2, "threshold": -0.05, "left": {"action": 1}, "right": {"action": 0}}}
 CUTS = [-0.2, -0.1, 0.0, 0.1, 0.2]
 
 
@@ -224,7 +222,6 @@ QUERIES: dict[str, Query] = {
     "candidate_thresholds": lambda s, d: trees.candidate_thresholds(_features(s, d), 32),
     "cart_threshold_bins": lambda s, d: trees.binned_counts(_features(s, d), CUTS),
     "cart_greedy_tree": lambda s, d: trees.grow(_t(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding", (F.col("label") < 5).cast("int"), depth=3, min_leaf=5),
-    "tree_predict_case": lambda s, d: _t(s, d, "embeddings").select("vec_id", trees.predict(TREE, "embedding").alias("pred")),
     "addr_uniform": _addr_bits,
     "stream_labels": _stream_labels,
     "bootstrap_t_mean": lambda s, d: resample.bootstrap_t(_paired(s, d), "d", REPLICATES, "H1", FAMILY_LEVEL),
@@ -361,7 +358,6 @@ d AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c)
 SELECT 'quantity' AS term, round((x * (d * f - e * e) - b * (y * f - e * z) + c * (y * e - d * z)) / det, 6) AS slope FROM d
 UNION ALL SELECT 'tax', round((a * (y * f - e * z) - x * (b * f - e * c) + c * (b * z - y * c)) / det, 6) FROM d
 UNION ALL SELECT 'n_rows', round((a * (d * z - y * e) - b * (b * z - y * c) + x * (b * e - d * c)) / det, 6) FROM d""",
-    "tree_predict_case": "SELECT vec_id, CASE WHEN embedding[1] < 0.0 THEN CASE WHEN embedding[2]::DOUBLE < 0.05::DOUBLE THEN 0 ELSE 1 END ELSE CASE WHEN embedding[3]::DOUBLE < -0.05::DOUBLE THEN 1 ELSE 0 END END AS pred FROM embeddings",
     "addr_uniform": f"""SELECT o_orderkey, substr(sha256('["DT-P9-DRAW-v1","0123456789abcdef","FEATURE",' || o_orderkey || ',0]'), 1, 16) AS key, {_bits_sql('FEATURE', 'o_orderkey', 0)}::BIGINT AS bits, round({_u_sql('FEATURE', 'o_orderkey', 0)}, 12) AS u FROM orders""",
     "stream_labels": _stream_sql(),
     "bootstrap_t_mean": f"""WITH {_H1}, t AS (SELECT estimate, se_0, CASE WHEN se = 0 THEN 'inf'::DOUBLE ELSE abs(theta - estimate) / se END AS t FROM reps JOIN whole USING (contrast)),
@@ -396,10 +392,11 @@ SELECT c_mktsegment, count(*) AS records, count(*) FILTER (n = 1) AS clones, cou
 
 def _join_studies() -> None:
     """The studies use this module's tables, so they come last."""
-    from tidemark.plans import studies
+    from tidemark.plans import learning, studies
 
-    QUERIES.update(studies.QUERIES)
-    ORACLE_SQL.update(studies.ORACLE_SQL)
+    for plans in (studies, learning):
+        QUERIES.update(plans.QUERIES)
+        ORACLE_SQL.update(plans.ORACLE_SQL)
 
 
 _join_studies()
