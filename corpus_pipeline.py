@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import bpe_digest
+from tidemark.llm.bpe_batch import bpe_digest
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.pii import redacted

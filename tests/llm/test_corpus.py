@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, components, langid, mixing, neardup, passages, pii, quality, queries, urls, vectors
+from tidemark.llm import bpe, bpe_batch, components, langid, mixing, neardup, passages, pii, quality, queries, urls, vectors
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, rank int, component string"
@@ -385,8 +385,10 @@ def test_bpe_is_the_library(library, text):
 
     if any(unicodedata.category(c) == "Cs" for c in text):  # lone surrogates are no text
         return
-    own, ids = bpe.encoder(VOCAB), library.encode(text, add_special_tokens=False).ids
-    assert own.encode(text) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False) == own.both(text)[1]
+    own, ids = bpe_batch.batch_encoder(VOCAB), library.encode(text, add_special_tokens=False).ids
+    decoded = library.decode(ids, skip_special_tokens=False)
+    assert [*own.both([text, "", text])] == [(len(ids), " ".join(map(str, ids)), decoded), (0, "", ""), (len(ids), " ".join(map(str, ids)), decoded)]
+    assert bpe.encoder(VOCAB).decode(ids) == decoded
 
 
 def test_cuts_are_certain():
@@ -398,13 +400,13 @@ def test_cuts_are_certain():
 
 def test_bpe_digest_of_odd_rows(spark, library, documents):
     sample = [*ODD, *[r.text for r in documents.limit(30).collect()]]
-    got = {r.doc_id: r for r in bpe.bpe_digest(docs(spark, sample), VOCAB).collect()}
+    got = {r.doc_id: r for r in bpe_batch.bpe_digest(docs(spark, sample), VOCAB).collect()}
     for i, text in enumerate(sample):
         ids = library.encode(text or "", add_special_tokens=False).ids
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    row = bpe.bpe_encode(docs(spark, ["hello world"]), VOCAB).first()
+    row = bpe_batch.bpe_encode(docs(spark, ["hello world"]), VOCAB).first()
     assert row.ids == library.encode("hello world").ids
 
 

@@ -2,7 +2,7 @@
 
 A pair of bytes that stands side by side in no vocabulary token can never be joined by a merge, so the place between
 them is a certain cut. Every pre-token is cut there, the fragments are merged on their own, and their ids are put
-together again. Fragments repeat far more often than words do, so each task keeps a bounded table of both.
+together again. This module has the rules, for one text at a time; `bpe_batch` applies them to tables, many words at once.
 
 The vocabulary file (BPE with word ends, lower case) is a parameter and is opened in the tasks that use it.
 """
@@ -10,7 +10,6 @@ The vocabulary file (BPE with word ends, lower case) is a parameter and is opene
 from __future__ import annotations
 
 import gc
-import hashlib
 import json
 import re
 import sys
@@ -18,18 +17,9 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from tidemark.llm.shared import give_back, lean, small_batches
-
-#: Bytes that a task's table of words and of fragments may hold before it starts anew; as many older ones are kept beside it.
-WORD_BYTES, FRAGMENT_BYTES = 6 << 20, 12 << 20
-
-#: What an entry takes besides its letters, about: two objects and their place in the table.
-ENTRY_BYTES = 200
+from tidemark.llm.shared import give_back
 
 #: The white space that the vocabulary's pattern `\s` means.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -66,28 +56,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-class _Table(dict):
-    """What `make` gives for a key, made when first asked for. Beyond `limit` bytes the table becomes the older one and starts anew."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.room, self.older = make, limit, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        size = ENTRY_BYTES + len(key[0] if isinstance(key, tuple) else key) + (len(value) if isinstance(value, str) else 8 * len(value))
-        if size > self.limit >> 6:  # a long stretch without white space is seldom met twice
-            return value
-        if size > self.room:
-            self.older, self.room = self.copy(), self.limit
-            self.clear()
-        self.room -= size
-        self[key] = value
-        return value
-
-
 class _Ranks(dict):
     """(left, right) -> rank of the merge; pairs without one rank last and are not kept."""
 
@@ -111,7 +79,6 @@ class ForcedBoundaryBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         self.letters = byte_letters()
-        self._one = set(self.letters)
         self.inner: set[tuple[str, str]] = set()
         for token in vocab:
             body = token.removesuffix(self.end)
@@ -125,8 +92,6 @@ class ForcedBoundaryBpe:
         # Letters first: no other alternative begins with one, so the order among the rest decides alone.
         self._parts = re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{WHITE}{letter}{number}]+")
         self.number = {t: str(i) for t, i in vocab.items()} | {t: str(i) for t, i in self.special.items()}
-        self.fragments = _Table(lambda key: self._merge(*key), FRAGMENT_BYTES)
-        self.words = _Table(self._word, WORD_BYTES)
 
     def cuts(self, word: str) -> list[str]:
         """The word (in byte letters) cut wherever two neighbours stand side by side in no token."""
@@ -177,19 +142,6 @@ class ForcedBoundaryBpe:
                     heapq.heappush(heap, (self.ranks[p], a, p))
         return tuple(p for p, alive in zip(parts, live, strict=True) if alive)
 
-    def _word(self, word: str) -> str:
-        """The tokens of a stretch without white space, joined by spaces: of its pre-tokens' fragments."""
-        parts: list[str] = []
-        letters = word.isascii() and word.isalpha()
-        for run in [word] if letters else (self._plain if word.isascii() else self._parts).findall(word):
-            if not (run.isascii() and run.isprintable()):
-                run = "".join([self.letters[b] for b in run.encode()])
-            pieces = self.cuts(run)
-            for piece in pieces[:-1]:
-                parts += self.fragments[piece, False]
-            parts += self.fragments[pieces[-1], True]
-        return " ".join(parts)
-
     def _stretches(self, text: str) -> list[str]:
         """Normalise a text without special tokens and part it at white space, which no pre-token crosses."""
         if not text.isascii() and self._unknown.search("".join(set(text))):
@@ -203,22 +155,6 @@ class ForcedBoundaryBpe:
             return [w for w in self._white.split(text) if w]
         return text.split()
 
-    def both(self, text: str) -> tuple[str, str]:
-        """The ids and the tokens of a text, each joined by single spaces."""
-        stretches = self._split_special.split(text) if self._split_special and any(s in text for s in self.special) else [text]
-        tokens: list[str] = []
-        for k, stretch in enumerate(stretches):
-            if k % 2:
-                tokens.append(stretch)
-            else:
-                tokens += map(self.words.__getitem__, self._stretches(stretch))
-        decoded = " ".join(tokens)
-        # No token holds a space.
-        return " ".join(map(self.number.__getitem__, decoded.split(" "))) if decoded else "", decoded
-
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.both(text)[0].split()]
-
     def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by spaces: the vocabulary has no decoder of its own."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
@@ -232,49 +168,3 @@ def encoder(path: str) -> ForcedBoundaryBpe:
     gc.freeze()  # the vocabulary stays: the collector need not walk it again and again
     give_back()
     return made
-
-
-RESULT = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
-    T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
-])
-
-
-def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids and decoded text of every row: `id_col`, ids array<int>, decoded string. Null texts count as empty: no ids, empty text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        bpe = encoder(vocab)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())], [id_col, "ids", "decoded"])
-
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
-
-
-def bpe_digest(docs: DataFrame, vocab: str) -> DataFrame:
-    """One row a document: doc_id, n_tokens, and SHA-256 of the ids and of the decoded text.
-
-    Null and empty texts give no tokens and the digest of the empty string. Repeated rows are each answered. Only
-    doc_id and text are read, so other columns may have any name. No rows in, no rows out. The text is encoded and
-    decoded in one pass and never leaves its task, so there is no shuffle at all.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        bpe = encoder(vocab)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids, decoded = bpe.both(text.as_py() or "")
-                rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            columns = [*zip(*rows, strict=True)] if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], RESULT.names)
-        give_back()
-
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, RESULT)

@@ -8,16 +8,24 @@ it has met, bounded by bytes; those of a batch that are new are cut into pre-tok
 from __future__ import annotations
 
 import gc
+import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tidemark.llm.bpe import ForcedBoundaryBpe, encoder
-from tidemark.llm.shared import give_back
+from tidemark.llm.shared import give_back, lean, small_batches
 
-#: Bytes of ids and keys that a task keeps, and what an entry takes besides its letters and ids, about.
-KEPT_BYTES, ENTRY_BYTES = 48 << 20, 150
+#: Bytes of stretches and their ids that a task keeps, and what an entry takes besides its letters and ids, about.
+KEPT_BYTES, ENTRY_BYTES = 24 << 20, 150
+
+#: Bytes of text that are encoded at once; a longer text is taken whole.
+CHUNK_BYTES = 1 << 19
 
 #: Longer fragments are merged one by one.
 TABLED = 64
@@ -49,6 +57,8 @@ class BatchBpe:
         for a, b in bpe.inner:
             if a in self.byte and b in self.byte:
                 self.inner[self.byte[a], self.byte[b]] = True
+        self.tokens = [bpe.tokens.get(i, "") for i in range(max(bpe.tokens) + 1)]
+        self.numbers = list(map(str, range(len(self.tokens))))
         self.kept: dict[str, bytes] = {}
         self.room = KEPT_BYTES
 
@@ -171,13 +181,13 @@ class BatchBpe:
         bpe = self.bpe
         split, marks = bpe._split_special, list(bpe.special)
         words: list[list[str]] = []
-        special: dict[int, list[tuple[int, str]]] = {}
+        special: list[tuple[int, int, str]] = []
         for k, text in enumerate(texts):
             if split and any(m in text for m in marks):
                 found: list[str] = []
                 for j, part in enumerate(split.split(text)):
                     if j % 2:
-                        special.setdefault(k, []).append((len(found), part))
+                        special.append((k, len(found), part))
                         found.append("")
                     else:
                         found += bpe._stretches(part)
@@ -185,22 +195,46 @@ class BatchBpe:
             else:
                 words.append(bpe._stretches(text))
         kept = self.kept
-        new = set().union(*words).difference(kept)
+        new = list(set().union(*words).difference(kept))
         if new:
-            made = dict(zip(new, self._new(list(new)), strict=True))
-            size = sum(map(len, made)) + sum(map(len, made.values())) + ENTRY_BYTES * len(made)
-            if size > self.room:
+            made = dict(zip(new, self._new(new), strict=True))
+            size = _size(made)
+            if size > self.room:  # what this chunk needs is all that stays
                 kept = self.kept = {w: kept[w] for w in set().union(*words) if w in kept}
-                self.room = KEPT_BYTES - sum(len(w) + len(v) + ENTRY_BYTES for w, v in kept.items())
+                self.room = KEPT_BYTES - _size(kept)
             kept.update(made)
             self.room -= size
-        out = []
-        for k, found in enumerate(words):
-            ids = list(map(kept.__getitem__, found))
-            for j, mark in special.get(k, ()):
-                ids[j] = bpe.special[mark].to_bytes(4, "little")
-            out.append(b"".join(ids))
-        return out
+        out = [list(map(kept.__getitem__, found)) for found in words]
+        for k, j, mark in special:
+            out[k][j] = bpe.special[mark].to_bytes(4, "little")
+        return list(map(b"".join, out))
+
+    def both(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of ids, the ids as decimal numbers, and the decoded text of each text.
+
+        The vocabulary has no decoder of its own, so tokens are joined by single spaces, as ids are.
+        """
+        for packed in self.encode(texts):
+            ids = np.frombuffer(packed, "<u4").tolist()
+            yield len(ids), " ".join(map(self.numbers.__getitem__, ids)), " ".join(map(self.tokens.__getitem__, ids))
+
+
+def _size(made: dict[str, bytes]) -> int:
+    return sum(map(len, made)) + sum(map(len, made.values())) + ENTRY_BYTES * len(made)
+
+
+def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of consecutive rows of a string column, some CHUNK_BYTES at a time; nulls count as empty."""
+    first, texts, size = 0, [], 0
+    for k, text in enumerate(column):
+        text = text.as_py() or ""
+        if texts and size + len(text) > CHUNK_BYTES:
+            yield first, texts
+            first, texts, size = k, [], 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield first, texts
 
 
 @lru_cache(maxsize=1)
@@ -211,3 +245,48 @@ def batch_encoder(path: str) -> BatchBpe:
     gc.freeze()
     give_back()
     return made
+
+
+RESULT = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
+    T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+])
+
+
+def bpe_encode(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ids and decoded text of every row: `id_col`, ids array<int>, decoded string. Null texts count as empty: no ids, empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        bpe = batch_encoder(vocab)
+        for batch in batches:
+            for low, texts in chunks(batch.column(1)):
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode(texts)]
+                decoded = [bpe.bpe.decode(x.tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, schema)
+
+
+def bpe_digest(docs: DataFrame, vocab: str) -> DataFrame:
+    """One row a document: doc_id, n_tokens, and SHA-256 of the ids and of the decoded text.
+
+    Null and empty texts give no tokens and the digest of the empty string. Repeated rows are each answered. Only
+    doc_id and text are read, so other columns may have any name. No rows in, no rows out. The text is encoded and
+    decoded in one pass and never leaves its task, so there is no shuffle at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        bpe = batch_encoder(vocab)
+        for batch in batches:
+            rows = []
+            for n, ids, decoded in (x for _, texts in chunks(batch.column(1)) for x in bpe.both(texts)):
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+            columns = [*zip(*rows, strict=True)] if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], RESULT.names)
+        give_back()
+
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, RESULT)

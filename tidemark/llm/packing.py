@@ -19,17 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe_batch import batch_encoder
-from tidemark.llm.ranks import ranked
+from tidemark.llm.bpe_batch import batch_encoder, chunks
+from tidemark.operators.ranges import ranked
 from tidemark.llm.shared import give_back, lean, small_batches, store
 
-#: Rows of texts that are encoded at once.
-ROWS = 1024
-
 
 @dataclass(frozen=True)
 class Capacity:
@@ -147,10 +143,9 @@ def pieces(docs: DataFrame, vocab: str, capacity: Capacity = Capacity(), end: in
         lean()
         bpe, closing = batch_encoder(vocab), end.to_bytes(4, "little")
         for batch in batches:
-            for low in range(0, batch.num_rows, ROWS):
-                part = batch.slice(low, ROWS)
+            for low, texts in chunks(batch.column(1)):
                 of, rows = [], []
-                for k, ids in enumerate(bpe.encode(pc.fill_null(part.column(1), "").to_pylist())):
+                for k, ids in enumerate(bpe.encode(texts), low):
                     ids += closing
                     for i, at in enumerate(range(0, len(ids), size)):
                         cut = ids[at : at + size]
@@ -158,7 +153,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: Capacity = Capacity(), end: in
                         rows.append((i, at // 4, len(cut) // 4, zlib.crc32(cut), *[cut] * with_ids))
                 columns = [*zip(*rows, strict=True)] if rows else [[]] * (len(names) - 1)
                 kinds = [pa.int32(), *[pa.int64()] * 3, pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, kinds))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, kinds))], names)
         give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.bpe import bpe_digest
+from tidemark.llm.bpe_batch import bpe_digest
 from tidemark.llm.importance import RESAMPLE_SQL, resample
 from tidemark.llm.langid import predict_language
 from tidemark.llm.lexical import RANKED_SQL, ranked_search
