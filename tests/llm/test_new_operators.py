@@ -148,9 +148,8 @@ def test_ids_of_batches_are_the_librarys(library, texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_the_table_of_stretches_starts_anew(library, monkeypatch):
-    monkeypatch.setattr(bpe_batch, "KEPT_BYTES", 20_000)
-    encoder = bpe_batch.BatchBpe(bpe_batch.encoder(VOCAB))
+def test_the_table_of_stretches_starts_anew(library):
+    encoder = bpe_batch.BatchBpe(bpe_batch.encoder(VOCAB), 20_000)
     for low in range(0, 2000, 100):
         texts = [f"word{k} again{k % 7} {k}" for k in range(low, low + 100)]
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]

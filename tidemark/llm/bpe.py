@@ -91,7 +91,6 @@ class ForcedBoundaryBpe:
         self._normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         # Letters first: no other alternative begins with one, so the order among the rest decides alone.
         self._parts = re.compile(f"[{letter}]+|[{number}]|'s|'t|'re|'ve|'m|'ll|'d|[^{WHITE}{letter}{number}]+")
-        self.number = {t: str(i) for t, i in vocab.items()} | {t: str(i) for t, i in self.special.items()}
 
     def cuts(self, word: str) -> list[str]:
         """The word (in byte letters) cut wherever two neighbours stand side by side in no token."""

@@ -21,24 +21,27 @@ from pyspark.sql import types as T
 from tidemark.llm.bpe import ForcedBoundaryBpe, encoder
 from tidemark.llm.shared import give_back, lean, small_batches
 
-#: Bytes of stretches and their ids that a task keeps, and what an entry takes besides its letters and ids, about.
-KEPT_BYTES, ENTRY_BYTES = 24 << 20, 150
+#: Bytes of stretches and their ids that a task keeps where not told otherwise, and what an entry takes besides its letters and ids, about.
+KEPT_BYTES, ENTRY_BYTES = 16 << 20, 150
 
 #: Bytes of text that are encoded at once; a longer text is taken whole.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 #: Longer fragments are merged one by one.
 TABLED = 64
 
 _SLOTS = 18
 
+_DIGIT = 1
+_KINDS = np.array([0 if 0x61 <= b <= 0x7A else _DIGIT if 0x30 <= b <= 0x39 else 2 for b in range(256)], np.uint8)  # of lower-case ASCII
+
 
 class BatchBpe:
     """Ids as bytes (little-endian, 32 bits each) of whole texts, for one vocabulary file."""
 
-    def __init__(self, bpe: ForcedBoundaryBpe):
+    def __init__(self, bpe: ForcedBoundaryBpe, kept_bytes: int = KEPT_BYTES):
         self.bpe = bpe
-        self.ids = {t: int(i) for t, i in bpe.number.items()}
+        self.ids = {t: i for i, t in bpe.tokens.items()}
         pairs = sorted(bpe.ranks.items(), key=lambda x: x[1])
         left = np.array([self.ids[a] for (a, _), _ in pairs], np.uint64)
         right = np.array([self.ids[b] for (_, b), _ in pairs], np.uint64)
@@ -60,7 +63,7 @@ class BatchBpe:
         self.tokens = [bpe.tokens.get(i, "") for i in range(max(bpe.tokens) + 1)]
         self.numbers = list(map(str, range(len(self.tokens))))
         self.kept: dict[str, bytes] = {}
-        self.room = KEPT_BYTES
+        self.room = self.limit = kept_bytes
 
     @staticmethod
     def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -124,37 +127,37 @@ class BatchBpe:
         order = np.argsort(owner, kind="stable")
         return tokens[order], np.searchsorted(owner[order], np.arange(len(sizes) + 1))
 
-    def _new(self, stretches: list[str]) -> list[bytes]:
-        """Ids of stretches without white space."""
-        bpe = self.bpe
+    def _new(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of stretches without white space, each once."""
+        # ASCII without apostrophes parts where the kind of character changes, and around each digit; the rest by patterns.
+        plain = [s for s in stretches if s.isascii() and "'" not in s]
+        rest = [s for s in stretches if not s.isascii() or "'" in s]
         runs: list[bytes] = []
-        counts: list[int] = []
-        for stretch in stretches:
-            if stretch.isascii():
-                if stretch.isalpha():
-                    runs.append(stretch.encode())
-                    counts.append(1)
-                    continue
-                parts = bpe._plain.findall(stretch)
-            else:
-                parts = bpe._parts.findall(stretch)
-            runs += [p.encode() for p in parts]
-            counts.append(len(parts))
-        data = np.frombuffer(b"".join(runs), np.uint8)
-        ends = np.fromiter(accumulate(map(len, runs)), np.int64, len(runs))
+        sizes = list(map(len, plain))
+        for s in rest:
+            parts = [p.encode() for p in (self.bpe._plain if s.isascii() else self.bpe._parts).findall(s)]
+            runs += parts
+            sizes.append(sum(map(len, parts)))
+        head = np.frombuffer("".join(plain).encode(), np.uint8)
+        data = np.concatenate([head, np.frombuffer(b"".join(runs), np.uint8)])
         if not len(data):
-            return [b""] * len(stretches)
-        cut = np.r_[True, ~self.inner[data[:-1], data[1:]]]  # a forced boundary, or a run's beginning
-        cut[ends[:-1]] = True
-        starts = np.r_[np.flatnonzero(cut), len(data)]
+            return dict.fromkeys(stretches, b"")
+        edges = np.r_[0, np.cumsum(sizes)]
+        kind = _KINDS[head]
+        start = np.zeros(len(data) + 1, bool)
+        start[1 : len(head)] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        start[edges] = True
+        start[len(head) + np.fromiter(accumulate(map(len, runs)), np.int64, len(runs))] = True
+        ends = np.flatnonzero(start)[1:]
+        start[1:-1] |= ~self.inner[data[:-1], data[1:]]  # forced boundaries
+        starts = np.flatnonzero(start)
         tokens = self.letter[data]
         tokens[ends - 1] = self.last[data[ends - 1]]
-        long = np.flatnonzero(np.diff(starts) > TABLED)
-        merged, begin = self._merge_all(tokens, starts, data, ends, long)
+        merged, begin = self._merge_all(tokens, starts, data, ends, np.flatnonzero(np.diff(starts) > TABLED))
         packed = merged.astype("<u4").tobytes()
-        # A run's ids are those of its fragments, a stretch's those of its runs.
-        edges = begin[np.searchsorted(starts, np.r_[0, ends][np.r_[0, np.cumsum(counts)]])] * 4
-        return [packed[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        # A stretch's ids are those of its fragments.
+        at = (begin[np.searchsorted(starts, edges)] * 4).tolist()
+        return {s: packed[x:y] for s, x, y in zip(plain + rest, at[:-1], at[1:], strict=True)}
 
     def _merge_all(self, tokens: np.ndarray, starts: np.ndarray, data: np.ndarray, ends: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """`merge`, with long fragments merged one by one by the encoder of `bpe`."""
@@ -197,11 +200,11 @@ class BatchBpe:
         kept = self.kept
         new = list(set().union(*words).difference(kept))
         if new:
-            made = dict(zip(new, self._new(new), strict=True))
+            made = self._new(new)
             size = _size(made)
             if size > self.room:  # what this chunk needs is all that stays
                 kept = self.kept = {w: kept[w] for w in set().union(*words) if w in kept}
-                self.room = KEPT_BYTES - _size(kept)
+                self.room = self.limit - _size(kept)
             kept.update(made)
             self.room -= size
         out = [list(map(kept.__getitem__, found)) for found in words]
@@ -238,9 +241,9 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 @lru_cache(maxsize=1)
-def batch_encoder(path: str) -> BatchBpe:
+def batch_encoder(path: str, kept_bytes: int = KEPT_BYTES) -> BatchBpe:
     """The encoder of a Python worker, for the vocabulary file it was last asked for."""
-    made = BatchBpe(encoder(path))
+    made = BatchBpe(encoder(path), kept_bytes)
     gc.collect()
     gc.freeze()
     give_back()

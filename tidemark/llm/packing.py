@@ -26,6 +26,9 @@ from tidemark.llm.bpe_batch import batch_encoder, chunks
 from tidemark.operators.ranges import ranked
 from tidemark.llm.shared import give_back, lean, small_batches, store
 
+#: Bytes of words and their ids that a task keeps.
+KEPT_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Capacity:
@@ -141,7 +144,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: Capacity = Capacity(), end: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
-        bpe, closing = batch_encoder(vocab), end.to_bytes(4, "little")
+        bpe, closing = batch_encoder(vocab, KEPT_BYTES), end.to_bytes(4, "little")
         for batch in batches:
             for low, texts in chunks(batch.column(1)):
                 of, rows = [], []
