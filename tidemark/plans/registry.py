@@ -392,9 +392,9 @@ SELECT c_mktsegment, count(*) AS records, count(*) FILTER (n = 1) AS clones, cou
 
 def _join_studies() -> None:
     """The studies use this module's tables, so they come last."""
-    from tidemark.plans import learning, studies, trails
+    from tidemark.plans import chances, learning, studies, trails
 
-    for plans in (studies, learning, trails):
+    for plans in (studies, learning, trails, chances):
         QUERIES.update(plans.QUERIES)
         ORACLE_SQL.update(plans.ORACLE_SQL)
 
