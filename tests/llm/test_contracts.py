@@ -2,7 +2,9 @@
 
 import math
 import os
-from collections import defaultdict
+import random
+import re
+from collections import Counter, defaultdict
 from types import SimpleNamespace
 
 import duckdb
@@ -322,3 +324,78 @@ def test_stages_of_odd_rows(spark, tmp_path):
         elif name == "mixing":
             assert all(words(r.text) for r in got)
         assert stage(spark, spark.createDataFrame([], SCHEMA), str(tmp_path)).count() == 0
+
+
+def shape(kind, text):
+    """An entity's form: its kind, with runs of letters and of digits named by their length."""
+    if kind == 1:
+        return "ip", " " in text
+    if kind == 0:
+        return "email", "(" in text, "[" in text, "@" in text, " " in text
+    return kind, re.sub("[0-9]+", lambda m: str(len(m[0])), text)
+
+
+def test_every_form_is_found_in_fresh_sentences(field):
+    rng = random.Random(4321)
+    there, found, added, right = Counter(), Counter(), 0, 0
+    for _ in range(3000):
+        text, spans = pii._sentence(rng)
+        got = set(pii.all_spans(text, field)[1])
+        for k, a, b in spans:
+            there[shape(k, text[a:b])] += 1
+            found[shape(k, text[a:b])] += (k, a, b) in got
+        own = field.spans(text)
+        added, right = added + len(own), right + sum(s in spans for s in own)
+    assert {s for s, n in there.items() if n >= 20 and found[s] < 0.97 * n} == set()
+    assert found.total() >= 0.99 * there.total() and right >= 0.99 * added
+    assert (3, "3-3-4") in there and found[3, "3-3-4"] >= 0.99 * there[3, "3-3-4"]
+
+
+@pytest.mark.parametrize("text", ["call 415-555-2671 ok", "tel 020 7946 0958", "a 10.2.3.4, b (at) c (dot) org", "1-212 (333) 4", "no entity 12"])
+def test_the_dynamic_programs_are_sums_over_all_segmentations(field, text):
+    tokens = pii._tokens(text, 0, len(text))
+    lattice = field.lattice(text, tokens)
+
+    def every(i):
+        """All segmentations from token i on, as (score, spans)."""
+        if i == len(tokens):
+            yield 0.0, ()
+            return
+        for score, spans in every(i + 1):
+            yield score, spans
+        for after, _, scores in lattice[i]:
+            for k, own in enumerate(scores):
+                for score, spans in every(after):
+                    yield score + own, ((k, tokens[i][0], tokens[after - 1][1]), *spans)
+
+    known = [*every(0)]
+    total = np.logaddexp.reduce([s for s, _ in known])
+    ahead, back = field.sums(lattice)
+    assert ahead[-1] == pytest.approx(total) and back[0] == pytest.approx(total)
+    best = max(known)[1]
+    # Zones reach over all of these short texts, so the field sees the same tokens.
+    got = field.scored(text)
+    assert sorted(s for s, _ in got) == sorted(best)
+    for span, posterior in got:
+        assert posterior == pytest.approx(sum(np.exp(s - total) for s, spans in known if span in spans))
+
+
+def test_texts_side_by_side_have_the_sums_of_each(field):
+    rng = random.Random(5)
+    sentences = [pii._sentence(rng) for _ in range(30)]
+    many = pii._Lattices.of(sentences)
+    ahead, back = many.sums(many.x @ field.weights.T)
+    for k, (text, _) in enumerate(sentences):
+        tokens = pii._tokens(text, 0, len(text))
+        one_ahead, one_back = field.sums(field.lattice(text, tokens))
+        assert np.allclose(ahead[k, : len(tokens) + 1], one_ahead) and np.allclose(back[k, : len(tokens) + 1], one_back)
+
+
+def test_added_spans_touch_no_base_span():
+    class Says:
+        def spans(self, text):
+            return [(3, a, a + 5) for a in range(0, len(text), 3)]
+
+    text = "a@b.cc 1.2.3.4 x y z 12.13.14.15@q.com 4111 1111 1111 1111 end" * 3
+    base, both = pii.all_spans(text, Says())
+    assert set(both) - set(base) == {s for s in Says().spans(text) if not any(s[1] < b and a < s[2] for _, a, b in base)}
