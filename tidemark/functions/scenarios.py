@@ -81,9 +81,17 @@ def noisy(label: Column, u: Column) -> Column:
     return F.when(u < NOISE, 1 - label).otherwise(label)
 
 
-def stream_key(scenario: Column, realisation: Column) -> Column:
-    """The key of a development stream's draws."""
-    return key_from_address(F.concat(F.lit("DT-P9-v1|DEV|"), scenario, F.lit("|r="), F.lpad(realisation.cast("string"), 2, "0")))  # a fixed value: the address's form
+# The forms of streams' addresses before the scenario, and the digits of a realisation.
+ADDRESSES = {
+    "DEV": ("DT-P9-v1|DEV|", 2),
+    "CONF": ("DT-C8E1-F09-v1|CONF|SOURCE|scenario=", 3),
+}
+
+
+def stream_key(scenario: Column, realisation: Column, partition: str = "DEV") -> Column:
+    """The key of a stream's draws: a development stream's, or a confirmatory one's (realisations 0 to 319)."""
+    before, digits = ADDRESSES[partition]
+    return key_from_address(F.concat(F.lit(before), scenario, F.lit("|r="), F.lpad(realisation.cast("string"), digits, "0")))
 
 
 def stream_rows(streams: DataFrame) -> DataFrame:

@@ -88,12 +88,12 @@ FEATURES_SQL = """long AS (
 CUTS = [-0.2, -0.1, 0.0, 0.1, 0.2]
 
 
-def _stream(spark: SparkSession, d: str) -> DataFrame:
+def _stream(spark: SparkSession, d: str, partition: str = "DEV", realisations: int = 3) -> DataFrame:
     """Rows of drift streams addressed by orders: scenario, realisation and row number follow from the order's number."""
     names = sc.scenarios()
     pick = F.element_at(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names) + 1).cast("int"))
     rows = _t(spark, d, "orders").select("o_orderkey", pick.alias("scenario"), (F.col("o_orderkey") % 26_000 + 1).alias("t"))
-    return rows.withColumn("key", sc.stream_key(F.col("scenario"), F.col("o_orderkey") % 3))
+    return rows.withColumn("key", sc.stream_key(F.col("scenario"), F.col("o_orderkey") % realisations, partition))
 
 
 def _addr_bits(spark: SparkSession, d: str) -> DataFrame:
@@ -113,35 +113,40 @@ def _u_sql(role: str, index: str, draw: int | str, key: str = "'0123456789abcdef
     return f"least(({_bits_sql(role, index, draw, key)}::DOUBLE + 0.5) / 9007199254740992.0, 1 - 1.1102230246251565e-16)"
 
 
-def _stream_labels(spark: SparkSession, d: str) -> DataFrame:
-    return sc.stream_rows(_stream(spark, d)).select("o_orderkey", "scenario", "key", "t", "concept", *(F.round(F.col("x")[j], 9).alias(f"x{j}") for j in range(8)), "clean", "y")
+def _stream_labels(spark: SparkSession, d: str, partition: str = "DEV", realisations: int = 3) -> DataFrame:
+    return sc.stream_rows(_stream(spark, d, partition, realisations)).select("o_orderkey", "scenario", "key", "t", "concept", *(F.round(F.col("x")[j], 9).alias(f"x{j}") for j in range(8)), "clean", "y")
 
 
-def _stream_sql() -> str:
+#: Which concept holds when, for the SQL: drift, first and last row, rows over which it comes in (before, the one before it may still hold), concept.
+PHASES = [
+    ("STATIONARY", 1, 26_000, 0, 0),
+    *(("ABRUPT", first, last, 0, k) for k, (first, last) in enumerate([(1, 10_000), (10_001, 20_000), (20_001, 26_000)])),
+    *(("RECURRENT", first, last, 0, k % 2) for k, (first, last) in enumerate([(1, 10_000), (10_001, 20_000), (20_001, 26_000)])),
+    *(("GRADUAL", first, last, 2_000 * (k > 0), k) for k, (first, last) in enumerate([(1, 10_000), (10_001, 20_000), (20_001, 26_000)])),
+]
+
+
+def _stream_sql(address: str = "'DT-P9-v1|DEV|' || name || '|r=0' || o_orderkey % 3") -> str:
+    """Rows of the streams from tables: the phases of each drift joined by range, sizes by name, labels by a product of lists."""
     names = ", ".join(f"'{n}'" for n in sc.scenarios())
+    phases = ", ".join(map(str, PHASES))
     u = lambda role, draw: _u_sql(role, "t", draw, "key")
-    features = ", ".join(f"CASE family WHEN 'OBLIQUE' THEN sqrt(-2 * ln({u(f'features:{j}', 0)})) * cos(2 * pi() * {u(f'features:{j}', 1)}) ELSE {u(f'features:{j}', 0)} END AS f{j}" for j in range(8))
+    pairs = ", ".join(f"{{'u': {u(f'features:{j}', 0)}, 'v': {u(f'features:{j}', 1)}}}" for j in range(8))
     return f"""
-WITH s AS (SELECT o_orderkey, ([{names}])[(o_orderkey % 14 + 1)::INTEGER] AS scenario, o_orderkey % 26000 + 1 AS t, o_orderkey % 3 AS realisation FROM orders),
-parts AS (
-  SELECT *, split_part(scenario, '-', 1) AS family, split_part(scenario, '-', 2) AS regime, split_part(scenario, '-', 3) AS severity,
-         substr(sha256('DT-P9-v1|DEV|' || scenario || '|r=0' || realisation), 1, 16) AS key FROM s),
-f AS (SELECT *, {u('mixture', 0)} AS mixture, {u('label_noise', 0)} AS noise, {features} FROM parts),
-c AS (
-  SELECT *, CASE severity WHEN 'MILD' THEN 0.1::DOUBLE WHEN 'SEVERE' THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS m,
-    CASE WHEN regime = 'STATIONARY' OR t <= 10000 THEN 0
-      WHEN regime = 'RECURRENT' THEN CASE WHEN t <= 20000 THEN 1 ELSE 0 END
-      WHEN regime = 'ABRUPT' THEN CASE WHEN t <= 20000 THEN 1 ELSE 2 END
-      WHEN t <= 12000 THEN (mixture < (t - 10000)::DOUBLE / 2000)::INTEGER
-      WHEN t <= 20000 THEN 1
-      WHEN t <= 22000 THEN CASE WHEN mixture < (t - 20000)::DOUBLE / 2000 THEN 2 ELSE 1 END
-      ELSE 2 END AS concept
-  FROM f),
-z AS (SELECT *, CASE WHEN f0 < 0.5 THEN f1 - CASE WHEN concept > 0 THEN m ELSE 0 END ELSE f2 - CASE WHEN concept > 1 THEN m ELSE 0 END END AS z FROM c),
-l AS (
-  SELECT *, CASE family WHEN 'LOCAL_TREE' THEN (z - floor(z) < 0.5)::INTEGER
-    ELSE (cos(concept * pi() * m) * ((f0 + f1 + f2 + f3) / 2) + sin(concept * pi() * m) * ((f4 + f5 + f6 + f7) / 2) >= 0)::INTEGER END AS clean FROM z)
-SELECT o_orderkey, scenario, key, t, concept, {', '.join(f'round(f{j}, 9) AS x{j}' for j in range(8))}, clean, CASE WHEN noise < 0.1 THEN 1 - clean ELSE clean END AS y FROM l"""
+WITH phases(drift, first_row, last_row, ramp, concept) AS (VALUES {phases}),
+sizes(severity, size) AS (VALUES ('NONE', 0::DOUBLE), ('MILD', 0.1::DOUBLE), ('SEVERE', 0.25::DOUBLE)),
+asked AS (SELECT o_orderkey, o_orderkey % 26000 + 1 AS t, string_split(name, '-') AS named, name AS scenario, substr(sha256({address}), 1, 16) AS key
+  FROM orders JOIN (SELECT unnest([{names}]) AS name, unnest(range(14)) AS nth) ON nth = o_orderkey % 14),
+drawn AS (SELECT *, {u('mixture', 0)} AS mixture, {u('label_noise', 0)} AS noise, [{pairs}] AS draws FROM asked),
+rowed AS (
+  SELECT o_orderkey, scenario, key, t, noise, size, named[1] AS family, list_transform(draws, lambda d: CASE WHEN named[1] = 'OBLIQUE' THEN sqrt(-2 * ln(d.u)) * cos(2 * pi() * d.v) ELSE d.u END) AS x,
+         p.concept - (t < first_row + ramp AND mixture >= (t - first_row + 1)::DOUBLE / ramp)::INTEGER AS concept
+  FROM drawn JOIN phases p ON drift = named[2] AND t BETWEEN first_row AND last_row JOIN sizes ON severity = named[3]),
+halved AS (SELECT *, (x[1] >= 0.5)::INTEGER AS half, concept * pi() * size AS turn FROM rowed),
+labelled AS (
+  SELECT *, CASE WHEN family = 'OBLIQUE' THEN list_inner_product(x, list_transform(range(8), lambda j: CASE WHEN j < 4 THEN cos(turn) ELSE sin(turn) END / 2)) >= 0
+                 ELSE (x[2 + half] - size * (concept > half)::INTEGER + 1) % 1 < 0.5 END::INTEGER AS clean FROM halved)
+SELECT o_orderkey, scenario, key, t, concept, {', '.join(f'round(x[{j + 1}], 9) AS x{j}' for j in range(8))}, clean, abs(clean - (noise < 0.1)::INTEGER) AS y FROM labelled"""
 
 
 def _replicates_sql(columns: dict[str, str], source: str, name: str, rows: str) -> str:
@@ -224,6 +229,7 @@ QUERIES: dict[str, Query] = {
     "cart_greedy_tree": lambda s, d: trees.grow(_t(s, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), "vec_id", "embedding", (F.col("label") < 5).cast("int"), depth=3, min_leaf=5),
     "addr_uniform": _addr_bits,
     "stream_labels": _stream_labels,
+    "conf_stream_labels": lambda s, d: _stream_labels(s, d, "CONF", 320),
     "bootstrap_t_mean": lambda s, d: resample.bootstrap_t(_paired(s, d), "d", REPLICATES, "H1", FAMILY_LEVEL),
     "bootstrap_percentile_ci": lambda s, d: resample.percentile_interval(_paired(s, d), "d", REPLICATES, "H1"),
     "bootstrap_maxt": lambda s, d: resample.max_t(_contrasts(s, d), ["discount", "quantity", "tax"], REPLICATES, "MAXT").withColumn("direction", classify.direction(F.col("low"), F.col("high"))),
@@ -359,6 +365,7 @@ SELECT 'quantity' AS term, round((x * (d * f - e * e) - b * (y * f - e * z) + c
 UNION ALL SELECT 'tax', round((a * (y * f - e * z) - x * (b * f - e * c) + c * (b * z - y * c)) / det, 6) FROM d
 UNION ALL SELECT 'n_rows', round((a * (d * z - y * e) - b * (b * z - y * c) + x * (b * e - d * c)) / det, 6) FROM d""",
     "addr_uniform": f"""SELECT o_orderkey, substr(sha256('["DT-P9-DRAW-v1","0123456789abcdef","FEATURE",' || o_orderkey || ',0]'), 1, 16) AS key, {_bits_sql('FEATURE', 'o_orderkey', 0)}::BIGINT AS bits, round({_u_sql('FEATURE', 'o_orderkey', 0)}, 12) AS u FROM orders""",
+    "conf_stream_labels": _stream_sql("'DT-C8E1-F09-v1|CONF|SOURCE|scenario=' || name || '|r=' || lpad((o_orderkey % 320)::VARCHAR, 3, '0')"),  # fixed: the address's form
     "stream_labels": _stream_sql(),
     "bootstrap_t_mean": f"""WITH {_H1}, t AS (SELECT estimate, se_0, CASE WHEN se = 0 THEN 'inf'::DOUBLE ELSE abs(theta - estimate) / se END AS t FROM reps JOIN whole USING (contrast)),
 c AS (SELECT estimate, se_0, list_sort(list(t))[{CRITICAL}] AS critical, count(*) FILTER (t >= abs(estimate) / se_0) AS beyond FROM t GROUP BY ALL)
