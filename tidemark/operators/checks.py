@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import ranked
+
 
 def key_differences(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on one side only, with the side."""
@@ -77,23 +79,32 @@ def encoded(df: DataFrame, fitted: dict[str, list[str]]) -> DataFrame:
 
 
 def fit_encoder(prefix: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
-    """(column, median, values): what a prefix of the rows teaches the encoder; exact medians, values in order."""
-    long = [prefix.agg(F.lit(c).alias("column"), F.percentile(c, 0.5).alias("median"), F.lit(None).cast("array<string>").alias("values")) for c in numbers]
-    long += [prefix.agg(F.lit(c).alias("column"), F.lit(None).cast("double").alias("median"), F.array_sort(F.collect_set(F.col(c).cast("string"))).alias("values")) for c in categories]
-    return reduce(DataFrame.unionByName, long)
+    """(column, median, value, place): what a prefix of the rows teaches the encoder.
+
+    A number column has one row, with its exact median; a category column has a row for each value, with its place from 0
+    in the values' order. Places are given by ranges, so a column may have any number of values.
+    """
+    row = lambda c, median, value, place: (F.lit(c).alias("column"), median.cast("double").alias("median"), value.cast("string").alias("value"), place.cast("long").alias("place"))
+    none = F.lit(None)
+    fitted = [prefix.agg(F.percentile(c, 0.5).alias("m")).select(*row(c, F.col("m"), none, none)) for c in numbers]
+    for c in categories:
+        values = prefix.select(F.col(c).cast("string").alias("v")).where("v is not null").distinct()
+        fitted.append(ranked(values, F.col("v")).select(*row(c, none, F.col("v"), F.col("place") - 1)))
+    return reduce(DataFrame.unionByName, fitted)
 
 
 def encode_with(df: DataFrame, fitted: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
     """Numbers with the prefix's median for missing ones and a flag; categories as their place among the prefix's values, -1
-    if unknown and -2 if missing. `fitted` has one row a column."""
-    rows = {r["column"]: r for r in fitted.collect()}
-    out = []
+    if unknown and -2 if missing. Values are looked up by joins, small tables of them by broadcast ones."""
+    medians = {r["column"]: r["median"] for r in fitted.where(F.col("column").isin(numbers)).collect()}  # a row a column
+    out, looked = [], df
     for c in numbers:
-        out += [F.coalesce(F.col(c).cast("double"), F.lit(rows[c]["median"])).alias(c), F.col(c).isNull().cast("int").alias(f"{c}_missing")]
-    for c in categories:
-        place = F.array_position(F.array(*map(F.lit, rows[c]["values"])), F.col(c).cast("string")) if rows[c]["values"] else F.lit(0)
-        out.append(F.when(F.col(c).isNull(), -2).otherwise(place.cast("int") - 1).alias(c))
-    return df.select(*[x for x in df.columns if x not in {*numbers, *categories}], *out)
+        out += [F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c), F.col(c).isNull().cast("int").alias(f"{c}_missing")]
+    for k, c in enumerate(categories):
+        values = fitted.where((F.col("column") == c) & F.col("value").isNotNull()).select(F.col("value").alias(f"_value_{k}"), F.col("place").alias(f"_place_{k}"))
+        looked = looked.join(values, F.col(c).cast("string") == F.col(f"_value_{k}"), "left")
+        out.append(F.when(F.col(c).isNull(), -2).otherwise(F.coalesce(F.col(f"_place_{k}").cast("int"), F.lit(-1))).alias(c))
+    return looked.select(*[x for x in df.columns if x not in {*numbers, *categories}], *out)
 
 
 def incomplete_groups(df: DataFrame, keys: list[str], member: str, wanted: list) -> DataFrame:

@@ -241,7 +241,7 @@ QUERIES: dict[str, Query] = {
     "population_diversity": lambda s, d: checks.diversity(_t(s, d, "lineitem"), F.col("l_partkey"), "l_suppkey"),
     "multiset_digest": lambda s, d: checks.multiset_digest(_t(s, d, "lineitem"), F.col("l_partkey"), "l_suppkey"),
     "order_digest_root": lambda s, d: checks.order_digest(_t(s, d, "orders"), "o_orderkey", F.concat_ws("\t", F.col("o_orderkey").cast("string"), "o_orderstatus"), "o_custkey"),
-    "key_completeness": lambda s, d: checks.key_differences(_t(s, d, "customer").select(F.col("c_custkey").alias("key")), _t(s, d, "orders").select(F.col("o_custkey").alias("key")), ["key"]),
+    "key_completeness": lambda s, d: checks.key_differences(_t(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")), _t(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linestatus").alias("status")), ["key", "status"]),
     "duplicate_keys": lambda s, d: checks.duplicate_keys(_t(s, d, "lineitem"), ["l_orderkey", "l_partkey"]),
     "one_hot": lambda s, d: checks.encoded(_t(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), {"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT", "2-HIGH"]}),
     "mechanism_ols": _mechanism,
@@ -390,7 +390,8 @@ SELECT c_mktsegment, count(*) AS records, count(*) FILTER (n = 1) AS clones, cou
     "population_diversity": "WITH k AS (SELECT l_suppkey, l_partkey, count(*) AS k FROM lineitem GROUP BY ALL) SELECT l_suppkey, sum(k)::BIGINT AS n, round(1 - sum(k * (k - 1)) / nullif(sum(k) * (sum(k) - 1), 0), 6) AS diversity FROM k GROUP BY ALL",
     "multiset_digest": "WITH k AS (SELECT l_suppkey, l_partkey::VARCHAR AS item, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, sha256(string_agg(item || chr(9) || n, chr(10) ORDER BY item) || chr(10)) AS digest FROM k GROUP BY ALL",
     "order_digest_root": "SELECT o_custkey, sha256(string_agg(o_orderkey || chr(9) || o_orderstatus, chr(10) ORDER BY o_orderkey) || chr(10)) AS digest FROM orders GROUP BY ALL",
-    "key_completeness": "SELECT c_custkey AS key, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    "key_completeness": """WITH e AS (SELECT DISTINCT o_orderkey AS key, o_orderstatus AS status FROM orders), o AS (SELECT DISTINCT l_orderkey AS key, l_linestatus AS status FROM lineitem)
+SELECT key, status, 'missing' AS side FROM (SELECT * FROM e EXCEPT SELECT * FROM o) UNION ALL SELECT key, status, 'unexpected' FROM (SELECT * FROM o EXCEPT SELECT * FROM e)""",
     "duplicate_keys": "SELECT l_orderkey, l_partkey, count(*) AS times FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "one_hot": """SELECT o_orderkey, o_orderstatus, o_orderpriority, coalesce(o_orderstatus = 'F', false)::INTEGER AS o_orderstatus_0, coalesce(o_orderstatus = 'O', false)::INTEGER AS o_orderstatus_1, coalesce(o_orderstatus NOT IN ('F', 'O'), false)::INTEGER AS o_orderstatus_unknown, (o_orderstatus IS NULL)::INTEGER AS o_orderstatus_missing,
   coalesce(o_orderpriority = '1-URGENT', false)::INTEGER AS o_orderpriority_0, coalesce(o_orderpriority = '2-HIGH', false)::INTEGER AS o_orderpriority_1, coalesce(o_orderpriority NOT IN ('1-URGENT', '2-HIGH'), false)::INTEGER AS o_orderpriority_unknown, (o_orderpriority IS NULL)::INTEGER AS o_orderpriority_missing FROM orders""",

@@ -17,6 +17,9 @@ METRICS = ("discount", "quantity", "tax")
 PAIRS = ((0, 1), (0, 2), (1, 2))
 KEY = "0123456789abcdef"
 
+#: Kinds of events that each customer should have.
+KNOWN_TYPES = ("click", "purchase", "signup", "view")
+
 
 # ---- inference and decisions ----
 
@@ -97,10 +100,17 @@ def _canonical(spark: SparkSession, d: str) -> DataFrame:
     return r._t(spark, d, "nation").select("n_nationkey", text.alias("json"), records.record_digest(text).alias("digest"))
 
 
+def _early(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of the orders of the first fifth of the time that all orders cover."""
+    dates = r._t(spark, d, "orders").select("o_orderkey", F.unix_date(F.to_date("o_orderdate")).alias("day"))
+    bounds = dates.agg(F.min("day").alias("first"), F.max("day").alias("last"))  # one row
+    return dates.join(F.broadcast(bounds), F.col("day") <= F.col("first") + F.floor((F.col("last") - F.col("first")) / 5)).select("o_orderkey")
+
+
 def _encoder(spark: SparkSession, d: str) -> DataFrame:
-    """Prices without those of urgent orders and priorities of orders, fitted on the orders of small number."""
+    """Prices without those of urgent orders and priorities of orders, fitted on the orders of the first fifth of the time covered."""
     rows = r._t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"), "o_orderpriority")
-    fitted = checks.fit_encoder(rows.where("o_orderkey <= 40"), ["price"], ["status", "o_orderpriority"])
+    fitted = checks.fit_encoder(rows.join(_early(spark, d), "o_orderkey", "left_semi"), ["price"], ["status", "o_orderpriority"])
     return checks.encode_with(rows, fitted, ["price"], ["status", "o_orderpriority"]).withColumn("price", F.round("price", 6))
 
 
@@ -140,7 +150,7 @@ QUERIES: dict[str, r.Query] = {
     "seed_schedule": lambda s, d: records.seed_schedule(sc.scenarios(), 80, ["HAT", "ARF", "EFDT"], s),
     "id_prefix_parse": lambda s, d: r._t(s, d, "customer").select("c_custkey", F.regexp_extract("c_name", r"^([A-Za-z]+)#0*(\d+)$", 1).alias("family"), F.regexp_extract("c_name", r"^([A-Za-z]+)#0*(\d+)$", 2).cast("long").alias("number")),
     "host_segment": lambda s, d: r._t(s, d, "supplier").select("s_suppkey", reduce(lambda a, b: a + b, ((F.col("s_suppkey") > c).cast("int") for c in (3, 30, 60))).alias("segment")),
-    "expected_cells": lambda s, d: checks.key_differences(checks.expected_keys(r._t(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("supplier")), ["A", "N", "R"], "flag"), _lines(s, d).select(F.col("l_suppkey").cast("long").alias("supplier"), F.col("l_returnflag").alias("flag")), ["supplier", "flag"]),
+    "expected_cells": lambda s, d: checks.key_differences(checks.expected_keys(r._t(s, d, "customer").select(F.col("c_custkey").alias("user")), list(KNOWN_TYPES), "kind"), r._t(s, d, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("kind")), ["user", "kind"]),
     "complete_groups": lambda s, d: checks.incomplete_groups(_lines(s, d), ["l_orderkey"], "l_linenumber", [1, 2, 3, 4]),
     "common_ids": lambda s, d: r._t(s, d, "customer").select(F.col("c_custkey").cast("long").alias("id")).intersect(_lines(s, d).select(F.col("l_partkey").cast("long").alias("id"))),
     "all_ids": lambda s, d: r._t(s, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.lit("customer").alias("of")).union(r._t(s, d, "supplier").select(F.col("s_suppkey").cast("long"), F.lit("supplier"))).groupBy("id").agg(F.count("*").alias("times"), F.min("of").alias("first_of")),
@@ -211,8 +221,8 @@ SELECT sum(a - b)::BIGINT AS j1, sum(b - c)::BIGINT AS j2, sum(a - c)::BIGINT AS
     "seed_schedule": f"SELECT scenario, realisation, method, substr(sha256(scenario || '|r=' || lpad(realisation::VARCHAR, 3, '0') || '|' || method), 1, 16) AS key FROM unnest([{', '.join(repr(x) for x in sc.scenarios())}]) s(scenario), range(80) n(realisation), unnest(['HAT', 'ARF', 'EFDT']) m(method)",
     "id_prefix_parse": r"SELECT c_custkey, regexp_extract(c_name, '^([A-Za-z]+)#0*(\d+)$', 1) AS family, regexp_extract(c_name, '^([A-Za-z]+)#0*(\d+)$', 2)::BIGINT AS number FROM customer",
     "host_segment": "SELECT s_suppkey, CASE WHEN s_suppkey <= 3 THEN 0 WHEN s_suppkey <= 30 THEN 1 WHEN s_suppkey <= 60 THEN 2 ELSE 3 END AS segment FROM supplier",
-    "expected_cells": """WITH e AS (SELECT s_suppkey::BIGINT AS supplier, flag FROM supplier, unnest(['A', 'N', 'R']) f(flag)), o AS (SELECT DISTINCT l_suppkey::BIGINT AS supplier, l_returnflag AS flag FROM lineitem)
-SELECT supplier, flag, 'missing' AS side FROM (SELECT * FROM e EXCEPT SELECT * FROM o) UNION ALL SELECT supplier, flag, 'unexpected' FROM (SELECT * FROM o EXCEPT SELECT * FROM e)""",
+    "expected_cells": f"""WITH e AS (SELECT c_custkey AS "user", kind FROM customer, unnest({list(KNOWN_TYPES)}) k(kind)), o AS (SELECT DISTINCT user_id AS "user", event_type AS kind FROM events)
+SELECT "user", kind, 'missing' AS side FROM (SELECT * FROM e EXCEPT SELECT * FROM o) UNION ALL SELECT "user", kind, 'unexpected' FROM (SELECT * FROM o EXCEPT SELECT * FROM e)""",
     "complete_groups": """WITH g AS (SELECT l_orderkey, (4 - count(DISTINCT l_linenumber) FILTER (l_linenumber <= 4))::INTEGER AS missing, (count(*) - count(DISTINCT l_linenumber) FILTER (l_linenumber <= 4))::INTEGER AS extra FROM lineitem GROUP BY ALL)
 SELECT * FROM g WHERE missing > 0 OR extra > 0""",
     "common_ids": "SELECT c_custkey::BIGINT AS id FROM customer INTERSECT SELECT l_partkey::BIGINT FROM lineitem",
@@ -233,7 +243,7 @@ SELECT o_custkey, max(i) AS events, arg_max(chain, i) AS chain FROM c GROUP BY o
     )
     + " FROM scored GROUP BY user_id",
     "prefix_encoder": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END AS price, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status, o_orderpriority FROM orders),
-f AS (SELECT quantile_cont(price, 0.5) AS median, list_sort(list(DISTINCT status) FILTER (status IS NOT NULL)) AS statuses, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM o WHERE o_orderkey <= 40)
+f AS (SELECT quantile_cont(price, 0.5) AS median, list_sort(list(DISTINCT status) FILTER (status IS NOT NULL)) AS statuses, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM o WHERE o_orderkey IN (SELECT o_orderkey FROM orders, (SELECT min(o_orderdate::DATE) AS first, max(o_orderdate::DATE) AS last FROM orders) WHERE o_orderdate::DATE <= first + ((last - first) // 5)::INTEGER))
 SELECT o_orderkey, round(coalesce(price, median), 6) AS price, (price IS NULL)::INTEGER AS price_missing, CASE WHEN status IS NULL THEN -2 ELSE coalesce(list_position(statuses, status), 0) - 1 END::INTEGER AS status,
   CASE WHEN o_orderpriority IS NULL THEN -2 ELSE coalesce(list_position(priorities, o_orderpriority), 0) - 1 END::INTEGER AS o_orderpriority FROM o, f""",
     "tree_summary": f"WITH s AS ({r._greedy_sql(3, 5)}) SELECT count(*) AS splits, 2 * count(*) + 1 AS nodes, (floor(log2(max(node))) + 1)::INTEGER AS depth, sha256(string_agg(node || '|' || feature || '|' || round(threshold * 1e9)::BIGINT, chr(10) ORDER BY node)) AS fingerprint FROM s",
