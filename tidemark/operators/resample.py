@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from math import ceil, floor
 
 import numpy as np
@@ -11,34 +12,85 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.addressing import bounded_index
-
 
 #: Realisations by number that are ordered in one task.
 RANGE = 4096
 
 
-def draws(cells: DataFrame, replicates: int, name: str) -> DataFrame:
-    """(b, scenario, place, times): a row for each draw of each replicate, as many as the scenario has members; `times` is 1.
+#: Draws of one piece of work, and replicates in it at most.
+DRAWS, TOGETHER = 1 << 16, 64
+
+#: Numbers of members that are sent to all tasks, at most; larger tables are joined to the draws.
+FEW_NUMBERS = 1 << 20
+
 
-    `cells` has scenario and n. Replicates are dealt to all tasks before their draws are made, and the draws are summed up
-    where they are joined, so they need no shuffle of their own.
+def resampled(at: DataFrame, columns: dict[str, Column], replicates: int, name: str) -> DataFrame:
+    """(b, scenario, n, and a sum for each column) of each replicate: as many draws as the scenario has members, each by its address.
+
+    `at` has scenario, place and what the columns are made of; they are whole numbers, so that sums don't depend on order.
+    Draws are made in pieces of bounded size, a stretch of one scenario's draws for a few replicates. A count decides how
+    they meet the members: few are sent to all tasks, and a piece returns sums only; many are joined by scenario and place.
+    Results are the same.
     """
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = cells.select("scenario", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b")).repartition(parts, "b")
-    each = each.select("b", "scenario", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    address = F.concat_ws("|", F.lit(name), F.col("b").cast("string"), F.col("scenario"), F.col("i").cast("string"))
-    return each.select("b", "scenario", bounded_index(address, F.col("n")).alias("place"), F.lit(1).cast("long").alias("times"))
+    at = at.select("scenario", "place", *(F.coalesce(c, F.lit(0)).alias(k) for k, c in columns.items()))
+    sizes = at.groupBy("scenario").agg(F.count("*").alias("size"))
+    width = F.least(F.lit(TOGETHER), F.greatest(F.lit(1), F.floor(DRAWS / F.col("size")))).cast("long")
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / DRAWS).cast("long"))
+    work = sizes.select("scenario", "size", width.alias("width"), F.explode(stretches).alias("stretch"))
+    work = work.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.lit(replicates) - 1) / F.col("width")).cast("long"))).alias("turn"))
+    work = work.select("scenario", "size", (F.col("turn") * F.col("width")).alias("from_b"), F.least((F.col("turn") + 1) * F.col("width"), F.lit(replicates)).alias("to_b"), (F.col("stretch") * DRAWS).alias("from_i"), F.least((F.col("stretch") + 1) * DRAWS, F.col("size")).alias("to_i"))
+    work = work.repartition(int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scenario", "from_b", "from_i")
+    most = FEW_NUMBERS // (2 + len(columns))
+    if at.limit(most + 1).count() <= most:
+        parts = _drawn_sums(work, at, list(columns), name)
+    else:
+        parts = _drawn_places(work, name).join(at, ["scenario", "place"]).select("b", "scenario", F.lit(1).cast("long").alias("n"), *columns)
+    return parts.groupBy("b", "scenario").agg(*(F.sum(c).alias(c) for c in ("n", *columns)))
+
+
+def _places(name: str, b: int, scenario: str, low: int, high: int, size: int) -> np.ndarray:
+    """Draws low to high of a replicate: the upper 53 bits of SHA-256 of each draw's address, modulo the scenario's size."""
+    ahead = f"{name}|{b}|{scenario}|".encode()
+    found = b"".join([sha256(ahead + b"%d" % i).digest()[:8] for i in range(low, high)])
+    return (np.frombuffer(found, ">u8").astype(np.uint64) >> np.uint64(11)).astype(np.int64) % size
+
+
+def _drawn_sums(work: DataFrame, at: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Each piece's sums of the members that it drew; the members are bounded by FEW_NUMBERS."""
+    members: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    table = at.toArrow()
+    scenario, place = np.array(table["scenario"].to_pylist(), object), table["place"].to_numpy()
+    values = [table[c].to_numpy() for c in columns]
+    for one in set(scenario.tolist()):
+        own = np.flatnonzero(scenario == one)
+        own = own[np.argsort(place[own])]
+        members[one] = [v[own] for v in values]
+    sent = work.sparkSession.sparkContext.broadcast(members)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for scenario, size, from_b, to_b, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for b in range(from_b, to_b):
+                    drawn = _places(name, b, scenario, low, high, size)
+                    rows.append((b, scenario, high - low, *(v[drawn].sum().item() for v in sent.value[scenario])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["b", "scenario", "n", *columns])
 
+    types = [pa.int64(), pa.string(), pa.int64(), *(table.schema.field(c).type for c in columns)]
+    return work.mapInArrow(run, "b bigint, scenario string, n bigint, " + ", ".join(f"{c} {at.schema[c].dataType.simpleString()}" for c in columns))
 
-#: Members that are sent to all tasks rather than shuffled with the draws, at most.
-FEW_MEMBERS = 100_000
 
+def _drawn_places(work: DataFrame, name: str) -> DataFrame:
+    """(b, scenario, place) of each draw."""
 
-def met(at: DataFrame, tape: DataFrame) -> DataFrame:
-    """The draws with the members that they drew. Where a count finds few members, they go to the draws, which then need no shuffle."""
-    few = at.limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
-    return tape.join(F.broadcast(at) if few else at, ["scenario", "place"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for scenario, size, from_b, to_b, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for b in range(from_b, to_b):
+                    drawn = _places(name, b, scenario, low, high, size)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(drawn), b)), pa.array([scenario] * len(drawn), pa.string()), pa.array(drawn)], ["b", "scenario", "place"])
+
+    return work.mapInArrow(run, "b bigint, scenario string, place bigint")
 
 
 def placed(df: DataFrame) -> DataFrame:
@@ -54,28 +106,40 @@ def placed(df: DataFrame) -> DataFrame:
     return dealt.withColumn("inside", inside).join(counts.select("scenario", "range", before.alias("before")), ["scenario", "range"]).withColumn("place", F.col("before") + F.col("inside") - 1).drop("range", "inside", "before")
 
 
-def _moments(df: DataFrame, x: Column, w: Column, *by: str) -> DataFrame:
-    """Equal-scenario mean and stratified standard error from weighted integer sums."""
-    cells = df.groupBy(*by, "scenario").agg(F.sum(w).alias("n"), F.sum(w * x).alias("s"), F.sum(w * x * x).alias("ss"))
+def _spread(cells: DataFrame, *by: str) -> DataFrame:
+    """(by, theta, se): equal-scenario mean and stratified standard error from each scenario's n, s and ss, which are integers."""
     mean, variance = F.col("s") / F.col("n"), (F.col("n") * F.col("ss") - F.col("s") * F.col("s")) / (F.col("n") * (F.col("n") - 1))
     return cells.select(*by, mean.alias("m"), (variance / F.col("n")).alias("v")).groupBy(*by).agg(F.avg("m").alias("theta"), (F.sqrt(F.sum("v")) / F.count("*")).alias("se"))
 
 
-def _moments_of(df: DataFrame, values: list[str], w: Column, *by: str) -> DataFrame:
-    """`_moments` of several integer-valued columns, as (contrast, theta, se): the rows are read once, whatever the number of columns."""
-    sums = [s for v in values for s in (F.sum(w * F.col(v)).alias(f"s_{v}"), F.sum(w * F.col(v) * F.col(v)).alias(f"ss_{v}"))]
-    cells = df.groupBy(*by, "scenario").agg(F.sum(w).alias("n"), *sums)
+def _summed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The sums of all rows of each scenario, as `resampled` has them for a replicate."""
+    return df.groupBy("scenario").agg(F.count("*").alias("n"), *(F.sum(c).alias(k) for k, c in columns.items()))
+
+
+def _powers(values: list[str]) -> dict[str, Column]:
+    return {k: c for v in values for k, c in ((f"s_{v}", F.col(v).cast("long")), (f"ss_{v}", F.col(v).cast("long") * F.col(v).cast("long")))}
+
+
+def _each(cells: DataFrame, values: list[str], *by: str) -> DataFrame:
+    """(contrast, by, theta, se) of several columns whose sums were made together."""
     each = F.explode(F.array(*(F.struct(F.lit(v).alias("contrast"), F.col(f"s_{v}").alias("s"), F.col(f"ss_{v}").alias("ss")) for v in values)))
-    cells = cells.select(*by, "n", each.alias("c")).select(*by, "n", "c.*")
-    mean, variance = F.col("s") / F.col("n"), (F.col("n") * F.col("ss") - F.col("s") * F.col("s")) / (F.col("n") * (F.col("n") - 1))
-    return cells.select(*by, "contrast", mean.alias("m"), (variance / F.col("n")).alias("v")).groupBy("contrast", *by).agg(F.avg("m").alias("theta"), (F.sqrt(F.sum("v")) / F.count("*")).alias("se"))
+    return _spread(cells.select(*by, "n", each.alias("c")).select(*by, "n", "c.*"), "contrast", *by)
+
+
+def whole_moments(at: DataFrame, values: list[str]) -> DataFrame:
+    """(contrast, theta, se) of integer-valued panel columns."""
+    return _each(_summed(at, _powers(values)), values)
+
+
+def replicate_moments(at: DataFrame, values: list[str], n: int, name: str) -> DataFrame:
+    """(contrast, b, theta, se) of each replicate; all columns share its draws. `at` is `placed`."""
+    return _each(resampled(at, _powers(values), n, name), values, "b")
 
 
 def replicates(df: DataFrame, value: str, n: int, name: str) -> DataFrame:
     """(b, theta, se) of each replicate of an integer-valued panel column."""
-    at = placed(df.select("scenario", "realisation", value))
-    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    return _moments(met(at, tape), F.col(value), F.col("times"), "b")
+    return replicate_moments(placed(df.select("scenario", "realisation", value)), [value], n, name).drop("contrast")
 
 
 def bootstrap_t(df: DataFrame, value: str, n: int, name: str, level: float = 0.95) -> DataFrame:
@@ -83,7 +147,7 @@ def bootstrap_t(df: DataFrame, value: str, n: int, name: str, level: float = 0.9
 
     A replicate without variance counts as a pivot of +infinity.
     """
-    whole = _moments(df, F.col(value), F.lit(1)).withColumnsRenamed({"theta": "estimate", "se": "se_0"})
+    whole = whole_moments(df, [value]).drop("contrast").withColumnsRenamed({"theta": "estimate", "se": "se_0"})
     pivots = replicates(df, value, n, name).crossJoin(F.broadcast(whole)).select("estimate", "se_0", F.when(F.col("se") == 0, float("inf")).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se")).alias("t"))
     out = pivots.groupBy("estimate", "se_0").agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(round(level * (n + 1), 9))).alias("critical"), F.count_if(F.col("t") >= F.abs("estimate") / F.col("se_0")).alias("beyond"))
     reach = F.col("critical") * F.col("se_0")
@@ -103,10 +167,8 @@ def max_t(df: DataFrame, values: list[str], n: int, name: str, level: float = 0.
     All columns share a replicate's draws; a replicate without variance has t = 0 here.
     """
     at = placed(df.select("scenario", "realisation", *values))
-    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    whole = _moments_of(at, values, F.lit(1)).withColumnsRenamed({"theta": "estimate", "se": "se_0"})
-    resampled = _moments_of(met(at, tape), values, F.col("times"), "b")
-    t = resampled.join(whole, "contrast").select("b", F.when(F.col("se") == 0, 0.0).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se")).alias("t"))
+    whole = whole_moments(at, values).withColumnsRenamed({"theta": "estimate", "se": "se_0"})
+    t = replicate_moments(at, values, n, name).join(whole, "contrast").select("b", F.when(F.col("se") == 0, 0.0).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se")).alias("t"))
     critical = t.groupBy("b").agg(F.max("t").alias("t")).agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(level * (n - 1)) + 1).alias("critical"))
     reach = F.col("critical") * F.col("se_0")
     return whole.crossJoin(F.broadcast(critical)).select("contrast", F.round("estimate", 6).alias("estimate"), F.round("critical", 6).alias("critical"), F.round(F.col("estimate") - reach, 6).alias("low"), F.round(F.col("estimate") + reach, 6).alias("high"))
@@ -124,10 +186,13 @@ def holm(tests: DataFrame, name: str, p: str, *family: str, alpha: float = 0.05)
 # ---- ratios, slopes, cluster intervals ----
 
 
-def _ratio_moments(df: DataFrame, a: str, q: str, w: Column, *by: str) -> DataFrame:
-    """theta = A / Q of equal-scenario means, its linearised standard error, and Q, from weighted integer sums."""
-    x, y = F.col(a), F.col(q)
-    cells = df.groupBy(*by, "scenario").agg(F.sum(w).alias("n"), *(F.sum(w * v).alias(name) for name, v in (("a", x), ("q", y), ("aa", x * x), ("qq", y * y), ("aq", x * y))))
+def _ratio_sums(a: str, q: str) -> dict[str, Column]:
+    x, y = F.col(a).cast("long"), F.col(q).cast("long")
+    return {"a": x, "q": y, "aa": x * x, "qq": y * y, "aq": x * y}
+
+
+def _ratio_moments(cells: DataFrame, *by: str) -> DataFrame:
+    """theta = A / Q of equal-scenario means, its linearised standard error, and Q, from each scenario's integer sums."""
     spread = lambda u, v, uv: (F.col("n") * F.col(uv) - F.col(u) * F.col(v)) / (F.col("n") * (F.col("n") - 1)) / F.col("n")
     whole = cells.groupBy(*by).agg(F.avg(F.col("a") / F.col("n")).alias("ma"), F.avg(F.col("q") / F.col("n")).alias("mq"), F.sum(spread("a", "a", "aa")).alias("va"), F.sum(spread("q", "q", "qq")).alias("vq"), F.sum(spread("a", "q", "aq")).alias("c"), F.count("*").alias("g"))
     theta = F.when(F.col("mq") > 0, F.col("ma") / F.col("mq"))
@@ -138,13 +203,12 @@ def _ratio_moments(df: DataFrame, a: str, q: str, w: Column, *by: str) -> DataFr
 def ratio_replicates(df: DataFrame, a: str, q: str, n: int, name: str) -> DataFrame:
     """(b, mq, theta, se) of each replicate of a ratio of two integer-valued panel columns; theta is null where the denominator is not above 0."""
     at = placed(df.select("scenario", "realisation", a, q))
-    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    return _ratio_moments(met(at, tape), a, q, F.col("times"), "b")
+    return _ratio_moments(resampled(at.withColumnsRenamed({a: "left", q: "right"}), _ratio_sums("left", "right"), n, name), "b")
 
 
 def bootstrap_t_ratio(df: DataFrame, a: str, q: str, n: int, name: str, level: float = 0.95) -> DataFrame:
     """`bootstrap_t` of a ratio: a replicate without a denominator or without variance counts as a pivot of +infinity."""
-    whole = _ratio_moments(df, a, q, F.lit(1)).select(F.col("theta").alias("estimate"), F.col("se").alias("se_0"), F.col("mq").alias("denominator"))
+    whole = _ratio_moments(_summed(df, _ratio_sums(a, q))).select(F.col("theta").alias("estimate"), F.col("se").alias("se_0"), F.col("mq").alias("denominator"))
     pivot = F.when(F.col("theta").isNull() | (F.col("se") == 0), float("inf")).otherwise(F.abs(F.col("theta") - F.col("estimate")) / F.col("se"))
     pivots = ratio_replicates(df, a, q, n, name).crossJoin(F.broadcast(whole)).select("estimate", "se_0", "denominator", F.coalesce(pivot, F.lit(float("inf"))).alias("t"))  # one row
     out = pivots.groupBy("estimate", "se_0", "denominator").agg(F.element_at(F.array_sort(F.collect_list("t")), ceil(round(level * (n + 1), 9))).alias("critical"), F.count_if(F.col("t") >= F.abs("estimate") / F.col("se_0")).alias("beyond"))
@@ -163,8 +227,7 @@ def percentile_ratio(df: DataFrame, a: str, q: str, n: int, name: str, level: fl
 def cluster_interval(df: DataFrame, values: list[str], n: int, name: str, tail: float) -> DataFrame:
     """(contrast, low, high): interpolated quantiles `tail` and 1 - `tail` of resampled equal-scenario means; all columns share the draws."""
     at = placed(df.select("scenario", "realisation", *values))
-    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    found = _moments_of(met(at, tape), values, F.col("times"), "b")
+    found = replicate_moments(at, values, n, name)
     return found.groupBy("contrast").agg(F.round(F.percentile("theta", tail), 6).alias("low"), F.round(F.percentile("theta", 1 - tail), 6).alias("high"))
 
 
@@ -179,9 +242,8 @@ def slope_interval(df: DataFrame, y: str, xs: list[str], n: int, name: str, leve
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     value = lambda i: F.col(names[i]).cast("double")
     parts = df.groupBy("scenario", "realisation").agg(F.count("*").alias("rows"), *(F.sum(value(i)).alias(f"s{i}") for i in range(len(names))), *(F.sum(value(i) * value(j)).alias(f"p{i}_{j}") for i, j in pairs))
-    at = placed(parts)
-    tape = draws(at.groupBy("scenario").agg(F.count("*").alias("n")), n, name)
-    cells = met(at, tape).groupBy("b", "scenario").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("rows", *(f"s{i}" for i in range(len(names))), *(f"p{i}_{j}" for i, j in pairs))))
+    sums = ("rows", *(f"s{i}" for i in range(len(names))), *(f"p{i}_{j}" for i, j in pairs))
+    cells = resampled(placed(parts), {c: F.col(c) for c in sums}, n, name)
     centred = cells.groupBy("b").agg(*(F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("rows")).alias(f"c{i}_{j}") for i, j in pairs))
     k = len(xs)
 

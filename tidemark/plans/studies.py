@@ -51,10 +51,9 @@ def _break_even(spark: SparkSession, d: str) -> DataFrame:
     """Arm 1 as the better and dearer method: what it saves in discount, and what it costs more in quantity."""
     cells = r._contrasts(spark, d).select("scenario", "realisation", F.col("discount").alias("saved"), (-F.col("quantity")).alias("premium"))
     at = resample.placed(cells)
-    tape = resample.draws(at.groupBy("scenario").agg(F.count("*").alias("n")), r.REPLICATES, "EVEN")
-    reps = resample._moments_of(resample.met(at, tape), ["saved", "premium"], F.col("times"), "b").withColumnRenamed("contrast", "what")
+    reps = resample.replicate_moments(at, ["saved", "premium"], r.REPLICATES, "EVEN").withColumnRenamed("contrast", "what")
     low = reps.groupBy("what").agg(F.element_at(F.array_sort(F.collect_list("theta")), r.LOW).alias("low"))
-    both = resample._moments_of(at, ["saved", "premium"], F.lit(1)).withColumnRenamed("contrast", "what").join(low, "what")
+    both = resample.whole_moments(at, ["saved", "premium"]).withColumnRenamed("contrast", "what").join(low, "what")
     row = both.agg(*(F.max(F.when(F.col("what") == w, F.col(c))).alias(f"{w}_{c}") for w in ("saved", "premium") for c in ("theta", "low")))
     side = lambda w: {"estimate": F.col(f"{w}_theta"), "low": F.col(f"{w}_low")}
     return row.select(*(F.round(c, 6).alias(c) for c in row.columns), *frontier.break_even(side("saved"), side("premium"), 24_000))
