@@ -71,9 +71,9 @@ def integer_moments(df: DataFrame, numerator: str, denominator: int) -> DataFram
     return out.agg(F.sum("s").cast("long").alias("total"), F.sum("ss").cast("long").alias("total_squares"), F.round(F.avg("m") / denominator, 6).alias("theta"), F.round(F.sqrt(F.sum("v")) / F.count("*") / denominator, 8).alias("se"))
 
 
-def coverage(df: DataFrame, value: str, scheduled: str) -> DataFrame:
-    """Observed against scheduled slots of each scenario; a mean only where every slot is observed."""
-    cells = df.groupBy("scenario").agg(F.count(value).alias("observed"), F.max(scheduled).alias("scheduled"), F.round(F.avg(value), 6).alias("observed_mean"))
+def coverage(df: DataFrame, value: str, scheduled: str, *by: str) -> DataFrame:
+    """Observed against scheduled slots of each scenario (and `by`); a mean only where every slot is observed."""
+    cells = df.groupBy(*by, "scenario").agg(F.count(value).alias("observed"), F.max(scheduled).alias("scheduled"), F.round(F.avg(value), 6).alias("observed_mean"))
     return cells.withColumn("complete", F.col("observed") == F.col("scheduled")).withColumn("full_mean", F.when(F.col("complete"), F.col("observed_mean")))
 
 

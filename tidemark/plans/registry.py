@@ -187,8 +187,8 @@ def _quality_confusion(spark: SparkSession, d: str) -> DataFrame:
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
     slots = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("realisation"))
     n = slots.agg(F.count("*").alias("scheduled"))
-    cheap = _panel(spark, d).where("arm = 2").withColumn("observed", F.when(F.col("discount") > 20, F.col("discount")))
-    return panel.coverage(cheap.crossJoin(F.broadcast(n)), "observed", "scheduled")
+    seen = _panel(spark, d).withColumn("observed", F.when(F.col("discount") > 20, F.col("discount")))
+    return panel.coverage(seen.crossJoin(F.broadcast(n)), "observed", "scheduled", "arm")  # one row
 
 
 def _mechanism(spark: SparkSession, d: str) -> DataFrame:
@@ -318,7 +318,7 @@ long AS (SELECT arm, loss, 'quantity' AS resource, quantity AS amount FROM m UNI
 SELECT a.arm AS left_arm, b.arm AS right_arm, a.resource, round(CASE WHEN -(a.loss - b.loss) / nullif(a.amount - b.amount, 0) > 0 THEN -(a.loss - b.loss) / nullif(a.amount - b.amount, 0) END, 6) AS price
 FROM long a JOIN long b ON a.resource = b.resource AND a.arm < b.arm""",
     "coverage_cluster_summary": f"""WITH {PANEL_SQL},
-c AS (SELECT scenario, count(*) FILTER (discount > 20) AS observed, (SELECT count(*) FROM supplier) AS scheduled, round(avg(discount) FILTER (discount > 20), 6) AS observed_mean FROM panel WHERE arm = 2 GROUP BY ALL)
+c AS (SELECT arm, scenario, count(*) FILTER (discount > 20) AS observed, (SELECT count(*) FROM supplier) AS scheduled, round(avg(discount) FILTER (discount > 20), 6) AS observed_mean FROM panel GROUP BY arm, scenario)
 SELECT *, observed = scheduled AS complete, CASE WHEN observed = scheduled THEN observed_mean END AS full_mean FROM c""",
     "status_frequency": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL",
     "segment_contingency": "SELECT event_type, count(DISTINCT user_id) FILTER (user_id % 3 = 0) AS host_0, count(DISTINCT user_id) FILTER (user_id % 3 = 1) AS host_1, count(DISTINCT user_id) FILTER (user_id % 3 = 2) AS host_2 FROM events GROUP BY ALL",

@@ -24,8 +24,10 @@ KNOWN_TYPES = ("click", "purchase", "signup", "view")
 # ---- inference and decisions ----
 
 
-def _first_arm(spark: SparkSession, d: str) -> DataFrame:
-    return r._panel(spark, d).where("arm = 0")
+def _each_arm(spark: SparkSession, d: str, found) -> DataFrame:
+    """What `found` makes of each arm's panel, with draws of its own."""
+    panels = r._panel(spark, d)
+    return reduce(DataFrame.unionByName, (found(panels.where(F.col("arm") == arm), f"RATIO{arm}").withColumn("arm", F.lit(arm).cast("long")) for arm in range(3)))
 
 
 def _welch(spark: SparkSession, d: str) -> DataFrame:
@@ -60,17 +62,17 @@ def _break_even(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RATIO_SQL = f"""{r.PANEL_SQL},
-base AS (SELECT scenario, realisation, discount AS a, n_rows AS q FROM panel WHERE arm = 0),
-placed AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY realisation) - 1 AS place FROM base),
-sizes AS (SELECT scenario, count(*) AS n FROM placed GROUP BY ALL),
+base AS (SELECT arm::BIGINT AS arm, scenario, realisation, discount AS a, n_rows AS q FROM panel),
+placed AS (SELECT *, row_number() OVER (PARTITION BY arm, scenario ORDER BY realisation) - 1 AS place FROM base),
+sizes AS (SELECT arm, scenario, count(*) AS n FROM placed GROUP BY ALL),
 tape AS (
-  SELECT b, scenario, (('0x' || substr(sha256('RATIO|' || b || '|' || scenario || '|' || i), 1, 16))::UBIGINT >> 11)::BIGINT % n AS place
-  FROM (SELECT scenario, n, b, unnest(range(n)) AS i FROM sizes, range({r.REPLICATES}) r(b))),
-every AS (SELECT b, scenario, a, q FROM tape JOIN placed USING (scenario, place) UNION ALL SELECT -1, scenario, a, q FROM base),
-cells AS (SELECT b, scenario, count(*) AS n, sum(a)::BIGINT AS a, sum(q)::BIGINT AS q, sum(a * a)::BIGINT AS aa, sum(q * q)::BIGINT AS qq, sum(a * q)::BIGINT AS aq FROM every GROUP BY ALL),
-w AS (SELECT b, avg(a / n) AS ma, avg(q / n) AS mq, sum((n * aa - a * a) / (n * (n - 1)) / n) AS va, sum((n * qq - q * q) / (n * (n - 1)) / n) AS vq, sum((n * aq - a * q) / (n * (n - 1)) / n) AS c, count(*) AS g FROM cells GROUP BY b),
-t AS (SELECT b, mq, g, va, vq, c, CASE WHEN mq > 0 THEN ma / mq END AS theta FROM w),
-reps AS (SELECT b, mq, theta, sqrt(greatest(va - 2 * theta * c + theta * theta * vq, 0)) / (g * mq) AS se FROM t)"""
+  SELECT arm, b, scenario, (('0x' || substr(sha256('RATIO' || arm || '|' || b || '|' || scenario || '|' || i), 1, 16))::UBIGINT >> 11)::BIGINT % n AS place
+  FROM (SELECT arm, scenario, n, b, unnest(range(n)) AS i FROM sizes, range({r.REPLICATES}) r(b))),
+every AS (SELECT arm, b, scenario, a, q FROM tape JOIN placed USING (arm, scenario, place) UNION ALL SELECT arm, -1, scenario, a, q FROM base),
+cells AS (SELECT arm, b, scenario, count(*) AS n, sum(a)::BIGINT AS a, sum(q)::BIGINT AS q, sum(a * a)::BIGINT AS aa, sum(q * q)::BIGINT AS qq, sum(a * q)::BIGINT AS aq FROM every GROUP BY ALL),
+w AS (SELECT arm, b, avg(a / n) AS ma, avg(q / n) AS mq, sum((n * aa - a * a) / (n * (n - 1)) / n) AS va, sum((n * qq - q * q) / (n * (n - 1)) / n) AS vq, sum((n * aq - a * q) / (n * (n - 1)) / n) AS c, count(*) AS g FROM cells GROUP BY arm, b),
+t AS (SELECT arm, b, mq, g, va, vq, c, CASE WHEN mq > 0 THEN ma / mq END AS theta FROM w),
+reps AS (SELECT arm, b, mq, theta, sqrt(greatest(va - 2 * theta * c + theta * theta * vq, 0)) / (g * mq) AS se FROM t)"""
 
 _PAIRS_SQL = f"""{r.PANEL_SQL},
 wide AS (SELECT scenario, realisation, {', '.join(f'max({m}) FILTER (arm = {a}) AS {m}_{a}' for a in (0, 1, 2) for m in METRICS)} FROM panel GROUP BY ALL HAVING count(*) = 3)"""
@@ -130,8 +132,8 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, r.Query] = {
-    "bootstrap_t_ratio": lambda s, d: resample.bootstrap_t_ratio(_first_arm(s, d), "discount", "n_rows", r.REPLICATES, "RATIO", r.FAMILY_LEVEL),
-    "bootstrap_percentile_ratio": lambda s, d: resample.percentile_ratio(_first_arm(s, d), "discount", "n_rows", r.REPLICATES, "RATIO"),
+    "bootstrap_t_ratio": lambda s, d: _each_arm(s, d, lambda p, name: resample.bootstrap_t_ratio(p, "discount", "n_rows", r.REPLICATES, name, r.FAMILY_LEVEL)),
+    "bootstrap_percentile_ratio": lambda s, d: _each_arm(s, d, lambda p, name: resample.percentile_ratio(p, "discount", "n_rows", r.REPLICATES, name)),
     "cluster_bootstrap_interval": lambda s, d: resample.cluster_interval(r._contrasts(s, d), list(METRICS), r.REPLICATES, "CLUSTER", 0.05 / 6),
     "slope_bootstrap": lambda s, d: resample.slope_interval(r._panel(s, d), "discount", ["quantity", "n_rows"], r.REPLICATES, "SLOPES"),
     "welch_freedom": _welch,
@@ -174,11 +176,11 @@ _U = f"least(((('0x' || substr(sha256('[\"DT-P9-DRAW-v1\",\"{KEY}\",\"' || {{rol
 
 ORACLE_SQL: dict[str, str] = {
     "bootstrap_t_ratio": f"""WITH {_RATIO_SQL},
-o AS (SELECT theta AS estimate, se AS se_0, mq AS denominator FROM reps WHERE b = -1),
-p AS (SELECT estimate, se_0, denominator, CASE WHEN theta IS NULL OR se = 0 OR se IS NULL THEN 'inf'::DOUBLE ELSE abs(theta - estimate) / se END AS t FROM reps, o WHERE b >= 0),
-c AS (SELECT estimate, se_0, denominator, list_sort(list(t))[{r.CRITICAL}] AS critical, count(*) FILTER (t >= abs(estimate) / se_0) AS beyond FROM p GROUP BY ALL)
-SELECT round(estimate, 6) AS estimate, round(denominator, 6) AS denominator, round(se_0, 6) AS se, round(critical, 6) AS critical, round(estimate - critical * se_0, 6) AS low, round(estimate + critical * se_0, 6) AS high, round((1 + beyond) / {r.REPLICATES + 1}, 6) AS p FROM c""",
-    "bootstrap_percentile_ratio": f"WITH {_RATIO_SQL} SELECT round(list_sort(list(theta))[{r.LOW}], 6) AS low, round(list_sort(list(theta))[{r.HIGH}], 6) AS high, count(theta) AS finite FROM reps WHERE b >= 0 AND theta IS NOT NULL",
+o AS (SELECT arm, theta AS estimate, se AS se_0, mq AS denominator FROM reps WHERE b = -1),
+p AS (SELECT arm, estimate, se_0, denominator, CASE WHEN theta IS NULL OR se = 0 OR se IS NULL THEN 'inf'::DOUBLE ELSE abs(theta - estimate) / se END AS t FROM reps JOIN o USING (arm) WHERE b >= 0),
+c AS (SELECT arm, estimate, se_0, denominator, list_sort(list(t))[{r.CRITICAL}] AS critical, count(*) FILTER (t >= abs(estimate) / se_0) AS beyond FROM p GROUP BY ALL)
+SELECT arm, round(estimate, 6) AS estimate, round(denominator, 6) AS denominator, round(se_0, 6) AS se, round(critical, 6) AS critical, round(estimate - critical * se_0, 6) AS low, round(estimate + critical * se_0, 6) AS high, round((1 + beyond) / {r.REPLICATES + 1}, 6) AS p FROM c""",
+    "bootstrap_percentile_ratio": f"WITH {_RATIO_SQL} SELECT arm, round(list_sort(list(theta))[{r.LOW}], 6) AS low, round(list_sort(list(theta))[{r.HIGH}], 6) AS high, count(theta) AS finite FROM reps WHERE b >= 0 AND theta IS NOT NULL GROUP BY arm",
     "cluster_bootstrap_interval": "WITH " + r._replicates_sql({m: m for m in METRICS}, r.PANEL_SQL, "CLUSTER", _CONTRASTS_SQL) + " SELECT contrast, round(quantile_cont(theta, 0.05 / 6), 6) AS low, round(quantile_cont(theta, 1 - 0.05 / 6), 6) AS high FROM reps GROUP BY contrast",
     "slope_bootstrap": f"""WITH {r.PANEL_SQL},
 parts AS (SELECT scenario, realisation, count(*) AS n, sum(quantity)::DOUBLE AS q, sum(n_rows)::DOUBLE AS m, sum(discount)::DOUBLE AS y, sum(quantity * quantity)::DOUBLE AS qq, sum(n_rows * n_rows)::DOUBLE AS mm, sum(quantity * n_rows)::DOUBLE AS qm, sum(quantity * discount)::DOUBLE AS qy, sum(n_rows * discount)::DOUBLE AS my FROM panel GROUP BY ALL),
