@@ -192,3 +192,41 @@ def test_node_tables_that_are_no_trees(spark):
     ]
     got = {tuple(r) for r in forests.violations(spark.createDataFrame(rows, NODES), ["tree"], 3).collect()}
     assert got == {("rootless", 1, "no_root"), ("rootless", 2, "no_parent"), ("half", 3, "one_child"), ("orphan", 6, "no_parent"), ("twice", 1, "repeated"), ("far", 1, "bad_split"), ("far", 3, "no_action"), ("nan", 1, "bad_split")}
+
+
+def refitted_by_force(x, y, shape, cuts, depth, min_leaf, min_gain, tie, node=1):
+    ones, n = sum(y), len(y)
+    action = tie if 2 * ones == n else int(2 * ones > n)
+    gini = lambda s: 2 * sum(s) * (len(s) - sum(s)) / len(s)
+    best = None
+    if 0 < ones < n and n >= 2 * min_leaf and node.bit_length() <= depth and node in shape:
+        f = shape[node]
+        for slot, cut in sorted(cuts.get(f, [])):
+            left = [c for r, c in zip(x, y, strict=True) if f < len(r) and r[f] is not None and r[f] < cut]
+            right = [c for r, c in zip(x, y, strict=True) if not (f < len(r) and r[f] is not None and r[f] < cut)]
+            if min(len(left), len(right)) >= min_leaf:
+                impurity = round((gini(left) + gini(right)) / n, 9)
+                if gini(y) / n - impurity > min_gain and (best is None or impurity < best[0]):
+                    best = impurity, f, cut
+    if best is None:
+        return {node: (None, None, action)}
+    goes = [best[1] < len(r) and r[best[1]] is not None and r[best[1]] < best[2] for r in x]
+    out = {node: (best[1], best[2], action)}
+    for side in (0, 1):
+        rows = [k for k, g in enumerate(goes) if g == (side == 0)]
+        out |= refitted_by_force([x[k] for k in rows], [y[k] for k in rows], shape, cuts, depth, min_leaf, min_gain, tie, 2 * node + side)
+    return out
+
+
+@pytest.mark.parametrize(("min_leaf", "min_gain", "tie"), [(1, 1e-12, 1), (4, 0.02, 0)])
+def test_a_template_keeps_its_shape(spark, min_leaf, min_gain, tie):
+    rng = np.random.default_rng(12)
+    rows = [(t, [float(rng.integers(0, 9)), None if rng.random() < 0.1 else float(rng.integers(0, 9))][: 1 + (rng.random() < 0.9)], int(rng.integers(0, 2))) for t in range(4) for _ in range(int(rng.integers(2, 50)))]
+    shape = {1: 0, 2: 1, 3: 0, 4: 1, 5: 7}  # feature 7 has no cuts
+    cuts = {0: [(3, 2.5), (1, 6.5), (2, 2.5)], 1: [(1, 4.5), (2, 1.5), (3, 100.0)]}
+    template = spark.createDataFrame([*((n, f) for n, f in shape.items()), (6, None)], "node long, feature int")
+    table = spark.createDataFrame([(f, s, c) for f, held in cuts.items() for s, c in held], "feature int, slot int, cut double")
+    got = forests.refit_template(spark.createDataFrame(rows, "t int, x array<double>, y int"), ["t"], "x", "y", template, table, 3, min_leaf, min_gain, tie).collect()
+    for t in range(4):
+        x, y = [r[1] for r in rows if r[0] == t], [r[2] for r in rows if r[0] == t]
+        assert {r.node: (r.feature, r.threshold, r.action) for r in got if r.t == t} == refitted_by_force(x, y, shape, cuts, 3, min_leaf, min_gain, tie)

@@ -220,3 +220,47 @@ def population_scores(leaves: DataFrame, nodes: DataFrame, tree: str, penalty: f
     root = sites(leaves, nodes, tree).where("node = 1")
     fitness = 1 - F.col("balanced_error") - penalty * F.col("node_count")
     return root.select(tree, F.col("node_count").alias("nodes"), F.round(1 - F.col("local_error"), 9).alias("accuracy"), F.round(fitness, 9).alias("fitness"), "class_deficient")
+
+
+def refit_template(rows: DataFrame, by: list[str], vector: str, label: str, template: DataFrame, cuts: DataFrame, depth: int, min_leaf: int = 1, min_gain: float = 1e-12, tie_action: int = 1) -> DataFrame:
+    """The node tables of trees that take their shape from one template, a tree for each value of `by`; as `grow_nodes` gives them.
+
+    template: (node, feature) of the template's splits, its shape; leaves are left out. cuts: (feature, slot, cut), the
+    thresholds that a split may take, a few for each feature; of equally good ones the lowest slot wins. A node is split on the
+    template's feature while it holds both labels, has at least 2 `min_leaf` rows, and a cut leaves `min_leaf` rows on both
+    sides and lowers Gini's impurity by more than `min_gain`; else it is a leaf, whatever the template has below it. Ties of an action
+    go to `tie_action`. A missing value goes right.
+
+    Rows are counted by bins between the sorted cuts, so what is swept is bounded by the number of cuts and not by that of values.
+    """
+    keys = [*by, "node"]
+    held = F.sort_array(F.collect_list(F.struct(F.col("cut").alias("cut"), F.col("slot").cast("int").alias("slot"))))
+    shape = store(template.where("feature is not null").select("node", F.col("feature").cast("int").alias("feature")).join(cuts.groupBy(F.col("feature").cast("int").alias("feature")).agg(held.alias("cuts")), "feature"))
+    base = rows.select(*by, F.col(label).alias("y"), F.col(vector).alias("vector"), F.lit(1).cast("long").alias("node"))
+    gini = lambda n, ones: 2 * ones * (n - ones) / n  # noqa: E731  n times Gini's impurity
+    levels = []
+    for level in range(depth + 1):
+        counts = base.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
+        tied = 2 * F.col("ones") == F.col("n")
+        action = F.when(tied, tie_action).otherwise((2 * F.col("ones") > F.col("n")).cast("int")).alias("action")
+        if level == depth:
+            levels.append(store(counts.select(*keys, F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold"), action, "n", "ones")))
+            break
+        open_ = counts.where((F.col("ones") > 0) & (F.col("ones") < F.col("n")) & (F.col("n") >= 2 * min_leaf)).select(*keys, "n", "ones")
+        value = F.get("vector", F.col("feature"))
+        # A row is left of every cut above its value: of all but the first `bin` ones. Missing values are left of none.
+        place = F.when(value.isNull(), F.size("cuts")).otherwise(F.size(F.filter("cuts", lambda c: c["cut"] <= value)))
+        binned = base.join(shape, "node").withColumn("bin", place).groupBy(*keys, "bin").agg(F.count("*").alias("m"), F.sum("y").alias("o"))
+        each = open_.join(shape, "node").select(*keys, "feature", "n", "ones", F.posexplode("cuts").alias("place", "at"))
+        swept = each.join(binned, keys).where("bin <= place").groupBy(*keys, "feature", "n", "ones", "place", "at").agg(F.sum("m").alias("nl"), F.sum("o").alias("ol"))
+        nr, right = F.col("n") - F.col("nl"), F.col("ones") - F.col("ol")
+        swept = swept.where((F.col("nl") >= min_leaf) & (nr >= min_leaf)).withColumn("impurity", F.round((gini(F.col("nl"), F.col("ol")) + gini(nr, right)) / F.col("n"), 9))
+        swept = swept.where(gini(F.col("n"), F.col("ones")) / F.col("n") - F.col("impurity") > min_gain)
+        best = swept.groupBy(*keys).agg(F.min_by(F.struct("feature", F.col("at.cut").alias("threshold")), F.struct("impurity", "at.slot")).alias("best")).select(*keys, "best.*")
+        levels.append(store(counts.join(best, keys, "left").select(*keys, "feature", "threshold", action, "n", "ones")))
+        splits = levels[-1].where("feature is not null").select(*keys, "feature", "threshold")
+        if not splits.limit(1).count():
+            break
+        left = F.get("vector", F.col("feature")) < F.col("threshold")
+        base = base.join(splits, keys).select(*by, "y", "vector", (2 * F.col("node") + F.when(left, 0).otherwise(1)).alias("node"))
+    return reduce(DataFrame.unionByName, levels)

@@ -16,6 +16,9 @@ DEPTH, MIN_LEAF = 2, 2
 #: Trees of the registered population, their depth, and rows that a leaf has at least.
 TREES, TREE_DEPTH, TREE_LEAF = 8, 3, 5
 
+#: Cuts of each feature that a refitted template may take.
+SLOTS = 8
+
 #: The path whose rows are asked for: left, then right.
 PATH = [0, 1]
 
@@ -117,6 +120,13 @@ def _one_tree(spark: SparkSession, d: str) -> DataFrame:
     return forests.grow_nodes(_rows(spark, d), [], "x", "y", TREE_DEPTH, TREE_LEAF)
 
 
+def template_cart(spark: SparkSession, d: str) -> DataFrame:
+    """The shape of the tree of all rows, refitted to each share of them with a few cuts of each feature."""
+    cuts = trees.candidate_thresholds(r._features(spark, d), SLOTS)
+    found = forests.refit_template(_rows(spark, d).withColumn("tree", F.col("vec_id") % TREES), ["tree"], "x", "y", _one_tree(spark, d), cuts, TREE_DEPTH, TREE_LEAF)
+    return found.withColumn("threshold", F.round("threshold", 9))
+
+
 def tree_predict_case(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("vec_id", trees.predict(forests.nested(_one_tree(spark, d)), "x").alias("pred"))
 
@@ -140,6 +150,31 @@ sites AS (
   FROM shape LEFT JOIN sums USING (tree, node))"""
 
 
+def _template_sql() -> str:
+    """CTEs up to `refitted`: the shape of the one tree, the cuts of all rows, and the levels of each share's tree."""
+    sql, rows = [], f"SELECT vec_id % {TREES} AS tree, v, y, 1::BIGINT AS node FROM ({_ROWS_SQL})"
+    gini = lambda n, o: f"2 * {o} * ({n} - {o}) / ({n})"
+    for k in range(TREE_DEPTH):
+        sql.append(f"""tr{k} AS ({rows}),
+tc{k} AS (SELECT tree, node, count(*) AS n, sum(y)::BIGINT AS ones FROM tr{k} GROUP BY ALL),
+te{k} AS (SELECT a.tree, a.node, s.feature, cut, slot, n, ones, count(*) AS nl, sum(y)::BIGINT AS ol FROM tr{k} a JOIN tc{k} USING (tree, node) JOIN shape s ON s.node = a.node JOIN cuts c ON c.feature = s.feature
+  WHERE v[s.feature + 1] < cut AND ones > 0 AND ones < n AND n >= {2 * TREE_LEAF} GROUP BY ALL),
+ti{k} AS (SELECT *, round(({gini('nl', 'ol')} + {gini('(n - nl)', '(ones - ol)')}) / n, 9) AS impurity FROM te{k} WHERE nl >= {TREE_LEAF} AND n - nl >= {TREE_LEAF}),
+ts{k} AS (SELECT tree, node, feature, cut AS threshold FROM ti{k} WHERE {gini('n', 'ones')} / n - impurity > 1e-12::DOUBLE QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY impurity, slot) = 1),
+tn{k} AS (SELECT tree, node, feature, threshold, n, ones FROM tc{k} LEFT JOIN ts{k} USING (tree, node))""")
+        rows = f"SELECT tree, v, y, 2 * node + (NOT v[feature + 1] < threshold)::BIGINT AS node FROM tr{k} JOIN ts{k} USING (tree, node)"
+    sql.append(f"tn{TREE_DEPTH} AS (SELECT tree, node, NULL::INTEGER AS feature, NULL::DOUBLE AS threshold, count(*) AS n, sum(y)::BIGINT AS ones FROM ({rows}) GROUP BY ALL)")
+    sql.append(f"refitted AS (SELECT tree, node, feature, round(threshold, 9) AS threshold, (2 * ones >= n)::INTEGER AS action, n, ones FROM ({' UNION ALL '.join(f'SELECT * FROM tn{k}' for k in range(TREE_DEPTH + 1))}))")
+    return f"""{_ONE_SQL},
+shape AS (SELECT node, feature FROM nodes WHERE feature IS NOT NULL),
+{r.FEATURES_SQL},
+listed AS (SELECT feature, list_sort(list(DISTINCT value)) AS vs FROM long GROUP BY feature),
+slotted AS (SELECT feature, vs, len(vs) - 1 AS gaps, unnest(range(1, least({SLOTS}, len(vs) - 1) + 1)) AS slot FROM listed),
+pairs AS (SELECT feature, slot, vs[place + 1] AS a, vs[place + 2] AS b FROM (SELECT *, slot * gaps // (least({SLOTS}, gaps) + 1) AS place FROM slotted)),
+cuts AS (SELECT feature, cut, min(slot) AS slot FROM (SELECT feature, slot, CASE WHEN a / 2 + b / 2 > a AND a / 2 + b / 2 <= b THEN a / 2 + b / 2 ELSE b END AS cut FROM pairs) GROUP BY ALL),
+{", ".join(sql)}"""
+
+
 QUERIES: dict[str, r.Query] = {
     "rolling_cart": rolling_cart,
     "frozen_cart": frozen_cart,
@@ -147,6 +182,7 @@ QUERIES: dict[str, r.Query] = {
     "population_scores": lambda s, d: forests.population_scores(*_leaves(s, d), "tree"),
     "tree_sites": lambda s, d: forests.sites(*_leaves(s, d), "tree"),
     "population_nodes": lambda s, d: _population(s, d).withColumn("threshold", F.round("threshold", 9)),
+    "template_cart": template_cart,
     "tree_predict_case": tree_predict_case,
     "path_reach": path_reach,
 }
@@ -158,6 +194,7 @@ ORACLE_SQL: dict[str, str] = {
     "population_scores": f"WITH {_SITES_SQL}\nSELECT tree, node_count AS nodes, round(1 - local_error, 9) AS accuracy, round(1 - balanced_error - 0.00025 * node_count, 9) AS fitness, class_deficient FROM sites WHERE node = 1",
     "tree_sites": f"WITH {_SITES_SQL}\nSELECT * FROM sites",
     "population_nodes": f"WITH {_POPULATION_SQL}\nSELECT * REPLACE (round(threshold, 9) AS threshold) FROM nodes",
+    "template_cart": f"WITH {_template_sql()}\nSELECT * FROM refitted",
     "tree_predict_case": f"WITH {_ONE_SQL},\n{_ONE_WALK}\nSELECT vec_id, action AS pred FROM ended",
     "path_reach": f"WITH {_ONE_SQL},\n{_ONE_WALK}\nSELECT vec_id, y FROM ended WHERE spot >> (floor(log2(spot))::BIGINT - {len(PATH)}) = 5",
 }
