@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from types import SimpleNamespace
+from urllib.parse import urljoin
 
 import duckdb
 import numpy as np
@@ -280,7 +281,7 @@ def test_verdicts_over_many_edges_match_sql(spark, tmp_path):
     url = lambda: f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=' + str(rng.integers(5)), '#z'])}"
 
     def html():
-        kind, to = rng.integers(8), rng.choice([url(), f"http://b.com/de/{rng.integers(40)}", f"http://a.example.org/es/{rng.integers(40)}", "/es/1", "//c.net/p/q", "q", "./q?a=1&amp;b=2", "?q=3", "#top", "mailto:a@b", "../up", ""])
+        kind, to = rng.integers(8), rng.choice([url(), f"http://b.com/de/{rng.integers(40)}", f"http://a.example.org/es/{rng.integers(40)}", "/es/1", "//c.net/p/q", "q", "./q?a=1&amp;b=2", "?q=3", "#top", "mailto:a@b", "../up", "", "../../es/x/./..?q=../z", "/a/./b/../../es/2", "..", "x/.", "/../../de/4"])
         tags = [f'<link rel="canonical" href="{to}">', f"<LINK href={to} rel=canonical>", f'<meta http-equiv="refresh" content="0; url={to}">', f'<link rel="stylesheet" href="{to}">', "<link <link <p>", None, f'<link rel="canonical" href="{to}"><link rel="canonical" href="{url()}">', ""]
         return tags[kind]
 
@@ -294,6 +295,13 @@ def test_verdicts_over_many_edges_match_sql(spark, tmp_path):
     assert sum(r.rule is None and r.verdict == "block" for r in got) > 3
 
 
+def test_dot_segments_are_resolved_as_a_browser_does(spark):
+    ways = ["/a/b/../c", "/a/./b", "/..", "/../../x", "/a/b/..", "/a/b/.", "/a/..?q=../z", "/a/b", "/a/.../b", "/.", "/a//../b", "/a/..b/c", "/x/y/../../../z?k=1", "/", "/%C3%A9/../é#../t"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(ways)], "i int, w string")
+    got = {r.i: r.to for r in df.select("i", urls._settled(F.col("w")).alias("to")).collect()}
+    assert got == {i: urljoin("http://h/", w)[len("http://h") :] for i, w in enumerate(ways)}
+
+
 def test_an_open_tag_is_not_searched_again_and_again(spark):
     df = spark.createDataFrame([(1, "http://a.net/x", "<link rel=" * 100_000)], "page_id long, url string, html string")
     assert urls.url_verdicts(df).first().verdict == "allow"

@@ -68,6 +68,21 @@ def _targets(html: Column) -> Column:
     return F.concat(found(_LINK, _CANONICAL, _HREF), found(_META, _REFRESH, _URL))
 
 
+def _settled(way: Column) -> Column:
+    """A path (with its query) without `.` and `..` segments; a `..` at the top goes nowhere."""
+    path = F.regexp_extract(way, "(?s)^([^?#]*)", 1)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    settled = F.concat(F.array_join(F.concat(kept, last), "/"), F.regexp_extract(way, "(?s)^[^?#]*(.*)$", 1))
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), settled).otherwise(way)
+
+
 def _whole(target: Column, host: Column, path: Column) -> Column:
     """A link's target as a whole URL, as seen from a page; null for an anchor, an empty one, or another scheme such as mailto."""
     here = F.concat(F.lit("http://"), host)
@@ -76,9 +91,9 @@ def _whole(target: Column, host: Column, path: Column) -> Column:
         F.when(F.instr(target, "://") > 0, target)
         .when((target == "") | F.startswith(target, F.lit("#")) | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
         .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(here, target))
+        .when(F.startswith(target, F.lit("/")), F.concat(here, _settled(target)))
         .when(F.startswith(target, F.lit("?")), F.concat(here, path, target))
-        .otherwise(F.concat(here, folder, F.regexp_replace(target, r"^(\./)+", "")))
+        .otherwise(F.concat(here, _settled(F.concat(folder, target))))
     )
 
 
@@ -86,8 +101,8 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict.
 
     A page's own rule decides it. Without one it takes its aliases' word: allow if a rule allows one of them, else block
-    if a rule blocks one of them, else allow. Targets are whole URLs, `//host/...`, or relative to the page's folder (`..`
-    is not resolved); `&amp;` is read as `&`. Anchors and other schemes make no edge.
+    if a rule blocks one of them, else allow. Targets are whole URLs, `//host/...`, or relative to the page's folder, with `.` and
+    `..` resolved; `&amp;` is read as `&`. Anchors and other schemes make no edge.
     Targets that are no pages here are judged as aliases too. Null URLs, or URLs without `://`, have empty host and path,
     fit no rule and have no alias; null html makes no edge. Repeated rows are each answered; other columns are not read.
     Rows whose own address has no edge never meet the components' shuffle.
@@ -115,6 +130,14 @@ def _sql_rule(host: str, path: str, what) -> str:
     return f"CASE {whens} END"
 
 
+def _settled_sql(way: str) -> str:
+    path = f"regexp_extract({way}, '(?s)^([^?#]*)', 1)"
+    parts = f"list_transform(string_split({path}, '/'), lambda s: [s])"
+    kept = f"list_reduce({parts}, lambda k, s: CASE s[1] WHEN '..' THEN k[1:greatest(len(k) - 1, 1)] WHEN '.' THEN k ELSE list_concat(k, s) END)"
+    last = f"CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN [''] ELSE [] END"
+    return f"CASE WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN array_to_string(list_concat({kept}, {last}), '/') || regexp_extract({way}, '(?s)^[^?#]*(.*)$', 1) ELSE {way} END"
+
+
 URL_SQL = rf"""
 WITH RECURSIVE parts AS (
   SELECT page_id, url, html,
@@ -131,9 +154,9 @@ targets AS (
 whole AS (
   SELECT address, CASE WHEN contains(target, '://') THEN target
       WHEN target = '' OR starts_with(target, '#') OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
-      WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || target
+      WHEN starts_with(target, '//') THEN 'http:' || target WHEN starts_with(target, '/') THEN 'http://' || host || {_settled_sql("target")}
       WHEN starts_with(target, '?') THEN 'http://' || host || path || target
-      ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || regexp_replace(target, '^(\./)+', '') END AS target
+      ELSE 'http://' || host || {_settled_sql("(coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || target)")} END AS target
   FROM targets),
 edges AS (
   SELECT DISTINCT address AS a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') || regexp_extract(target, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b
