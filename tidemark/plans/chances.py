@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import splitmix
+from tidemark.functions import bits, splitmix
 from tidemark.operators import inference
 from tidemark.plans import registry as r
 from tidemark.plans import studies
@@ -46,6 +46,7 @@ QUERIES: dict[str, r.Query] = {
     "welch_intervals": lambda s, d: inference.welch_intervals(r._contrasts(s, d), *studies.METRICS, alpha=ALPHA, support=SUPPORT),
     "zero_variance_mass": _mass,
     "unbiased_indices": lambda s, d: splitmix.bounded_indices(_streams(s, d), ["c_custkey"], "seed", "bound", DRAWS),
+    "double_bits": lambda s, d: r._t(s, d, "orders").select("o_orderkey", bits.double_hex(F.col("o_totalprice") / 7).alias("bits"), (bits.hex_double(bits.double_hex(F.col("o_totalprice") / 7)) == F.col("o_totalprice") / 7).alias("same")),
     "strict_json": lambda s, d: strict_json.violations(_documents(s, d), "text", "event_id"),
     "canonical_nested": lambda s, d: strict_json.canonical(_documents(s, d), "text", "event_id"),
 }
@@ -76,6 +77,7 @@ c AS (SELECT * REPLACE ((xor(z, z >> 27) * {SECOND}::UHUGEINT) % 184467440737095
 d AS (SELECT * REPLACE (xor(z, z >> 31) AS z) FROM c),
 e AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY k) - 1 AS draw FROM d WHERE z >= 18446744073709551616::UHUGEINT % n)
 SELECT c_custkey, draw, (z % n)::BIGINT AS index FROM e WHERE draw < {DRAWS}""",
+    "double_bits": "SELECT o_orderkey, lpad(lower(hex((o_totalprice / 7)::DOUBLE::BIT::UBIGINT)), 16, '0') AS bits, true AS same FROM orders",
     "strict_json": "SELECT event_id, CASE event_id % 5 WHEN 2 THEN 'repeated_key' WHEN 3 THEN 'trailing_text' ELSE 'not_a_number' END AS rule FROM events WHERE event_id % 5 >= 2",
     "canonical_nested": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN replace(props, ' ', '') ELSE '{"a":' || event_id || ',"z":[' || replace(props, ' ', '') || ']}' END AS canonical FROM events WHERE event_id % 5 < 2""",
 }
