@@ -75,8 +75,8 @@ def refits(rows: DataFrame, key: str, seq: str, vector: str, label: str, warmup:
         chunk, at = group["chunk"][0].as_py(), group["at"].to_numpy()
         order = np.argsort(at)
         at = at[order]
-        x = [group["x"].to_pylist()[i] for i in order]
-        label = [group["y"].to_pylist()[i] for i in order]
+        group = group.take(order)
+        x, label = group["x"].to_pylist(), group["y"].to_pylist()
         usable = np.array([v is not None and c is not None and None not in v and np.isfinite(v).all() for v, c in zip(x, label, strict=True)])
         out = []
         for refit in [0] if chunk == WARM else range(chunk * per + 1, (chunk + 1) * per + 1):
