@@ -237,6 +237,18 @@ def test_ratio_bootstrap_by_hand(spark):
     assert resample.percentile_ratio(zero, "a", "q", 99, "R").first().low is None
 
 
+def test_draws_of_members_in_several_blocks_and_groups(spark, monkeypatch):
+    """Members of a scenario are dealt by places and its replicates by groups; nothing goes to the driver but counts."""
+    cells = _cells(1)
+    at = resample.placed(spark.createDataFrame(cells, "scenario string, realisation int, a long, q long"))
+    monkeypatch.setattr(resample, "BLOCK", 3)
+    monkeypatch.setattr(resample, "GROUP", 40)
+    monkeypatch.setattr(resample, "DRAWS", 4)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toArrow", None)
+    got = {(r.b, r.scenario): (r.n, r.s) for r in resample.resampled(at, {"s": F.col("a")}, 25, "R").collect()}
+    assert got == {(b, g): (len(t), sum(c[2] for c in t)) for b in range(25) for g, t in zip("xy", _tape(cells, b, "R"), strict=True)}
+
+
 def test_slope_interval_by_hand(spark):
     rng = np.random.default_rng(2)
     rows = [(g, r, float(x), 0.0, float(2 * x + rng.normal() + 5 * (g == "x"))) for g in "xy" for r in range(8) for x in rng.integers(0, 9, 3)]
