@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import provenance
 
@@ -153,3 +154,20 @@ def test_rules_of_forks(spark):
     df = spark.createDataFrame(rows, "id string, parent_id string, start int, checkpoints array<int>, scenario string, realisation int")
     got = {(r.id, r.rule) for r in provenance.fork_violations(df, ["scenario", "realisation"]).collect()}
     assert got == {("b", "no_checkpoint"), ("c", "absent_parent"), ("d", "nested"), ("d", "no_checkpoint"), ("e", "other_stream"), ("f", "repeated")}
+
+
+def test_events_without_a_source_do_not_meet_in_one_task(spark):
+    """Half of a log may be new material; its rows are dealt like the others, and meet nothing."""
+    log = spark.range(4000).selectExpr("id as seq", "'node' as kind", "cast(id as string) as id", "cast(null as string) as source", "concat('t', id) as token")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ids = spark.createDataFrame([("0",), ("5",)], "key string")
+        met = provenance._looked_up(log, ids, "source", "key")
+        sizes = met.groupBy(F.spark_partition_id()).count().collect()
+        assert met.where("key is not null").count() == 0 and sum(r["count"] for r in sizes) == 4000
+        assert max(r["count"] for r in sizes) < 2000
+        assert provenance._looked_up(log, ids, "id", "key").where("key is not null").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranges import ranked
@@ -55,6 +55,14 @@ def _held(events: DataFrame, *keep: str) -> DataFrame:
     return events.where("id is not null").groupBy(F.col("kind").alias("held_kind"), F.col("id").alias("held_id")).agg(first)
 
 
+def _looked_up(events: DataFrame, table: DataFrame, by: str, key: str, also: Column | None = None) -> DataFrame:
+    """`events` left joined to `table` where `by` equals its `key`. Events without one meet nothing and are dealt by seq, not to one task."""
+    asked = events.withColumn("asks", F.col(by).isNotNull()).withColumn("dealt_by", F.coalesce(F.col(by).cast("string"), F.col("seq").cast("string")))
+    table = table.withColumn("answers", F.lit(True)).withColumn("its_key", F.col(key).cast("string"))
+    on = (F.col("asks") == F.col("answers")) & (F.col("dealt_by") == F.col("its_key"))
+    return asked.join(table, on if also is None else on & also, "left").drop("asks", "answers", "dealt_by", "its_key")
+
+
 def _rules(df: DataFrame, rules: dict, *keys: str) -> DataFrame:
     found = F.filter(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())), lambda r: r.isNotNull())
     return df.select(*keys, F.explode(found).alias("rule"))
@@ -72,15 +80,15 @@ def copy_violations(events: DataFrame, same: list[str], boundary: DataFrame | No
     held = _held(events, *kept)
     minted = events.where("source is null and token is not null").groupBy(F.col("token").alias("minted")).agg(F.min("seq").alias("minted_at"))
     own = held.select("held_kind", "held_id", F.col("first.seq").alias("first_seq"))
-    e = events.join(own, (F.col("kind") == F.col("held_kind")) & (F.col("id") == F.col("held_id")), "left").drop("held_kind", "held_id")
+    e = _looked_up(events, own, "id", "held_id", F.col("kind") == F.col("held_kind")).drop("held_kind", "held_id")
     sources = held.select("held_kind", "held_id", F.col("first").alias("old"))
-    e = e.join(sources, (F.col("kind") == F.col("held_kind")) & (F.col("source") == F.col("held_id")), "left").drop("held_kind", "held_id")
-    e = e.join(minted, F.col("token") == F.col("minted"), "left")
+    e = _looked_up(e, sources, "source", "held_id", F.col("kind") == F.col("held_kind")).drop("held_kind", "held_id")
+    e = _looked_up(e, minted, "token", "minted")
     trusted_source = trusted_id = F.lit(False)
     if boundary is not None:
         ids = boundary.select("id").where("id is not null").distinct()
-        e = e.join(ids.select(F.col("id").alias("trusted_source")), F.col("source") == F.col("trusted_source"), "left")
-        e = e.join(ids.select(F.col("id").alias("trusted_id")), F.col("id") == F.col("trusted_id"), "left")
+        e = _looked_up(e, ids.select(F.col("id").alias("trusted_source")), "source", "trusted_source")
+        e = _looked_up(e, ids.select(F.col("id").alias("trusted_id")), "id", "trusted_id")
         trusted_source, trusted_id = F.col("trusted_source").isNotNull(), F.col("trusted_id").isNotNull()
     copied = F.col("source").isNotNull()
     earlier = F.coalesce(F.col("old.seq") < F.col("seq"), F.lit(False))
