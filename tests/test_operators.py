@@ -249,6 +249,31 @@ def test_draws_of_members_in_several_blocks_and_groups(spark, monkeypatch):
     assert got == {(b, g): (len(t), sum(c[2] for c in t)) for b in range(25) for g, t in zip("xy", _tape(cells, b, "R"), strict=True)}
 
 
+def test_key_differences_take_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(checks, "TASK_ROWS", 10, raising=False)
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "k long, s string")
+    b = spark.createDataFrame([(1, "x"), (2, None), (4, "y"), (4, "y")], "k long, s string")
+    got = checks.key_differences(a, b, ["k", "s"])
+    want = [(2, None, "missing"), (2, None, "unexpected"), (3, "y", "missing"), (4, "y", "unexpected")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    many = spark.range(300).select(F.col("id").alias("k"))
+    assert checks.key_differences(many, many, ["k"]).rdd.getNumPartitions() == 60
+
+
+def test_ancestors_look_back_seldom_and_end_on_cycles(spark):
+    plans = lineage.store
+    edge = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, 4), (5, 1)], "child long, parent long")
+    joins = []
+    lineage.store = lambda df: (joins.append("LeftAnti" in df._jdf.queryExecution().optimizedPlan().toString()), plans(df))[1]
+    try:
+        got = sorted(map(tuple, lineage.ancestors(edge).collect()))
+    finally:
+        lineage.store = plans
+    cycle = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b]
+    assert got == sorted([*cycle, *((4, b) for b in (1, 2, 3)), *((5, b) for b in (1, 2, 3, 4))])
+    assert 0 < sum(joins) <= len(joins) // 4
+
+
 def test_slope_interval_by_hand(spark):
     rng = np.random.default_rng(2)
     rows = [(g, r, float(x), 0.0, float(2 * x + rng.normal() + 5 * (g == "x"))) for g in "xy" for r in range(8) for x in rng.integers(0, 9, 3)]

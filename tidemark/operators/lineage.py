@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.stored import store
 
+#: Rounds of generations between two looks at all pairs found.
+LOOK_BACK = 4
+
 
 def edges(records: DataFrame, node: str = "id", parents: str = "parents") -> DataFrame:
     """(child, parent), each pair once."""
@@ -18,19 +21,22 @@ def edges(records: DataFrame, node: str = "id", parents: str = "parents") -> Dat
 def ancestors(edge: DataFrame) -> DataFrame:
     """(node, ancestor) for every ancestor, the node itself excluded.
 
-    Each round goes one generation up from the pairs that the last one found and keeps those not yet known, so that a
-    pair is followed once however many paths lead to it.
+    Each round goes one generation up from the pairs that the last one found. Every LOOK_BACK rounds those already known
+    are taken out, so that the whole is shuffled seldom, a pair is followed LOOK_BACK times at most, and cycles end.
     """
     edge = store(edge)
     new = store(edge.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
-    found = [new]
+    found, rounds = [new], 0
     while new.limit(1).count():
+        rounds += 1
         up = new.join(edge, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor")).distinct()
-        if len(found) > 16:  # keeps the plan short
-            found = [store(reduce(DataFrame.union, found))]
-        new = store(up.join(reduce(DataFrame.union, found), ["node", "ancestor"], "left_anti"))
+        if rounds % LOOK_BACK == 0:
+            if len(found) > 16:  # keeps the plan short
+                found = [store(reduce(DataFrame.union, found).distinct())]
+            up = up.join(reduce(DataFrame.union, found), ["node", "ancestor"], "left_anti")
+        new = store(up)
         found.append(new)
-    return reduce(DataFrame.union, found).where("node != ancestor")
+    return reduce(DataFrame.union, found).where("node != ancestor").distinct()
 
 
 def depths(edge: DataFrame, roots: DataFrame) -> DataFrame:
