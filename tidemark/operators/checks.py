@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranges import ranked
 
+#: Rows of a task that compares keys, at most on average.
+TASK_ROWS = 1 << 19
+
 
 def key_differences(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys on one side only, with the side."""
-    a, b = expected.select(*keys).distinct(), observed.select(*keys).distinct()
-    return a.join(b, keys, "left_anti").withColumn("side", F.lit("missing")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("unexpected")))
+    """Keys on one side only, with the side. A key with a null equals none, so it is on one side only.
+
+    Both sides are dealt by key to as many tasks as their rows ask for, and each key is kept once.
+    """
+    a, b = expected.select(*keys, F.lit(1).alias("here"), F.lit(0).alias("there")), observed.select(*keys, F.lit(0).alias("here"), F.lit(1).alias("there"))
+    both = a.unionByName(b)
+    spark = both.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(both.count() / TASK_ROWS))
+    found = both.repartition(tasks, *keys).groupBy(*keys).agg(F.max("here").alias("here"), F.max("there").alias("there"))
+    no_match = reduce(lambda x, y: x | y, (F.col(k).isNull() for k in keys))
+    sides = F.array(F.when((F.col("here") == 1) & ((F.col("there") == 0) | no_match), "missing"), F.when((F.col("there") == 1) & ((F.col("here") == 0) | no_match), "unexpected"))
+    return found.select(*keys, F.explode(F.array_compact(sides)).alias("side"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
