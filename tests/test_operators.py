@@ -274,6 +274,23 @@ def test_ancestors_look_back_seldom_and_end_on_cycles(spark):
     assert 0 < sum(joins) <= len(joins) // 4
 
 
+def test_sweeps_by_ranges_give_the_same_split(spark, monkeypatch):
+    """More values than a task takes are dealt by ranges of their order, not one feature to a task."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(a), float(b)], int(a + rng.normal() > 0)) for i, (a, b) in enumerate(rng.normal(size=(120, 2)).round(2))]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int")
+    counts = trees.value_counts(trees.long_features(df, "id", "v", F.col("y")))
+    whole = trees.best_split(counts, min_leaf=3).first()
+    sweep = sorted(map(tuple, trees._swept(counts).collect()))
+    monkeypatch.setattr(trees, "TASK_ROWS", 10)
+    assert trees.best_split(counts, min_leaf=3).first() == whole
+    names = ["feature", "value", "nl", "ol", "nt", "ot", "after"]
+    ranged = trees._swept(counts)
+    got = {tuple(r[c] for c in names) for r in ranged.collect()}
+    monkeypatch.undo()
+    assert got == {tuple(r[c] for c in names) for r in trees._swept(counts).collect()} and len(got) == len(sweep)
+
+
 def test_slope_interval_by_hand(spark):
     rng = np.random.default_rng(2)
     rows = [(g, r, float(x), 0.0, float(2 * x + rng.normal() + 5 * (g == "x"))) for g in "xy" for r in range(8) for x in rng.integers(0, 9, 3)]

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.stored import store
+
+#: Values that are swept in one task, on average at most.
+TASK_ROWS = 1 << 18
+
 
 def long_features(rows: DataFrame, row_id: str, vector: str, label: Column) -> DataFrame:
     """(row_id, y, feature, value) with one row for each component."""
@@ -23,11 +30,35 @@ def midpoint(a: Column, b: Column) -> Column:
     return F.when((m > a) & (m <= b), m).otherwise(b)
 
 
+def _swept(counts: DataFrame, *by: str) -> DataFrame:
+    """Each value with nl and ol, the rows and ones up to it, nt and ot, those of its feature at its node, and the value after it.
+
+    Where there are more than TASK_ROWS values, they are dealt to ranges of their order, as many as that asks for; a range's
+    sums are added to those of the ranges before it, so no feature's values meet in one task.
+    """
+    keys = [*by, "feature"]
+    counts = store(counts.select(*keys, "value", "n", "ones"))
+    rows, of = counts.count(), keys
+    if rows > TASK_ROWS:
+        tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows / TASK_ROWS))
+        counts = store(counts.repartitionByRange(tasks, *keys, "value").withColumn("range", F.spark_partition_id()))
+        counts, of = counts.repartition(tasks, "range"), [*keys, "range"]
+    order = Window.partitionBy(*of).orderBy("value")
+    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*of)
+    swept = counts.select(*of, "value", F.sum("n").over(upto).alias("nl"), F.sum("ones").over(upto).alias("ol"), F.lead("value").over(order).alias("after"), *(() if rows > TASK_ROWS else (F.sum("n").over(whole).alias("nt"), F.sum("ones").over(whole).alias("ot"))))
+    if rows <= TASK_ROWS:
+        return swept
+    ranges = counts.groupBy(*of).agg(F.sum("n").alias("rn"), F.sum("ones").alias("ro"), F.min("value").alias("first"))
+    ranged = Window.partitionBy(*keys).orderBy("range")
+    earlier, every = ranged.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    ranges = ranges.select(*(F.col(c).alias(f"its_{c}") for c in of), F.coalesce(F.sum("rn").over(earlier), F.lit(0)).alias("bn"), F.coalesce(F.sum("ro").over(earlier), F.lit(0)).alias("bo"), F.lead("first").over(ranged).alias("next"), F.sum("rn").over(every).alias("nt"), F.sum("ro").over(every).alias("ot"))
+    joined = swept.join(ranges, [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in of])  # a row for each feature of a node, and for each range
+    return joined.select(*keys, "value", (F.col("nl") + F.col("bn")).alias("nl"), (F.col("ol") + F.col("bo")).alias("ol"), "nt", "ot", F.coalesce("after", "next").alias("after"))
+
+
 def best_split(counts: DataFrame, *by: str, min_leaf: int = 1) -> DataFrame:
     """The Gini split of each node: feature, threshold (midpoint of neighbours), impurity; the first feature and place win ties."""
-    order = Window.partitionBy(*by, "feature").orderBy("value")
-    upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by, "feature")
-    swept = counts.select(*by, "feature", "value", F.sum("n").over(upto).alias("nl"), F.sum("ones").over(upto).alias("ol"), F.sum("n").over(whole).alias("nt"), F.sum("ones").over(whole).alias("ot"), F.lead("value").over(order).alias("after"))
+    swept = _swept(counts, *by)
     nr, ones_r = F.col("nt") - F.col("nl"), F.col("ot") - F.col("ol")
     # n times Gini: 2 * ones * zeros / n, on both sides.
     impurity = 2 * F.col("ol") * (F.col("nl") - F.col("ol")) / F.col("nl") + 2 * ones_r * (nr - ones_r) / nr
@@ -77,7 +108,7 @@ def grow(rows: DataFrame, row_id: str, vector: str, label: Column, depth: int, m
     for _ in range(depth):
         long = base.select("node", "y", F.posexplode("vector").alias("feature", "value"))
         mixed = long.where("feature = 0").groupBy("node").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).where("ones > 0 and ones < n").select("node")
-        splits = best_split(value_counts(long.join(mixed, "node", "left_semi"), "node"), "node", min_leaf=min_leaf)
+        splits = store(best_split(value_counts(long.join(mixed, "node", "left_semi"), "node"), "node", min_leaf=min_leaf))
         levels.append(splits)
         goes_left = F.get("vector", F.col("feature")) < F.col("threshold")
         base = base.join(splits.select("node", "feature", "threshold"), "node").select("row_id", "y", "vector", (2 * F.col("node") + F.when(goes_left, 0).otherwise(1)).alias("node"))
