@@ -291,6 +291,23 @@ def test_sweeps_by_ranges_give_the_same_split(spark, monkeypatch):
     assert got == {tuple(r[c] for c in names) for r in trees._swept(counts).collect()} and len(got) == len(sweep)
 
 
+def test_trees_count_values_in_tasks_by_rows(spark, monkeypatch):
+    """A task explodes and counts some TASK_ROWS components, however few files or partitions hold the rows; a frequent value is added up."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(a), float(i % 2), float(b)], int(a > 0.3)) for i, (a, b) in enumerate(rng.normal(size=(90, 2)).round(2))]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int").coalesce(1)
+    whole = sorted(map(tuple, trees.grow(df, "id", "v", F.col("y"), 2, 3).collect()))
+    long = trees.long_features(df, "id", "v", F.col("y"))
+    cuts = sorted(map(tuple, trees.candidate_thresholds(long, 5).collect()))
+    monkeypatch.setattr(trees, "TASK_ROWS", 10)
+    even, tasks = trees.dealt(df, "v")
+    assert tasks == even.rdd.getNumPartitions() == 27 and max(even.rdd.glom().map(len).collect()) <= 5
+    counts = trees.value_counts(trees.long_features(even, "id", "v", F.col("y")), tasks=tasks)
+    assert counts.rdd.getNumPartitions() == 27 and counts.where("feature = 1").count() > 2
+    assert sorted(map(tuple, trees.grow(df, "id", "v", F.col("y"), 2, 3).collect())) == whole
+    assert sorted(map(tuple, trees.candidate_thresholds(long, 5).collect())) == cuts and len(cuts) == 11
+
+
 def test_slope_interval_by_hand(spark):
     rng = np.random.default_rng(2)
     rows = [(g, r, float(x), 0.0, float(2 * x + rng.normal() + 5 * (g == "x"))) for g in "xy" for r in range(8) for x in rng.integers(0, 9, 3)]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.stored import store
-from tidemark.operators.trees import best_split, value_counts
+from tidemark.operators.trees import best_split, dealt, value_counts
 
 #: Trees that are sent to every task in one go, by their nodes; more are evaluated in several passes over the rows.
 SENT_NODES = 1 << 18
@@ -39,9 +39,10 @@ def grow_nodes(rows: DataFrame, by: list[str], vector: str, label: str, depth: i
         if level == depth:
             levels.append(store(counts.select(*keys, F.lit(None).cast("int").alias("feature"), F.lit(None).cast("double").alias("threshold"), action, "n", "ones")))
             break
-        mixed = counts.where("ones > 0 and ones < n").select(*keys)
-        long = base.join(mixed, keys, "left_semi").select(*keys, "y", F.posexplode("vector").alias("feature", "value"))
-        splits = best_split(value_counts(long, *keys), *keys, min_leaf=min_leaf).select(*keys, "feature", "threshold")
+        counts = store(counts)
+        even, tasks = dealt(base.join(counts.where("ones > 0 and ones < n").select(*keys), keys, "left_semi"), "vector")
+        long = even.select(*keys, "y", F.posexplode("vector").alias("feature", "value"))
+        splits = best_split(value_counts(long, *keys, tasks=tasks), *keys, min_leaf=min_leaf).select(*keys, "feature", "threshold")
         levels.append(store(counts.join(splits, keys, "left").select(*keys, "feature", "threshold", action, "n", "ones")))
         if not levels[-1].where("feature is not null").limit(1).count():
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,24 @@ def long_features(rows: DataFrame, row_id: str, vector: str, label: Column) -> D
     return rows.select(F.col(row_id).alias("row_id"), label.alias("y"), F.posexplode(vector).alias("feature", "value"))
 
 
-def value_counts(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows and ones of each distinct value of each feature: what the sweep needs, aggregated before any window."""
-    return rows.groupBy(*by, "feature", "value").agg(F.count("*").alias("n"), F.sum("y").alias("ones"))
+def dealt(rows: DataFrame, vector: str) -> tuple[DataFrame, int]:
+    """`rows` in tasks of some TASK_ROWS components of their vectors each, and how many such tasks there are."""
+    values = rows.agg(F.sum(F.size(vector).cast("long"))).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(values / TASK_ROWS))
+    return rows.repartition(tasks), tasks
+
+
+def value_counts(rows: DataFrame, *by: str, tasks: int | None = None) -> DataFrame:
+    """Rows and ones of each distinct value of each feature: what the sweep needs, aggregated before any window.
+
+    With `tasks` the rows are counted in that many, and a value may have several rows, one for each task of `rows` that held
+    it: `_swept` adds them up.
+    """
+    keys = [*by, "feature", "value"]
+    if tasks:
+        keys.append("part")
+        rows = rows.withColumn("part", F.spark_partition_id()).repartition(tasks, *keys)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("ones")).drop("part")
 
 
 def midpoint(a: Column, b: Column) -> Column:
@@ -30,29 +46,35 @@ def midpoint(a: Column, b: Column) -> Column:
     return F.when((m > a) & (m <= b), m).otherwise(b)
 
 
-def _swept(counts: DataFrame, *by: str) -> DataFrame:
+def _swept(counts: DataFrame, *by: str, total: Callable[[str], Column] = F.sum) -> DataFrame:
     """Each value with nl and ol, the rows and ones up to it, nt and ot, those of its feature at its node, and the value after it.
 
-    Where there are more than TASK_ROWS values, they are dealt to ranges of their order, as many as that asks for; a range's
-    sums are added to those of the ranges before it, so no feature's values meet in one task.
+    Several rows of one value become one by `total`. Where there are more than TASK_ROWS rows, they are dealt to ranges of
+    their order, as many as that asks for; a range's sums are added to those of the ranges before it, so no feature's values
+    meet in one task.
     """
     keys = [*by, "feature"]
     counts = store(counts.select(*keys, "value", "n", "ones"))
     rows, of = counts.count(), keys
+    merged = [total("n").alias("n"), total("ones").alias("ones")]
     if rows > TASK_ROWS:
         tasks = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows / TASK_ROWS))
-        counts = store(counts.repartitionByRange(tasks, *keys, "value").withColumn("range", F.spark_partition_id()))
-        counts, of = counts.repartition(tasks, "range"), [*keys, "range"]
+        ranged = counts.repartitionByRange(tasks, *keys, "value").groupBy(*keys, "value").agg(*merged)  # within the ranges
+        counts = store(ranged.withColumn("range", F.spark_partition_id()))
+        swept, of = counts.repartition(tasks, "range"), [*keys, "range"]
+    else:
+        swept = counts.groupBy(*keys, "value").agg(*merged)
     order = Window.partitionBy(*of).orderBy("value")
     upto, whole = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*of)
-    swept = counts.select(*of, "value", F.sum("n").over(upto).alias("nl"), F.sum("ones").over(upto).alias("ol"), F.lead("value").over(order).alias("after"), *(() if rows > TASK_ROWS else (F.sum("n").over(whole).alias("nt"), F.sum("ones").over(whole).alias("ot"))))
+    swept = swept.select(*of, "value", F.sum("n").over(upto).alias("nl"), F.sum("ones").over(upto).alias("ol"), F.lead("value").over(order).alias("after"), *(() if rows > TASK_ROWS else (F.sum("n").over(whole).alias("nt"), F.sum("ones").over(whole).alias("ot"))))
     if rows <= TASK_ROWS:
         return swept
     ranges = counts.groupBy(*of).agg(F.sum("n").alias("rn"), F.sum("ones").alias("ro"), F.min("value").alias("first"))
     ranged = Window.partitionBy(*keys).orderBy("range")
     earlier, every = ranged.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     ranges = ranges.select(*(F.col(c).alias(f"its_{c}") for c in of), F.coalesce(F.sum("rn").over(earlier), F.lit(0)).alias("bn"), F.coalesce(F.sum("ro").over(earlier), F.lit(0)).alias("bo"), F.lead("first").over(ranged).alias("next"), F.sum("rn").over(every).alias("nt"), F.sum("ro").over(every).alias("ot"))
-    joined = swept.join(ranges, [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in of])  # a row for each feature of a node, and for each range
+    # A row for each feature of a node, and for each range: stored, so that the join knows how few they are.
+    joined = swept.join(store(ranges), [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in of])
     return joined.select(*keys, "value", (F.col("nl") + F.col("bn")).alias("nl"), (F.col("ol") + F.col("bo")).alias("ol"), "nt", "ot", F.coalesce("after", "next").alias("after"))
 
 
@@ -72,15 +94,16 @@ def candidate_thresholds(rows: DataFrame, count: int) -> DataFrame:
 
     Of V values, slot k of S = min(count, V - 1) is after the value at place floor(k (V - 1) / (S + 1)). Equal cuts count once.
     """
-    order = Window.partitionBy("feature").orderBy("value")
-    values = rows.select("feature", "value").distinct()
-    placed = values.select("feature", "value", F.lead("value").over(order).alias("after"), (F.row_number().over(order) - 1).cast("long").alias("place"))
-    sizes = values.groupBy("feature").agg((F.count("*") - 1).alias("gaps"))
-    slots = F.least(F.lit(count), F.col("gaps"))
-    slot = F.explode(F.when(slots == 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), slots.cast("int"))))
-    wanted = sizes.select("feature", "gaps", slots.alias("slots"), slot.alias("slot")).withColumn("place", F.floor(F.col("slot") * F.col("gaps") / (F.col("slots") + 1)).cast("long"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows.count() / TASK_ROWS))
+    values = value_counts(rows.select("feature", "value", F.lit(0).alias("y")), tasks=tasks).withColumn("n", F.lit(1).cast("long"))
+    swept = _swept(values, total=F.max).select("feature", "value", "after", (F.col("nl") - 1).alias("place"), (F.col("nt") - 1).alias("gaps"))
+    slots = F.least(F.lit(count).cast("long"), F.col("gaps"))
+    # The first slot whose place is not before this value's, and which is here if its place is this one.
+    first = F.greatest(F.ceil(F.col("place") * (slots + 1) / F.col("gaps")), F.lit(1).cast("long"))
+    slot = F.when(F.col("gaps") == 0, F.lit(0).cast("long")).otherwise(first)
+    here = (F.col("gaps") == 0) | ((F.col("slot") <= slots) & (F.floor(F.col("slot") * F.col("gaps") / (slots + 1)) == F.col("place")))
     cut = F.when(F.col("after").isNull(), F.col("value")).otherwise(midpoint(F.col("value"), F.col("after")))
-    return placed.join(wanted, ["feature", "place"]).groupBy("feature", cut.alias("cut")).agg(F.min("slot").alias("slot")).select("feature", "slot", "cut")
+    return swept.withColumn("slot", slot.cast("int")).where(here).groupBy("feature", cut.alias("cut")).agg(F.min("slot").alias("slot")).select("feature", "slot", "cut")
 
 
 def binned_counts(rows: DataFrame, cuts: list[float]) -> DataFrame:
@@ -106,9 +129,10 @@ def grow(rows: DataFrame, row_id: str, vector: str, label: Column, depth: int, m
     base = rows.select(F.col(row_id).alias("row_id"), label.alias("y"), F.col(vector).alias("vector"), F.lit(1).cast("long").alias("node"))
     levels = []
     for _ in range(depth):
-        long = base.select("node", "y", F.posexplode("vector").alias("feature", "value"))
-        mixed = long.where("feature = 0").groupBy("node").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).where("ones > 0 and ones < n").select("node")
-        splits = store(best_split(value_counts(long.join(mixed, "node", "left_semi"), "node"), "node", min_leaf=min_leaf))
+        mixed = store(base.where(F.size("vector") > 0).groupBy("node").agg(F.sum("y").alias("ones"), F.count("*").alias("n")).where("ones > 0 and ones < n").select("node"))
+        even, tasks = dealt(base.join(mixed, "node", "left_semi"), "vector")
+        long = even.select("node", "y", F.posexplode("vector").alias("feature", "value"))
+        splits = store(best_split(value_counts(long, "node", tasks=tasks), "node", min_leaf=min_leaf))
         levels.append(splits)
         goes_left = F.get("vector", F.col("feature")) < F.col("threshold")
         base = base.join(splits.select("node", "feature", "threshold"), "node").select("row_id", "y", "vector", (2 * F.col("node") + F.when(goes_left, 0).otherwise(1)).alias("node"))

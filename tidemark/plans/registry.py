@@ -79,7 +79,7 @@ LINEAGE_SQL = """edges AS (
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    return trees.long_features(_t(spark, d, "embeddings"), "vec_id", "embedding", (F.col("label") < 5).cast("int")).withColumn("value", F.col("value").cast("double"))
+    return trees.long_features(trees.dealt(_t(spark, d, "embeddings"), "embedding")[0], "vec_id", "embedding", (F.col("label") < 5).cast("int")).withColumn("value", F.col("value").cast("double"))
 
 
 FEATURES_SQL = """long AS (
