@@ -162,6 +162,21 @@ def test_a_passage_whose_minima_stand_in_several_earlier_documents(spark):
     assert {(r.doc_id, r.first_doc_id) for r in rows} == {(51, 50), (52, 50)} and all(r.start <= 50 and r.end >= 110 for r in rows)
 
 
+def test_near_passages_whose_minima_stand_in_several_earlier_documents(spark):
+    """No 50 words in a row are equal, and every shingle has another first document than the near copy."""
+    rng = np.random.default_rng(8)
+    prose = lambda size: [f"w{x}" for x in rng.integers(0, 10**6, size)]
+    texts, wanted = [], []
+    for _ in range(30):
+        passage = prose(80)
+        texts += [" ".join(prose(20) + passage[a : a + 12] + prose(60)) for a in range(0, 70, 5)]
+        wanted.append((len(texts) + 1, len(texts)))
+        texts += [" ".join(prose(50) + p + prose(50)) for p in (passage, passage[:40] + prose(1) + passage[41:])]
+    rows = passages.repeated_passages(docs(spark, texts)).collect()
+    got = {(r.doc_id, r.first_doc_id) for r in rows if r.start <= 52 and r.end >= 128}
+    assert got <= set(wanted) and len(got) >= 0.9 * len(wanted), len(got)
+
+
 def test_passages_of_repeated_ids_and_a_long_text(spark):
     rng = np.random.default_rng(6)
     prose = lambda size: [f"w{x}" for x in rng.integers(0, 10**6, size)]

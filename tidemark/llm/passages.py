@@ -122,6 +122,44 @@ def candidate_pairs(found: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.where(F.size(F.array_distinct(F.transform("spots", lambda s: s["hash"]))) >= ENOUGH)
 
 
+def met_minima(holders: DataFrame, width: int) -> DataFrame:
+    """(key, doc_id): for each two minima, of different hash functions, that are those of one stretch of `width` shingles, a hash of both.
+
+    Of one hash function every stretch has one minimum, so windows are runs of stretches' starts that don't overlap, and
+    the pairs are no more than the windows of both. A document's windows meet in one row.
+    """
+    start = F.greatest(F.col("place") - F.col("left"), F.col("place") - (width - 1)), F.least(F.col("place"), F.col("place") + F.col("right") - (width - 1))
+    spots = holders.groupBy("doc_id").agg(F.collect_set(F.struct("key", "hash", start[0].alias("low"), start[1].alias("high"))).alias("spots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            owner = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+            key, hash_, low, high = (x.to_numpy() for x in lists.flatten().flatten())
+            base = owner.astype(np.int64) << 32  # Fixed value: places are 32 bits.
+            low, high = base + low, base + high
+            sides = []
+            for j in range(HASHES):
+                at = np.flatnonzero(hash_ == j)
+                sides.append(at[np.argsort(low[at], kind="stable")])
+            for i in range(HASHES):
+                for j in range(i + 1, HASHES):
+                    a, b = sides[i], sides[j]
+                    # Windows of texts with one id may overlap, so ends are taken as the furthest so far, and looked at again.
+                    first = np.searchsorted(np.maximum.accumulate(high[b]), low[a]) if len(b) else np.zeros(len(a), np.int64)
+                    n = np.maximum(np.searchsorted(low[b], high[a], "right") - first, 0)
+                    one = np.repeat(a, n)
+                    two = b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)] if n.sum() else b[:0]
+                    true = high[two] >= low[one]
+                    one, two = one[true], two[true]
+                    both = mix64(key[one].view(np.uint64) ^ mix64(key[two].view(np.uint64) + np.uint64(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(ids[owner[one]])], ["key", "doc_id"])
+        give_back()
+
+    return small_batches(spots).mapInArrow(run, "key long, doc_id long")
+
+
 def stretch_hashes(tokens: np.ndarray, low: int, high: int, width: int) -> np.ndarray:
     """A hash of each of the stretches of `width` shingles that lie in low..high (end exclusive)."""
     n = high - low - width + 1
@@ -160,6 +198,15 @@ def uncovered(met: DataFrame, found: DataFrame, k: int, width: int) -> DataFrame
     return met.join(spans, "doc_id", "left").where(~F.coalesce(inside, F.lit(False)))
 
 
+def outermost(more: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `more` that lie in no longer passage of their document in either table, and in no equal one with an earlier document."""
+    span = F.struct("start", "end", F.col("first_doc_id").alias("first"))
+    spans = found.join(more.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(more).groupBy("doc_id").agg(F.collect_set(span).alias("spans"))
+    length = F.col("end") - F.col("start")
+    holds = lambda s: (s["start"] <= F.col("start")) & (F.col("end") <= s["end"]) & ((s["end"] - s["start"] > length) | (s["first"] < F.col("first_doc_id")))
+    return more.join(spans, "doc_id").where(~F.exists("spans", holds)).select(*more.columns)
+
+
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
     return [*zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
@@ -213,7 +260,7 @@ def _alike(first: np.ndarray, second: np.ndarray, where: np.ndarray, group: list
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, width: int, least: float) -> DataFrame:
-    """Passages of each candidate pair, from both whole texts; pairs with null spots have a whole stretch in common."""
+    """Passages of each candidate pair, from both whole texts; pairs with null spots have a whole stretch or two of its minima in common."""
     wanted = pairs.select(F.col("first").alias("doc_id")).union(pairs.select("doc_id")).distinct()
     texts = only(docs, store(wanted))
     both = pairs.join(texts, "doc_id").join(texts.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first")
@@ -251,7 +298,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, similari
     """Passages of `min_words` or more words that a document shares with one of smaller id.
 
     Every stretch of `min_words` words that an earlier document holds too lies in one of the rows; of near passages, those
-    where ENOUGH hash functions agree with one earlier document.
+    where ENOUGH hash functions agree with one earlier document that is the first to hold one of these minima, or the first
+    to hold two of them in one stretch.
 
     doc_id, start, end (words, end exclusive), first_doc_id, first_start, first_end, similarity (of the sets of k-word
     shingles). Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. One row for each passage of each document but the
@@ -265,6 +313,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, similari
     pairs = store(candidate_pairs(made, firsts))
     found = store(verify(pairs, docs, k, width, similarity))
     # What met an earlier document and is in no passage yet: that document may lack the passage that later ones share.
+    # Near passages: two minima of one stretch have a first document together, which may be the first of neither.
+    open_keys = uncovered(made.join(firsts, "key").where("doc_id > first"), found, k, width).select("key").distinct()
+    both = store(met_minima(made.join(store(open_keys), "key", "left_semi"), width).distinct())
+    near = both.join(store(first_holders(both)), "key").where("doc_id > first").select("first", "doc_id").distinct()
+    near = near.join(found.select(F.col("first_doc_id").alias("first"), "doc_id").distinct(), ["first", "doc_id"], "left_anti")
+    near = near.withColumn("spots", F.lit(None).cast(pairs.schema["spots"].dataType))
+    found = store(found.unionByName(outermost(store(verify(store(near), docs, k, width, similarity)), found)))
     one = made.where("hash = 0")  # each stretch is in one window of each hash function
     open_keys = uncovered(one.join(firsts, "key").where("doc_id > first"), found, k, width).select("key").distinct()
     holders = one.join(store(open_keys), "key", "left_semi")
