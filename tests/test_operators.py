@@ -249,6 +249,18 @@ def test_draws_of_members_in_several_blocks_and_groups(spark, monkeypatch):
     assert got == {(b, g): (len(t), sum(c[2] for c in t)) for b in range(25) for g, t in zip("xy", _tape(cells, b, "R"), strict=True)}
 
 
+def test_draws_are_made_once_in_a_job_of_their_own(spark):
+    """What waits for a broadcast never shares slots with draws: the plans over replicates read stored sums."""
+    df = spark.createDataFrame(_cells(1), "scenario string, realisation int, a long, q long")
+    plans = [
+        resample.bootstrap_t_ratio(df, "a", "q", 99, "R"), resample.percentile_ratio(df, "a", "q", 99, "R"), resample.bootstrap_t(df, "a", 99, "R"), resample.percentile_interval(df, "a", 99, "R"),
+        resample.max_t(df, ["a", "q"], 99, "R"), resample.cluster_interval(df, ["a"], 99, "R", 0.05), resample.slope_interval(df, "a", ["q"], 99, "R"),
+    ]
+    for plan in plans:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsInArrow" not in text and "Scan ExistingRDD" not in text
+
+
 def test_key_differences_take_tasks_by_rows(spark, monkeypatch):
     monkeypatch.setattr(checks, "TASK_ROWS", 10, raising=False)
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "k long, s string")
