@@ -55,6 +55,21 @@ def test_fitting_is_trying_every_cut(depth, min_leaf):
         assert got == grown_by_force(x.tolist(), y.tolist(), depth, min_leaf)
 
 
+@pytest.mark.parametrize("depth, min_leaf", [(None, 1), (2, 2), (3, 4), (0, 1)])
+def test_trees_side_by_side_are_those_fitted_alone(depth, min_leaf):
+    rng = np.random.default_rng(5)
+    x, y, held = rng.integers(-3, 4, (300, 20, 3)) / 2.0, rng.integers(0, 2, (300, 20)), rng.random((300, 20)) < rng.random((300, 1))
+    held[0] = False
+    x[1], x[2, :, 1], y[3] = 1.0, 0.0, 1
+    got = [{} for _ in x]
+    for level in rolling.fit_trees(x, y, held, depth, min_leaf):
+        for tree, node, feature, threshold, action in zip(*(c.tolist() for c in level), strict=True):
+            assert node not in got[tree]
+            got[tree][node] = (None, None, action) if feature < 0 else (feature, threshold, action)
+    for one, v, c, h in zip(got, x, y, held, strict=True):
+        assert one == {node: tuple(rest) for node, *rest in rolling.fit_tree(v[h], c[h], depth, min_leaf)}
+
+
 def test_relational_growth_of_many_trees_is_the_same(spark):
     rng = np.random.default_rng(6)
     rows = [(int(t), [float(v) for v in rng.integers(0, 9, 3)], int(rng.integers(0, 2))) for t in range(5) for _ in range(int(rng.integers(1, 60)))]

@@ -12,14 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.operators import forests
 
 #: The chunk of the rows before the first prediction.
 WARM = -1
 
+#: Trees that are fitted side by side.
+TOGETHER = 1024
+
 
 def fit_tree(x: np.ndarray, y: np.ndarray, depth: int | None = None, min_leaf: int = 1) -> Iterator[tuple[int, int | None, float | None, int]]:
     """(node, feature, threshold, action) of the greedy Gini tree of a few rows, by the rules of `forests.grow_nodes`."""
@@ -51,6 +56,47 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int | None = None, min_leaf: i
             todo += [(2 * node, rows[left]), (2 * node + 1, rows[~left])]
 
 
+def fit_trees(x: np.ndarray, y: np.ndarray, held: np.ndarray, depth: int | None = None, min_leaf: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """`fit_tree` of many trees side by side: (tree, node, feature, threshold, action) of a level's nodes at a time.
+
+    x is (tree, row, feature), y (tree, row), and held (tree, row) says which rows a tree learns from; feature is -1 at a
+    leaf. What isn't held must not be NaN.
+    """
+    order = np.argsort(np.where(held[:, :, None], x, np.inf), axis=1, kind="stable").transpose(0, 2, 1)  # (tree, feature, place)
+    values = np.take_along_axis(x.transpose(0, 2, 1), order, 2)
+    places, k = x.shape[1], x.shape[2]
+    tree, node, rows = np.arange(len(x)), np.ones(len(x), np.int64), held
+    while len(tree):
+        n, ones = rows.sum(1), np.where(rows, y[tree], 0).sum(1)
+        action, feature, threshold = (2 * ones > n).astype(np.int32), np.full(len(tree), -1, np.int32), np.full(len(tree), np.nan)
+        level = int(node[0]).bit_length()
+        split = np.flatnonzero((ones > 0) & (ones < n)) if depth is None or level <= depth else np.empty(0, np.int64)
+        if len(split):
+            t = tree[split]
+            into = np.take_along_axis(np.broadcast_to(rows[split][:, None, :], (len(t), k, places)), order[t], 2)
+            left_n = np.cumsum(into, axis=2)
+            left_1 = np.cumsum(np.where(into, np.take_along_axis(np.broadcast_to(y[t][:, None, :], into.shape), order[t], 2), 0), axis=2)
+            # The next value of the node after each place: values ascend, so it is the least of those that follow.
+            after = np.full(into.shape, np.inf)
+            after[:, :, :-1] = np.minimum.accumulate(np.where(into, values[t], np.inf)[:, :, :0:-1], axis=2)[:, :, ::-1]
+            all_n, all_1 = n[split][:, None, None], ones[split][:, None, None]
+            right_n, right_1 = all_n - left_n, all_1 - left_1
+            fits = into & (right_n > 0) & (after != values[t]) & (left_n >= min_leaf) & (right_n >= min_leaf)
+            impurity = np.round((2 * left_1 * (left_n - left_1) / np.maximum(left_n, 1) + 2 * right_1 * (right_n - right_1) / np.maximum(right_n, 1)) / all_n, 9)
+            flat = np.where(fits, impurity, np.inf).reshape(len(t), -1)  # the first feature, then the first place
+            best = flat.argmin(1)
+            at = np.arange(len(t))
+            found = np.isfinite(flat[at, best])
+            split, t, best, at = split[found], t[found], best[found], at[found]
+            f, place = np.divmod(best, places)
+            a, b = values[t, f, place], after[at, f, place]
+            middle = a / 2 + b / 2
+            feature[split], threshold[split] = f, np.where((a < middle) & (middle <= b), middle, b)
+        yield tree, node, feature, threshold, action
+        goes = x[tree[split], :, feature[split]] < threshold[split][:, None]
+        tree, node, rows = np.concatenate([tree[split]] * 2), np.concatenate([2 * node[split], 2 * node[split] + 1]), np.concatenate([rows[split] & goes, rows[split] & ~goes])
+
+
 def refits(rows: DataFrame, key: str, seq: str, vector: str, label: str, warmup: int, window: int | None = None, every: int | None = None, depth: int | None = None, min_leaf: int = 1) -> DataFrame:
     """The node tables of all trees: key, refit (0 is the warm-up's), node, feature, threshold, action, fitted_at.
 
@@ -68,31 +114,45 @@ def refits(rows: DataFrame, key: str, seq: str, vector: str, label: str, warmup:
         of = lambda r: F.floor((r - 1) / per).cast("long")
         chunks = F.when(last >= first, F.concat(chunks, F.sequence(of(first), of(last)))).otherwise(chunks)
     dealt = rows.select(F.col(key).alias("key"), F.explode(chunks).alias("chunk"), index.cast("long").alias("at"), F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("int").alias("y"))
-    names = ["key", "refit", "node", "feature", "threshold", "action", "fitted_at"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64()]
-
-    def run(group: pa.Table) -> pa.Table:
-        chunk, at = group["chunk"][0].as_py(), group["at"].to_numpy()
-        order = np.argsort(at)
-        at = at[order]
-        group = group.take(order)
-        x, label = group["x"].to_pylist(), group["y"].to_pylist()
-        usable = np.array([v is not None and c is not None and None not in v and np.isfinite(v).all() for v, c in zip(x, label, strict=True)])
-        out = []
-        for refit in [0] if chunk == WARM else range(chunk * per + 1, (chunk + 1) * per + 1):
-            end = warmup + refit * (every or 0)
-            if end > at[-1]:
-                break
-            start = 0 if refit == 0 else end - window
-            held = np.flatnonzero(usable & (at > start) & (at <= end))
-            grown = fit_tree(np.array([x[i] for i in held], float), np.array([label[i] for i in held], np.int64), depth, min_leaf) if len(held) else [(1, None, None, 0)]
-            out += [(refit, *node, end) for node in grown]
-        columns = [*zip(*out, strict=True)] if out else [[]] * len(types)
-        keys = pa.chunked_array([pa.array([group["key"][0].as_py()] * len(out), group.schema.field("key").type)])
-        return pa.table([keys, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
-
-    kind = rows.schema[key].dataType.simpleString()
-    return dealt.groupBy("key", "chunk").applyInArrow(run, f"key {kind}, refit bigint, node bigint, feature int, threshold double, action int, fitted_at bigint")
+    whole = F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.col("y").isNotNull()
+    row = F.struct("at", F.when(whole, F.col("x")).alias("x"), F.when(whole, F.col("y")).alias("y"))
+    grouped = dealt.groupBy("key", "chunk").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    # A chunk has at most two windows of rows, or the warm-up's; each of its trees takes its own.
+    end = warmup + F.col("refit") * (every or 0)
+    own = F.when(F.col("chunk") == WARM, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col("chunk") * per + 1, (F.col("chunk") + 1) * per))
+    reached = F.element_at("rows", -1)["at"]
+    asked = grouped.select("key", "rows", reached.alias("last"), F.explode(own).alias("refit")).withColumn("fitted_at", end.cast("long")).where(F.col("fitted_at") <= F.col("last"))
+    since = F.when(F.col("refit") == 0, F.lit(0)).otherwise(F.col("fitted_at") - (window or 0))
+    learned = F.filter("rows", lambda v: v["x"].isNotNull() & (v["at"] > F.col("since")) & (v["at"] <= F.col("fitted_at")))
+    sets = asked.withColumn("since", since).select("key", "refit", "fitted_at", learned.alias("rows"))
+    bare = sets.select("key", "refit", "fitted_at", F.transform("rows", lambda v: v["x"]).alias("x"), F.transform("rows", lambda v: v["y"]).alias("y"))
+    kind = rows.schema[key].dataType
+    names, types = ["key", "refit", "node", "feature", "threshold", "action", "fitted_at"], [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64()]
+
+    def grow(part: pa.RecordBatch) -> pa.RecordBatch:
+        n, vectors = pc.list_value_length(part.column("y")).to_numpy(), part.column("x").flatten()
+        wide = pc.list_value_length(vectors).to_numpy()
+        held = np.arange(max(int(n.max()), 1)) < n[:, None]
+        k = int(wide.max(initial=1))
+        widths = np.zeros(held.shape, np.int64)
+        widths[held] = wide
+        if (held & (widths != widths[:, :1])).any():
+            raise ValueError("vectors of one tree differ in length")
+        known = np.zeros((len(wide), k))
+        known[np.arange(k) < wide[:, None]] = vectors.flatten().to_numpy()  # a feature that a key lacks is constant, so no tree splits on it
+        padded, label = np.zeros((*held.shape, k)), np.zeros(held.shape, np.int64)
+        padded[held], label[held] = known, part.column("y").flatten().to_numpy()
+        tree, node, feature, threshold, action = map(np.concatenate, zip(*fit_trees(padded, label, held, depth, min_leaf), strict=True))
+        leaf = feature < 0
+        columns = [part.column("key").take(pa.array(tree)), part.column("refit").take(pa.array(tree)), pa.array(node), pa.array(feature, mask=leaf), pa.array(threshold, mask=leaf), pa.array(action), part.column("fitted_at").take(pa.array(tree))]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, TOGETHER):
+                yield grow(batch.slice(low, TOGETHER))
+
+    return bare.mapInArrow(run, f"key {kind.simpleString()}, refit bigint, node bigint, feature int, threshold double, action int, fitted_at bigint")
 
 
 def predictions(rows: DataFrame, trees: DataFrame, key: str, seq: str, vector: str, warmup: int, every: int | None = None) -> DataFrame:
