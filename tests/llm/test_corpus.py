@@ -357,6 +357,24 @@ def test_passages_cover_every_repeat(spark):
     assert passages.repeated_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_stretches_of_many_texts_are_hashed_together(spark):
+    """Keys agree exactly where stretches do; ranges that overlap are one, and those beyond a text hold nothing."""
+    words = [f"w{i % 7}" for i in range(60)]
+    texts = {1: words, 2: words[7:40] + ["x"], 3: ["y"] + words[:30], 4: words[:4]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").coalesce(1)
+    ranges = [(1, 0, 12), (1, 8, 20), (1, 50, 90), (2, 0, 30), (3, 3, 26), (3, 100, 120), (4, 0, 9)]
+    got = passages.stretches(spark.createDataFrame(ranges, "doc_id long, low int, high int"), docs, 5, 11).collect()
+    merged = [(1, 0, 20), (1, 50, 56), (2, 0, 30), (3, 3, 26)]
+    want = {(d, tuple(texts[d][i : i + 15])) for d, low, high in merged for i in range(low, min(high, len(texts[d]) - 4) - 10)}
+    assert len(got) == len(want)
+    count = lambda pairs: sorted(sorted(d for d, k in pairs if k == key) for key in {k for _, k in pairs})
+    assert count([(r.doc_id, r.key) for r in got]) == count([*want])
+    tokens = np.arange(500, dtype=np.uint64) % np.uint64(90)
+    for width in (1, 2, 3, 46, 500):
+        keys = passages.stretch_hashes(tokens, width)
+        assert len(keys) == 501 - width and len(set(keys.tolist())) == min(90, 501 - width) and not len(passages.stretch_hashes(tokens[: width - 1], width))
+
+
 def test_compact_windows_part_all_stretches():
     rng = np.random.default_rng(1)
     tokens, starts, width = rng.integers(0, 40, 60).astype(np.uint64), np.array([0, 25, 25, 60]), 6

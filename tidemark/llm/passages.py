@@ -160,13 +160,17 @@ def met_minima(holders: DataFrame, width: int) -> DataFrame:
     return small_batches(spots).mapInArrow(run, "key long, doc_id long")
 
 
-def stretch_hashes(tokens: np.ndarray, low: int, high: int, width: int) -> np.ndarray:
-    """A hash of each of the stretches of `width` shingles that lie in low..high (end exclusive)."""
-    n = high - low - width + 1
+def stretch_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the stretch of `width` shingles that starts at each place, put together from those of 1, 2, 4, ... shingles."""
+    n, at, size, blocks = len(tokens) - width + 1, 0, 1, tokens
     out = np.full(max(n, 0), width, np.uint64)
-    if n > 0:
-        for d in range(width):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + tokens[low + d : low + d + n])
+    while n > 0 and at < width:
+        if width & size:
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + blocks[at : at + n])
+            at += size
+        if at < width:
+            blocks = mix64(blocks[:-size] * np.uint64(0x9E3779B97F4A7C15) + blocks[size:])
+            size *= 2
     return out
 
 
@@ -178,13 +182,24 @@ def stretches(spots: DataFrame, docs: DataFrame, k: int, width: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
-            for i, tokens in enumerate(_tokens(batch.column(1), k)):
-                wanted = np.array([(x["low"], x["high"]) for x in batch.column(2)[i].as_py()], np.int64)
-                wanted = wanted[np.argsort(wanted[:, 0], kind="stable")]
-                cuts = np.flatnonzero(np.r_[True, wanted[1:, 0] > np.maximum.accumulate(wanted[:, 1])[:-1]])  # ranges that overlap are one
-                ends = np.maximum.reduceat(wanted[:, 1], cuts)
-                hashes = np.unique(np.concatenate([stretch_hashes(tokens, a, min(b, len(tokens)), width) for a, b in zip(wanted[cuts, 0], ends, strict=True)]))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), batch.column(0)[i].as_py(), np.int64))], ["key", "doc_id"])
+            for first, last, data, offsets in text_pieces(batch.column(1)):
+                tokens, starts = _sequence(*word_hashes(data, offsets), k)
+                lists = batch.column(2).slice(first, last - first)
+                row = np.repeat(np.arange(last - first), lists.value_lengths().to_numpy())
+                # Places of all rows in one line, with a gap between rows; of texts with one id, the shorter one has fewer.
+                low, high = (np.minimum(x.to_numpy(), np.diff(starts)[row]) + starts[row] + row for x in lists.flatten().flatten())
+                order = np.argsort(low, kind="stable")
+                low, high, row = low[order], high[order], row[order]
+                cuts = np.flatnonzero(np.r_[True, low[1:] > np.maximum.accumulate(high)[:-1]])  # ranges that overlap are one
+                low, row = low[cuts] - row[cuts], row[cuts]
+                n = np.maximum(np.maximum.reduceat(high, cuts) - row - low - width + 1, 0)
+                places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                key, owner = stretch_hashes(tokens, width)[places], np.repeat(row, n)
+                order = np.lexsort((key, owner))
+                key, owner = key[order], owner[order]
+                new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])][: len(key)]
+                ids = batch.column(0).slice(first, last - first).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[owner[new]])], ["key", "doc_id"])
         give_back()
 
     return texts.select("doc_id", "text", "ranges").mapInArrow(run, "key long, doc_id long")
