@@ -9,6 +9,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -375,6 +376,21 @@ def test_stretches_of_many_texts_are_hashed_together(spark):
         assert len(keys) == 501 - width and len(set(keys.tolist())) == min(90, 501 - width) and not len(passages.stretch_hashes(tokens[: width - 1], width))
 
 
+def test_all_texts_of_a_first_document_are_compared(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    a, b = words("a", 60), words("b", 60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, *words("c", 40), *b]))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.start, r.end, r.first_doc_id) for r in got} == {(2, 0, 60, 1), (2, 100, 160, 1)}
+
+
+def test_windows_meet_where_enough_hash_functions_cover_a_place():
+    kind = pa.list_(pa.struct([("hash", pa.int8()), ("place", pa.int32()), ("left", pa.int32()), ("right", pa.int32())]))
+    spot = lambda *x: dict(zip(("hash", "place", "left", "right"), x, strict=True))
+    lists = [[spot(0, 10, 5, 5), spot(1, 20, 5, 5)], [spot(0, 10, 5, 5), spot(1, 20, 4, 5)], [spot(0, 10, 5, 5), spot(0, 12, 5, 5)], [spot(3, 0, 0, 0), spot(1, 0, 0, 0)]]
+    assert passages.meet(pa.array(lists, kind)).tolist() == [True, False, False, True]
+
+
 def test_compact_windows_part_all_stretches():
     rng = np.random.default_rng(1)
     tokens, starts, width = rng.integers(0, 40, 60).astype(np.uint64), np.array([0, 25, 25, 60]), 6

@@ -115,11 +115,18 @@ def first_holders(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
 
 
-def candidate_pairs(found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(first, doc_id, spots) where windows of ENOUGH hash functions share their minimum."""
-    met = found.join(firsts, "key").where("doc_id > first")
+def candidate_pairs(met: DataFrame) -> DataFrame:
+    """(first, doc_id) where windows of ENOUGH hash functions that share their minimum cover a stretch together. `met` are windows with their minimum's first holder."""
     pairs = met.groupBy("first", "doc_id").agg(F.collect_list(F.struct("hash", "place", "left", "right")).alias("spots"))
-    return pairs.where(F.size(F.array_distinct(F.transform("spots", lambda s: s["hash"]))) >= ENOUGH)
+    pairs = pairs.where(F.size(F.array_distinct(F.transform("spots", lambda s: s["hash"]))) >= ENOUGH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            yield batch.select(["first", "doc_id"]).filter(pa.array(meet(batch.column(2))))
+        give_back()
+
+    return small_batches(pairs).mapInArrow(run, "first long, doc_id long")
 
 
 def met_minima(holders: DataFrame, width: int) -> DataFrame:
@@ -222,49 +229,66 @@ def outermost(more: DataFrame, found: DataFrame) -> DataFrame:
     return more.join(spans, "doc_id").where(~F.exists("spans", holds)).select(*more.columns)
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
-    return [*zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-
+def meet(lists: pa.ListArray) -> np.ndarray:
+    """For each row's windows (hash, place, left, right) whether those of enough hash functions cover some place together."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    hash_, place, left, right = (x.to_numpy() for x in lists.flatten().flatten())
+    base = owner.astype(np.int64) << 32  # Fixed value: places are 32 bits.
+    at = np.concatenate([base + (place - left), base + (place + right + 1)])
+    order = np.argsort(at, kind="stable")
+    at, hash_, step = at[order], np.r_[hash_, hash_][order], np.where(order < len(owner), 1, -1)
+    agree = sum((np.cumsum(np.where(hash_ == j, step, 0)) > 0).astype(np.int8) for j in range(HASHES))
+    found = np.zeros(len(lists), bool)
+    found[at[np.r_[at[1:] != at[:-1], True] & (agree >= ENOUGH)] >> 32] = True
+    return found
 
-def meet(n: int, spots: list[dict]) -> bool:
-    """Whether windows of enough hash functions cover some stretch of n shingles together."""
-    cover = np.zeros((HASHES, n + 1), np.int32)
-    for s in spots:  # of two texts with one id, the shorter one has fewer places
-        cover[s["hash"], min(s["place"] - s["left"], n)] += 1
-        cover[s["hash"], min(s["place"] + s["right"] + 1, n)] -= 1
-    return bool(((np.cumsum(cover, 1) > 0).sum(0) >= ENOUGH).any())
 
+def compare(first: tuple[np.ndarray, np.ndarray], which: np.ndarray, second: tuple[np.ndarray, np.ndarray], k: int, width: int, least: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """(pair, shingle ranges of second and first, similarity) of passages that a pair's second text shares with its first one.
 
-def compare(first: np.ndarray, second: np.ndarray, k: int, width: int, least: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """Passages of `second` that `first` holds too, as shingle ranges of both. The whole texts are compared: a minimum
-    may have met another first document elsewhere in a passage of this one."""
-    if not len(first):
+    Both sides are all texts' shingles and where each text's begin; `which` is each pair's first text. The whole texts are
+    compared: a minimum may have met another first document elsewhere in a passage of this one.
+    """
+    (tokens, starts), (mine, own) = first, second
+    if not len(tokens) or not len(mine):
+        return
+    salt = mix64(np.arange(1, len(starts), dtype=np.uint64))  # each first text has keys of its own
+    pair = np.repeat(np.arange(len(own) - 1), np.diff(own))
+    keys, asked = tokens ^ np.repeat(salt, np.diff(starts)), mine ^ salt[which[pair]]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    same = keys[at] == asked
+    where = order[at] - starts[which[pair]]
+    edge = np.zeros(len(mine) + 1, bool)  # a text's end parts runs too
+    edge[own] = True
+    a = np.flatnonzero(same & (edge[:-1] | np.r_[True, ~same[:-1]]))
+    b = np.flatnonzero(same & (edge[1:] | np.r_[~same[1:], True])) + 1
+    if not len(a):
         return
-    order = np.argsort(first, kind="stable")
-    at = np.minimum(np.searchsorted(first[order], second), max(len(first) - 1, 0))
-    same = first[order][at] == second
-    where = order[at]
     # One changed word spoils k shingles: runs that near to each other are one passage with an edit.
-    joined: list[list[tuple[int, int]]] = []
-    for run in _runs(same):
-        near = joined and run[0] - joined[-1][-1][1] <= 2 * k and 0 <= where[run[0]] - where[joined[-1][-1][1] - 1] <= 4 * k
-        if near:
-            joined[-1].append(run)
-        else:
-            joined.append([run])
-    for group in joined:
-        for part in [group] if len(group) == 1 or _alike(first, second, where, group, least) else [[run] for run in group]:
-            a, b = part[0][0], part[-1][1]
-            if b - a >= width and (similarity := _alike(first, second, where, part, least)):
-                places = where[a:b][same[a:b]]
-                yield a, b, int(places.min()), int(places.max()) + 1, similarity
+    reach = where[a[1:]] - where[b[:-1] - 1]
+    near = (pair[a[1:]] == pair[a[:-1]]) & (a[1:] - b[:-1] <= 2 * k) & (reach >= 0) & (reach <= 4 * k)
+    low = np.flatnonzero(np.r_[True, ~near])
+    high = np.r_[low[1:], len(a)]
+    long = b[high - 1] - a[low] >= width
+    for x, y in zip(low[long].tolist(), high[long].tolist(), strict=True):
+        p = int(pair[a[x]])
+        text = tokens[starts[which[p]] : starts[which[p] + 1]]
+        group = [*zip(a[x:y].tolist(), b[x:y].tolist(), strict=True)]
+        for part in [group] if len(group) == 1 or _alike(text, mine, where, group, least) else [[run] for run in group]:
+            c, d = part[0][0], part[-1][1]
+            if d - c >= width and (similarity := _alike(text, mine, where, part, least)):
+                places = where[c:d][same[c:d]]
+                yield p, c - int(own[p]), d - int(own[p]), int(places.min()), int(places.max()) + 1, similarity
 
 
 def _alike(first: np.ndarray, second: np.ndarray, where: np.ndarray, group: list[tuple[int, int]], least: float) -> float:
     """Similarity of the two stretches' sets if it reaches `least`, else 0."""
     a, b = group[0][0], group[-1][1]
     matched = np.concatenate([where[x:y] for x, y in group])
+    if len(group) == 1 and (np.diff(matched) == 1).all():  # the same stretch in both
+        return 1.0
     p, q = np.unique(second[a:b]), np.unique(first[matched.min() : matched.max() + 1])
     both = len(np.intersect1d(p, q, assume_unique=True))
     if both >= least * (len(p) + len(q) - both):
@@ -275,7 +299,7 @@ def _alike(first: np.ndarray, second: np.ndarray, where: np.ndarray, group: list
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, width: int, least: float) -> DataFrame:
-    """Passages of each candidate pair, from both whole texts; pairs with null spots have a whole stretch or two of its minima in common."""
+    """Passages of each candidate pair (first, doc_id), from both whole texts."""
     wanted = pairs.select(F.col("first").alias("doc_id")).union(pairs.select("doc_id")).distinct()
     texts = only(docs, store(wanted))
     both = pairs.join(texts, "doc_id").join(texts.withColumnsRenamed({"doc_id": "first", "text": "first_text"}), "first")
@@ -287,26 +311,23 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, width: int, least: float)
             rows: list[tuple] = []
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                ids, firsts, spots = (part.column(i).to_pylist() for i in range(3))
-                rank: dict[int, int] = {}
-                for i, x in enumerate(firsts):
-                    rank.setdefault(x, i)
-                made = dict(zip(rank, _tokens(part.column(4).take(pa.array(list(rank.values()), pa.int64())), k), strict=True))
-                for doc, one, spot, tokens in zip(ids, firsts, spots, _tokens(part.column(3), k), strict=True):
-                    if spot is None or meet(len(tokens), spot):
-                        rows += [(doc, a, b + k - 1, one, x, y + k - 1, s) for a, b, x, y, s in compare(made[one], tokens, k, width, least)]
+                ids, firsts = (part.column(i).to_pylist() for i in range(2))
+                ahead = part.column(3).fill_null("").dictionary_encode()  # a first text is cut once for all its pairs
+                found = compare(_tokens(ahead.dictionary, k), ahead.indices.to_numpy(), _tokens(part.column(2), k), k, width, least)
+                rows += [(ids[p], a, b + k - 1, firsts[p], x, y + k - 1, s) for p, a, b, x, y, s in found]
             columns = [*zip(*rows, strict=True)] or [[]] * len(names)
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
         give_back()
 
-    return both.select("doc_id", "first", "spots", "text", "first_text").mapInArrow(run, FOUND)
+    return both.select("doc_id", "first", "text", "first_text").mapInArrow(run, FOUND)
 
 
-def _tokens(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in text_pieces(column):
-        tokens, starts = _sequence(*word_hashes(data, offsets), k)
-        yield from (tokens[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))
+def _tokens(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all rows in one line, and where each row's begin (one more at the end)."""
+    parts = [_sequence(*word_hashes(data, offsets), k) for _, _, data, offsets in text_pieces(column)]
+    counts = np.concatenate([np.diff(starts) for _, starts in parts])
+    return np.concatenate([tokens for tokens, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -324,25 +345,23 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, k: int = 5, similari
     width = min_words - k + 1
     docs = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = store(windows(docs, k, width))
-    firsts = store(first_holders(made))
-    pairs = store(candidate_pairs(made, firsts))
-    found = store(verify(pairs, docs, k, width, similarity))
+    # Of the joins by key, the smaller side is hashed: sorting all windows costs more than what is kept of them.
+    met = store(made.join(first_holders(made).hint("shuffle_hash"), "key").where("doc_id > first"))
+    found = store(verify(store(candidate_pairs(met)), docs, k, width, similarity))
     # What met an earlier document and is in no passage yet: that document may lack the passage that later ones share.
     # Near passages: two minima of one stretch have a first document together, which may be the first of neither.
-    open_keys = uncovered(made.join(firsts, "key").where("doc_id > first"), found, k, width).select("key").distinct()
-    both = store(met_minima(made.join(store(open_keys), "key", "left_semi"), width).distinct())
-    near = both.join(store(first_holders(both)), "key").where("doc_id > first").select("first", "doc_id").distinct()
+    open_keys = uncovered(met, found, k, width).select("key").distinct()
+    both = store(met_minima(made.join(store(open_keys).hint("shuffle_hash"), "key", "left_semi"), width).distinct())
+    near = both.join(store(first_holders(both)).hint("shuffle_hash"), "key").where("doc_id > first").select("first", "doc_id").distinct()
     near = near.join(found.select(F.col("first_doc_id").alias("first"), "doc_id").distinct(), ["first", "doc_id"], "left_anti")
-    near = near.withColumn("spots", F.lit(None).cast(pairs.schema["spots"].dataType))
     found = store(found.unionByName(outermost(store(verify(store(near), docs, k, width, similarity)), found)))
     one = made.where("hash = 0")  # each stretch is in one window of each hash function
-    open_keys = uncovered(one.join(firsts, "key").where("doc_id > first"), found, k, width).select("key").distinct()
-    holders = one.join(store(open_keys), "key", "left_semi")
+    open_keys = uncovered(met.where("hash = 0"), found, k, width).select("key").distinct()
+    holders = one.join(store(open_keys).hint("shuffle_hash"), "key", "left_semi")
     low, high = F.greatest(F.col("place") - F.col("left"), F.col("place") - (width - 1)), F.least(F.col("place") + F.col("right"), F.col("place") + (width - 1))
     hashed = store(stretches(holders.select("doc_id", low.alias("low"), (high + 1).alias("high")), docs, k, width))
-    again = hashed.join(store(first_holders(hashed)), "key").where("doc_id > first").select("first", "doc_id").distinct()
+    again = hashed.join(store(first_holders(hashed)).hint("shuffle_hash"), "key").where("doc_id > first").select("first", "doc_id").distinct()
     again = again.join(found.select(F.col("first_doc_id").alias("first"), "doc_id").distinct(), ["first", "doc_id"], "left_anti")
-    again = again.withColumn("spots", F.lit(None).cast(pairs.schema["spots"].dataType))
     every = found.unionByName(verify(store(again), docs, k, width, similarity))
     order = Window.partitionBy("doc_id", "start", "end", "first_doc_id").orderBy("first_start", "first_end")
     return every.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
