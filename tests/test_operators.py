@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import addressing, classify
@@ -261,6 +262,56 @@ def test_draws_are_made_once_in_a_job_of_their_own(spark):
         assert "FlatMapGroupsInArrow" not in text and "Scan ExistingRDD" not in text
 
 
+def test_ratios_of_several_arms_are_drawn_in_one_job(spark, monkeypatch):
+    """Each arm has draws of its own and the result it has alone; rows without an arm take no part."""
+    cells = [(arm, *c) for arm in range(3) for c in _cells(arm)] + [(None, "x", 0, 1, 1)]
+    df = spark.createDataFrame(cells, "arm long, scenario string, realisation int, a long, q long")
+    alone = {arm: df.where(F.col("arm") == arm).drop("arm") for arm in range(3)}
+    stored, store = [], resample.store
+    monkeypatch.setattr(resample, "store", lambda d: stored.append(d) or store(d))
+    name = F.concat(F.lit("R"), F.col("arm").cast("string"))
+    for found in (resample.bootstrap_t_ratio, resample.percentile_ratio):
+        stored.clear()
+        together = found(df, "a", "q", 49, name, by="arm")
+        assert len(stored) == 3 and together.columns[-1] == "arm"
+        got = {r.arm: r for r in together.collect()}
+        assert {arm: tuple(r)[:-1] for arm, r in got.items()} == {arm: tuple(found(d, "a", "q", 49, f"R{arm}").first()) for arm, d in alone.items()}
+
+
+def test_groups_of_draws_are_dealt_one_to_a_task(spark, monkeypatch):
+    df = spark.createDataFrame(_cells(1, 40), "scenario string, realisation int, a long, q long")
+    at, plans, store = resample.placed(df), [], resample.store
+    monkeypatch.setattr(resample, "GROUP", 100)
+    monkeypatch.setattr(resample, "store", lambda d: plans.append(d._jdf.queryExecution().toString()) or store(d))
+    got = {(r.b, r.scenario): (r.n, r.s) for r in resample.resampled(at, {"s": F.col("a")}, 25, "R").collect()}
+    assert got == {(b, g): (len(t), sum(c[2] for c in t)) for b in range(25) for g, t in zip("xy", _tape(_cells(1, 40), b, "R"), strict=True)}
+    after = plans[-1][plans[-1].index("Physical Plan") :]
+    assert after.index("FlatMapGroupsInArrow") < after.index("direct_shuffle_partition_id") and "hashpartitioning(task" not in after
+
+
+@pytest.mark.parametrize("held", [1, 16 * 7, 16 * 40, 1 << 22])
+def test_draws_are_counted_by_member_or_looked_up(spark, monkeypatch, held):
+    cells = _cells(1, 40)
+    at = resample.placed(spark.createDataFrame(cells, "scenario string, realisation int, a long, q long"))
+    monkeypatch.setattr(resample, "HELD", held)
+    monkeypatch.setattr(resample, "DRAWS", 4)
+    sums = {"s": F.col("a"), "d": F.col("q").cast("double")}
+    got = {(r.b, r.scenario): (r.n, r.s, r.d) for r in resample.resampled(at, sums, 5, "R").collect()}
+    assert got == {(b, g): (len(t), sum(c[2] for c in t), float(sum(c[3] for c in t))) for b in range(5) for g, t in zip("xy", _tape(cells, b, "R"), strict=True)}
+
+
+def test_columns_are_read_in_order_and_undrawn_gaps_stay_out():
+    place = np.array([0, 2, 2, 0, 3])
+    assert resample._fallen([np.array([1, 10, 100, 1000]), np.array([1.0, np.nan, 2.0, 3.0])], place) == [1202, 9.0]
+    assert np.isnan(resample._fallen([np.array([np.nan, 0, 0, 0])], place)[0]) and resample._fallen([np.arange(3)], place[:0]) == [0]
+
+    class Read(np.ndarray):
+        def __getitem__(self, at):
+            raise AssertionError("looked up draw by draw")
+
+    assert resample._fallen([np.array([1, 10, 100, 1000]).view(Read)], place) == [1202]
+
+
 def test_key_differences_take_tasks_by_rows(spark, monkeypatch):
     monkeypatch.setattr(checks, "TASK_ROWS", 10, raising=False)
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None), (3, "y")], "k long, s string")
