@@ -1,6 +1,7 @@
 """Copy chains, log rules, connected material and parents-first orders, by hand."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -86,6 +87,57 @@ def test_rules_of_copies(spark):
     assert provenance.copy_violations(df.limit(0), ["slot"]).count() == 0
 
 
+def _broken(rows, trusted):
+    """The rules of copies, event by event; places in the log are unique."""
+    held, minted, out = {}, {}, []
+    for seq, kind, i, source, token, slot in sorted(rows):
+        old = held.get((kind, source))
+        if i is None:
+            out.append((seq, "no_id"))
+        if i is not None and ((kind, i) in held or i in trusted):
+            out.append((seq, "repeated_id"))
+        if source is not None and old is None and source not in trusted:
+            out.append((seq, "absent_source"))
+        if source is not None and old is not None and old != (token, slot):
+            out.append((seq, "altered_copy"))
+        if source is None and token is not None and token in minted:
+            out.append((seq, "reused_token"))
+        if i is not None:
+            held.setdefault((kind, i), (token, slot))
+        if source is None and token is not None:
+            minted.setdefault(token, seq)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("names", "most"), [(12, 1 << 21), (400, 1 << 21), (400, 0)])
+def test_rules_hold_for_logs_of_any_kind(spark, monkeypatch, names, most):
+    """Logs in which most ids meet another, and in which few do; with and without a broadcast of these."""
+    monkeypatch.setattr(provenance, "MET", most)
+    rng = random.Random(names)
+    pick = lambda n, none=0.1: None if rng.random() < none else f"i{rng.randrange(n)}"
+    rows = []
+    for seq in rng.sample(range(1000), 300):
+        i = pick(names)
+        rows.append((seq, rng.choice(["edge", "node"]), i, rng.choice([None, i, pick(names)]), rng.choice([None, "t1", f"t{rng.randrange(60)}"]), rng.choice([None, "left"])))
+    trusted = [f"i{k}" for k in range(0, 2 * names, 9)]
+    df, boundary = spark.createDataFrame(rows, EVENTS), spark.createDataFrame([(t,) for t in trusted], "id string")
+    for known, table in ((set(trusted), boundary), (set(), None)):
+        got = provenance.copy_violations(df, ["slot"], table).collect()
+        assert sorted((r.seq, r.rule) for r in got) == _broken(rows, known)
+
+
+def test_whole_events_are_shuffled_only_where_ids_meet(spark, monkeypatch):
+    """In a log without repeated ids or sources in it, only hashes of ids and what is minted go through a shuffle."""
+    rows = [(i, "edge", f"i{i}", f"i{i}" if i % 3 else None, f"t{i}", None) for i in range(300)]
+    linked, found = [], provenance._link_violations
+    monkeypatch.setattr(provenance, "_link_violations", lambda e, *a: linked.append(e.count()) or found(e, *a))
+    df = spark.createDataFrame([*rows, (900, "edge", "new", "i7", "t7", None)], EVENTS)
+    got = provenance.copy_violations(df, ["slot"]).collect()
+    late = spark.createDataFrame([(None, "edge", "i1", None, None, None)], EVENTS)
+    assert [r.rule for r in provenance.copy_violations(late, ["slot"], spark.createDataFrame([("i1",)], "id string")).collect()] == ["repeated_id"]
+    assert linked == [2, 1] and sorted((r.seq, r.rule) for r in got) == [(i, "absent_source") for i in range(300) if i % 3]
+
+
 NODES = "seq long, id string, source string, token string, left_edge string, left_record string, right_edge string, right_record string, witness string, witness_update long, witness_individual string"
 EDGES = "seq long, id string, token string, parent_token string, child_token string, slot string"
 

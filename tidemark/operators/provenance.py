@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.ranges import ranked
 from tidemark.operators.stored import store
 
+#: Hashes of ids that are broadcast at most.
+MET = 1 << 21
+
 
 def chains(links: DataFrame, node: str = "id", source: str = "source") -> DataFrame:
     """Certificates of copy chains by pointer doubling: (id, chain_length, end, digest, status).
@@ -68,6 +71,26 @@ def _rules(df: DataFrame, rules: dict, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(found).alias("rule"))
 
 
+def _key(c: str) -> Column:
+    return F.xxhash64(F.col(c).cast("string"))
+
+
+def _met(events: DataFrame, trusted: DataFrame | None) -> DataFrame:
+    """(key): hashes of the ids that an event refers to, as its own or as its source, after the first event that has it, or that are trusted too.
+
+    Only hashes and numbers are shuffled. Ids that share a hash, or an id with several kinds, may be among them for nothing.
+    """
+    none = F.lit(None).cast(events.schema["seq"].dataType)
+    parts = [  # by: 1 for events, 2 for what is trusted
+        events.where("id is not null").select(_key("id").alias("key"), F.col("seq").alias("held"), F.col("seq").alias("used"), F.lit(1).alias("by")),
+        events.where("source is not null").select(_key("source").alias("key"), none.alias("held"), F.col("seq").alias("used"), F.lit(1).alias("by")),
+    ]
+    if trusted is not None:
+        parts.append(trusted.select(_key("id").alias("key"), none.alias("held"), none.alias("used"), F.lit(2).alias("by")))
+    seen = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.min("held").alias("held"), F.max("used").alias("used"), F.bit_or("by").alias("by"))
+    return seen.where("used > held or by = 3").select("key")
+
+
 def copy_violations(events: DataFrame, same: list[str], boundary: DataFrame | None = None) -> DataFrame:
     """(seq, kind, id, rule) of nodes and edges whose links do not hold; nothing for a closed log.
 
@@ -75,18 +98,38 @@ def copy_violations(events: DataFrame, same: list[str], boundary: DataFrame | No
     event of the kind has the source as id, nor does the trusted `boundary`, a table with `id`); altered_copy (the source's
     event differs in `token` or in a column of `same`; sources in the boundary are not compared); reused_token (new material
     with a token that an earlier event has minted). Places in the log are by seq; of events at one seq none is earlier.
+
+    Whole events are shuffled only if their id or source is among those that `_met` finds; of the others a source is
+    absent and an id the first. Where these are more than MET, all are shuffled.
     """
+    trusted = None if boundary is None else boundary.select("id").where("id is not null")
+    met, apart = store(_met(events, trusted)), []
+    linked = events
+    if met.count() <= MET:
+        mark = lambda c: (F.broadcast(met.withColumnRenamed("key", f"{c}_met")), _key(c) == F.col(f"{c}_met"), "left")
+        marked = events.join(*mark("id")).join(*mark("source"))
+        alone = F.col("id_met").isNull() & F.col("source_met").isNull()
+        apart.append(_rules(marked.where(alone), {"no_id": F.col("id").isNull(), "absent_source": F.col("source").isNotNull()}, "seq", "kind", "id"))
+        linked = store(marked.where(~alone).select(*events.columns))
+        if trusted is not None:
+            trusted = trusted.join(F.broadcast(met), _key("id") == F.col("key"), "left_semi")
+    new = events.where("source is null and token is not null").select("seq", "kind", "id", "token")
+    minted = new.groupBy("token").agg(F.min("seq").alias("minted_at"))
+    reused = new.join(minted, "token").where("minted_at < seq").select("seq", "kind", "id", F.lit("reused_token").alias("rule"))
+    return reduce(DataFrame.unionByName, [_link_violations(linked, same, trusted), *apart, reused])
+
+
+def _link_violations(events: DataFrame, same: list[str], trusted: DataFrame | None) -> DataFrame:
+    """Those of `copy_violations` that an event's id and source break."""
     kept = ["token", *same]
     held = _held(events, *kept)
-    minted = events.where("source is null and token is not null").groupBy(F.col("token").alias("minted")).agg(F.min("seq").alias("minted_at"))
     own = held.select("held_kind", "held_id", F.col("first.seq").alias("first_seq"))
     e = _looked_up(events, own, "id", "held_id", F.col("kind") == F.col("held_kind")).drop("held_kind", "held_id")
     sources = held.select("held_kind", "held_id", F.col("first").alias("old"))
     e = _looked_up(e, sources, "source", "held_id", F.col("kind") == F.col("held_kind")).drop("held_kind", "held_id")
-    e = _looked_up(e, minted, "token", "minted")
     trusted_source = trusted_id = F.lit(False)
-    if boundary is not None:
-        ids = boundary.select("id").where("id is not null").distinct()
+    if trusted is not None:
+        ids = trusted.distinct()
         e = _looked_up(e, ids.select(F.col("id").alias("trusted_source")), "source", "trusted_source")
         e = _looked_up(e, ids.select(F.col("id").alias("trusted_id")), "id", "trusted_id")
         trusted_source, trusted_id = F.col("trusted_source").isNotNull(), F.col("trusted_id").isNotNull()
@@ -98,7 +141,6 @@ def copy_violations(events: DataFrame, same: list[str], boundary: DataFrame | No
         "repeated_id": (F.col("seq") > F.col("first_seq")) | trusted_id,
         "absent_source": copied & ~earlier & ~trusted_source,
         "altered_copy": copied & earlier & differs,
-        "reused_token": ~copied & (F.col("minted_at") < F.col("seq")),
     }
     return _rules(e, rules, "seq", "kind", "id")
 
