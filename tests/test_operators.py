@@ -300,6 +300,20 @@ def test_draws_are_counted_by_member_or_looked_up(spark, monkeypatch, held):
     assert got == {(b, g): (len(t), sum(c[2] for c in t), float(sum(c[3] for c in t))) for b in range(5) for g, t in zip("xy", _tape(cells, b, "R"), strict=True)}
 
 
+def test_members_are_copied_many_to_a_row(spark, monkeypatch):
+    cells = _cells(1, 40)
+    at = resample.placed(spark.createDataFrame(cells, "scenario string, realisation int, a long, q long"))
+    rows, frames, deal = [], type(at), type(at).repartitionById
+    monkeypatch.setattr(frames, "repartitionById", lambda d, *a: rows.append(d.count()) or deal(d, *a))
+    monkeypatch.setattr(resample, "GROUP", 100)
+    for pack, block, copies in ((1 << 10, 1 << 21, 1), (16, 1 << 21, 3), (4, 10, 12)):
+        monkeypatch.setattr(resample, "PACK", pack)
+        monkeypatch.setattr(resample, "BLOCK", block)
+        got = {(r.b, r.scenario): (r.n, r.s) for r in resample.resampled(at, {"s": F.col("a")}, 20, "R").collect()}
+        assert got == {(b, g): (len(t), sum(c[2] for c in t)) for b in range(20) for g, t in zip("xy", _tape(cells, b, "R"), strict=True)}
+        assert rows.pop() == copies * 2 * 7
+
+
 def test_columns_are_read_in_order_and_undrawn_gaps_stay_out():
     place = np.array([0, 2, 2, 0, 3])
     assert resample._fallen([np.array([1, 10, 100, 1000]), np.array([1.0, np.nan, 2.0, 3.0])], place) == [1202, 9.0]
